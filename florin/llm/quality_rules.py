@@ -159,7 +159,8 @@ def certified_cutoffs(counted: DataFrame, labels: DataFrame, control: RiskContro
         .join(strata)  # one row
         .where(binomial_tail(F.col("refused_good"), F.col("n_good"), rule_alpha) <= level)
     )
-    chosen = tested.groupBy("_stratum", "rule").agg(F.max(F.struct("refused_junk", "cutoff"))["cutoff"].alias("cutoff"))
+    gain = (F.col("refused_junk") - F.col("refused_good")).alias("gain")
+    chosen = tested.where(gain > 0).groupBy("_stratum", "rule").agg(F.max(F.struct(gain, "cutoff"))["cutoff"].alias("cutoff"))
     return chosen.groupBy("_stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs"))
 
 
