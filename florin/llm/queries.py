@@ -4,17 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contained_items
+from .packing import pack
 from .quality_rules import quality_report
 from .spark import read_table
 
 
+def tokenizer_path(name: str) -> str:
+    from public_tokenizers import path
+
+    return path(name)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules,)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_decontamination, op10_packing)}
 
 
 def oracle_sql() -> dict:
