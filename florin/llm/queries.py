@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contained_items
+from .language_id import identify_languages
 from .packing import pack
 from .quality_rules import quality_report
 from .spark import read_table
+from .token_counts import token_counts
+from .toxicity import toxicity_scores
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,12 +29,33 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def _fold(n: int) -> Column:
+    """Fold of a document, by the checksum of its id as text; null ids are in fold 0."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n)), F.lit(0))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = _fold(4) == 2
+    found = identify_languages(read_table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = _fold(5) == 0
+    scored = toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op3_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_decontamination, op4_language_id, op5_token_counts, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict:
