@@ -53,6 +53,11 @@ def word_grams(text: str | None) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
 
 
+def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted table that has at least one."""
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
 class ItemIndex:
     """The sketches of one block of items, by size class."""
 
@@ -74,10 +79,10 @@ class ItemIndex:
 
     def candidates(self, sequence: np.ndarray) -> set[int]:
         near = np.flatnonzero(self.filter[(sequence >> np.uint64(44)).astype(np.int64)])
-        near = near[np.isin(sequence[near], self.all_values)] if len(near) else near
+        near = near[_among(sequence[near], self.all_values)] if len(near) else near
         found: set[int] = set()
         for size_class, values in self.values.items() if len(near) else ():
-            hits = near[np.isin(sequence[near], values)]
+            hits = near[_among(sequence[near], values)]
             stride = 1 << size_class
             for w in np.unique(np.concatenate([hits // stride, hits // stride - 1])).tolist():
                 begin = max(0, w * stride)
