@@ -52,7 +52,7 @@ class WordIds(dict):
 
     def ids(self, text: str | None) -> np.ndarray:
         words = (text or "").replace("\n", " ").split(" ")
-        new = set(words) - self.keys()
+        new = {w for w in set(words) if w not in self}
         if new:
             if len(self) + len(new) > WORD_CACHE:
                 self.clear()

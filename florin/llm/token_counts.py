@@ -150,7 +150,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 new: set[str] = set()
                 end = begin
                 while end < len(texts) and (end == begin or len(new) < CACHE // 8):
-                    new |= set((texts[end] or "").split()) - model.keys()
+                    new.update(w for w in set((texts[end] or "").split()) if w not in model)
                     end += 1
                 if len(model) + len(new) > CACHE:
                     model.clear()
