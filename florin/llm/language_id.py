@@ -32,7 +32,7 @@ SEGMENT = 64
 SEGMENTS_PER_DOC = 4
 UNDETERMINED = "und"
 #: Segments that are read together; bounds a task's memory.
-TOGETHER = 2048
+TOGETHER = 1024
 
 
 @dataclass(frozen=True)
@@ -45,14 +45,6 @@ class Training:
     seed: int = 7
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.clip(x, -30, 30, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
 class ByteNetwork:
     """Arrays are feature-major: (features, segments). Gates in the order update, reset, candidate."""
 
@@ -66,27 +58,36 @@ class ByteNetwork:
             self.p[f"rec_{side}"] = draw(3 * hidden, hidden, scale=0.3)
 
     def _run(self, bytes_: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
-        """States after every position, in the order of the text: (positions, hidden, segments)."""
+        """States after every position, in the order of the text: (positions, hidden, segments).
+
+        A gate is (1 + tanh(a / 2)) / 2; the halves are taken into the weights beforehand.
+        """
         H, (B, T) = self.hidden, bytes_.shape
-        E, U = self.p[f"in_{side}"].T.copy(), self.p[f"rec_{side}"]
+        half = np.ones((3 * H, 1), np.float32)
+        half[: 2 * H] = 0.5
+        E, U = np.ascontiguousarray((self.p[f"in_{side}"] * half).T), self.p[f"rec_{side}"] * np.float32(0.5)
         states, h = np.empty((T, H, B), np.float32), np.zeros((H, B), np.float32)
         columns = np.ascontiguousarray(bytes_.T)
+        rows, x, u, d = np.empty((B, 3 * H), np.float32), np.empty((3 * H, B), np.float32), np.empty((3 * H, B), np.float32), np.empty((H, B), np.float32)
+        gates, n, back = x[: 2 * H], x[2 * H :], u[2 * H :]
         for t in range(T) if side == "f" else range(T - 1, -1, -1):
-            x = np.ascontiguousarray(E[columns[t]].T)
-            u = U @ h
-            zr = x[: 2 * H]
-            zr += u[: 2 * H]
-            zr = _sigmoid(zr)
-            z, r = zr[:H], zr[H:]
-            n = r * u[2 * H :]
-            n += x[2 * H :]
+            np.take(E, columns[t], axis=0, out=rows, mode="clip")
+            x[:] = rows.T
+            np.matmul(U, h, out=u)
+            gates += u[: 2 * H]
+            np.tanh(gates, out=gates)
+            gates += 1  # twice the update and reset gates
+            z, r = gates[:H], gates[H:]
+            np.multiply(r, back, out=d)
+            n += d
             np.tanh(n, out=n)
-            new = h - n
-            new *= z
-            new += n
+            np.subtract(h, n, out=d)
+            d *= z
+            d *= 0.5
             if keep is not None:
-                keep.append((t, h, z.copy(), r.copy(), n.copy(), u[2 * H :].copy()))
-            states[t] = h = new
+                keep.append((t, h, z * 0.5, r * 0.5, n.copy(), back * 2))
+            h = states[t]
+            np.add(n, d, out=h)
         return states
 
     def _distributions(self, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
@@ -157,9 +158,10 @@ def train(samples: list[tuple[str, bytes]], options: Training = Training()) -> B
 
 
 def padded(segments: list[bytes]) -> np.ndarray:
+    """Segments as rows of byte values, filled up with 256."""
+    lengths = np.fromiter(map(len, segments), np.int64, len(segments))
     out = np.full((len(segments), SEGMENT), 256, np.int64)
-    for k, s in enumerate(segments):
-        out[k, : len(s)] = np.frombuffer(s, np.uint8)
+    out[np.arange(SEGMENT) < lengths[:, None]] = np.frombuffer(b"".join(segments), np.uint8)
     return out
 
 
@@ -167,29 +169,15 @@ def document_distributions(net: ByteNetwork, texts: list[str]) -> np.ndarray:
     """Mean distribution over all positions of each text; texts are read in blocks of TOGETHER segments."""
     raw = [t.encode("utf-8", "replace") for t in texts]
     counts = np.array([-(-len(r) // SEGMENT) for r in raw], np.int64)
-    lengths = np.array([len(r) for r in raw], np.float64)
     owner = np.repeat(np.arange(len(raw)), counts)
     sums = np.zeros((len(raw), len(net.languages)))
-    pending: list[bytes] = []
-    begin = 0
-
-    def read() -> None:
-        nonlocal begin
-        if pending:
-            block = padded(pending)
-            p = net.label(block)
-            p *= (block.T < 256)[:, None, :]
-            np.add.at(sums, owner[begin : begin + len(pending)], p.sum(axis=0).T)
-            begin += len(pending)
-            pending.clear()
-
-    for r in raw:
-        for i in range(0, len(r), SEGMENT):
-            pending.append(r[i : i + SEGMENT])
-            if len(pending) == TOGETHER:
-                read()
-    read()
-    return sums / np.maximum(lengths, 1)[:, None]
+    segments = [r[i : i + SEGMENT] for r in raw for i in range(0, len(r), SEGMENT)]
+    for begin in range(0, len(segments), TOGETHER):
+        block = padded(segments[begin : begin + TOGETHER])
+        p = net.label(block)
+        p *= (block.T < 256)[:, None, :]
+        np.add.at(sums, owner[begin : begin + TOGETHER], p.sum(axis=0).T)
+    return sums / np.maximum([len(r) for r in raw], 1)[:, None]
 
 
 def training_sample(docs: DataFrame, may_learn: Column, options: Training) -> list[tuple[str, bytes]]:

@@ -33,7 +33,7 @@ MAX_LEN = 2048
 END_ID = 1
 SALTS = 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-WORD_CACHE = 500_000
+WORD_CACHE = 1_000_000
 _TOKENIZERS: dict[str, "WordIds"] = {}
 
 

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contained_items
+from .html_text import extract_text
 from .language_id import identify_languages
 from .packing import pack
 from .quality_rules import quality_report
 from .spark import read_table
+from .substring_dedup import repeated_spans
 from .token_counts import token_counts
 from .toxicity import toxicity_scores
 
@@ -44,6 +46,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read_table(spark, sf_dir, "pages"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(read_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = _fold(5) == 0
     scored = toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held_out)
@@ -55,7 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op3_decontamination, op4_language_id, op5_token_counts, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_decontamination, op4_language_id, op5_token_counts, op6_html_text, op8_substring_dedup, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict:
