@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contained_items
 from .html_text import extract_text
 from .language_id import identify_languages
+from .ngram_join import near_duplicates
 from .packing import pack
 from .quality_rules import quality_report
 from .spark import read_table
@@ -22,6 +23,10 @@ def tokenizer_path(name: str) -> str:
     return path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -65,7 +70,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op3_decontamination, op4_language_id, op5_token_counts, op6_html_text, op8_substring_dedup, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_decontamination, op4_language_id, op5_token_counts, op6_html_text, op8_substring_dedup, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict:

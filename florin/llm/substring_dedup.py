@@ -35,8 +35,8 @@ from .text import string_column
 class Chunking:
     """Chunks have at least ``least`` bytes, on average ``2 ** bits`` more, and never over ``most``."""
 
-    least: int = 24
-    bits: int = 5
+    least: int = 16
+    bits: int = 4
     most: int = 512
     #: Words a span of duplicate chunks must have; the passage around it is longer by parts of two chunks.
     min_words: int = 25
