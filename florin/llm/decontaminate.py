@@ -32,12 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import SHINGLE, WordHashes, normal_words, shingle_sequence, string_column, word_hashes
+from .text import SHINGLE, shingle_sequence, string_column, word_hashes, words_of
 
 BINS = 256
 THRESHOLD = 0.8
 BLOCK_CHARS = 32_000_000
-_HASHES = WordHashes()
 MATCH_SCHEMA = "doc_id long, item_id long, shared long, item_shingles long, containment double"
 
 
@@ -48,8 +47,8 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return shingles[first]
 
 
-def word_grams(text: str | None) -> set[tuple[str, ...]]:
-    words = normal_words(text)
+def word_grams(text: str | None) -> set[tuple[bytes, ...]]:
+    words = words_of(text)
     return {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
 
 
@@ -64,8 +63,8 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str | None]], threshold: float):
         self.threshold, self.items = threshold, []
         self.classes: dict[int, dict[int, list[int]]] = {}
-        for item_id, text in items:
-            shingles = np.unique(shingle_sequence(word_hashes(text, _HASHES)))
+        for (item_id, text), hashes in zip(items, word_hashes([t for _, t in items])):
+            shingles = np.unique(shingle_sequence(hashes))
             if len(shingles):
                 size_class = int(len(shingles) - 1).bit_length()
                 by_value = self.classes.setdefault(size_class, {})
@@ -90,18 +89,17 @@ class ItemIndex:
                     found.update(self.classes[size_class].get(value, ()))
         return found
 
-    def matches(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item_id, shared shingles, shingles of the item) for every item that the text contains."""
-        candidates = self.candidates(shingle_sequence(word_hashes(text, _HASHES)))
-        if not candidates:
-            return []
-        grams, out = word_grams(text), []
-        for k in sorted(candidates):
-            item_id, wanted = self.items[k]
-            shared = len(wanted & grams)
-            if shared >= self.threshold * len(wanted) - 1e-9:
-                out.append((item_id, shared, len(wanted)))
-        return out
+    def matches(self, texts: list[str | None]) -> Iterator[list[tuple[int, int, int]]]:
+        """Per text (item_id, shared shingles, shingles of the item) for every item that it contains."""
+        for text, hashes in zip(texts, word_hashes(texts)):
+            candidates, out = self.candidates(shingle_sequence(hashes)), []
+            grams = word_grams(text) if candidates else set()
+            for k in sorted(candidates):
+                item_id, wanted = self.items[k]
+                shared = len(wanted & grams)
+                if shared >= self.threshold * len(wanted) - 1e-9:
+                    out.append((item_id, shared, len(wanted)))
+            yield out
 
 
 def _item_blocks(benchmark: DataFrame, threshold: float) -> Iterator:
@@ -121,7 +119,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     for index in _item_blocks(benchmark, threshold):
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(d, i, s, n, s / n) for d, t in zip(batch.column(0).to_pylist(), string_column(batch, "text")) for i, s, n in index.value.matches(t)]
+                rows = [(d, i, s, n, s / n) for d, found in zip(batch.column(0).to_pylist(), index.value.matches(string_column(batch, "text"))) for i, s, n in found]
                 columns = list(zip(*rows)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.float64()])], ["doc_id", "item_id", "shared", "item_shingles", "containment"])
 
@@ -135,7 +133,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     for index in _item_blocks(benchmark, threshold):
         def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not index.value.matches(t) for t in string_column(batch, "text")], pa.bool_()))
+                yield batch.filter(pa.array([not found for found in index.value.matches(string_column(batch, "text"))], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs

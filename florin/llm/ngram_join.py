@@ -40,14 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark import connected_groups, materialise
-from .text import WordHashes, mix, shingle_set, string_column
+from .text import mix, shingle_sets, string_column
 
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 STEP = 32
 _PROBES = np.random.default_rng(11).integers(0, BINS, (BINS, 48))
 _BOUNDS = np.array([(b << 64) // BINS + (b > 0) for b in range(BINS)], np.uint64)
-_HASHES = WordHashes()
 
 
 @dataclass(frozen=True)
@@ -94,8 +93,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             high, low, keys = [], [], []
-            for text in string_column(batch, "text"):
-                shingles = shingle_set(text, _HASHES)
+            for shingles in shingle_sets(string_column(batch, "text")):
                 if len(shingles):
                     d1, d2 = set_digest(shingles)
                     high.append(d1), low.append(d2), keys.append(band_keys(*minhash(shingles)))
@@ -191,9 +189,8 @@ def lowest_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _compare(rows: list[dict], options: JoinOptions, least: np.ndarray) -> list[tuple[int, int, int]]:
     """(member, linked documents, smallest member reached) for the rows of one group or pair of blocks."""
     members: dict[int, tuple[int, np.ndarray, int]] = {}
-    for r in rows:
+    for r, shingles in zip(rows, shingle_sets([r["text"] for r in rows])):
         if r["member"] not in members:
-            shingles = shingle_set(r["text"], _HASHES)
             if set_digest(shingles) == (r["d1"], r["d2"]):  # else another text under the same doc_id
                 members[r["member"]] = (r["side"], shingles, r["copies"])
     order = sorted(members, key=lambda m: (members[m][0], m))

@@ -1,21 +1,28 @@
 """Words, shingles and small numpy helpers shared by the text operators.
 
-Everything here runs inside Spark tasks on one document at a time; none of it
-holds more than one document plus a bounded cache of word hashes.
+A word is a run of letters and digits in lower case; white space and ASCII
+punctuation separate words, and every character beyond ASCII counts as a letter. Words are hashed
+for whole lists of texts at once. Everything runs inside Spark tasks, over a bounded
+number of characters at a time.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
+from collections.abc import Iterator
 
 import numpy as np
 
-#: Distinct raw words a task remembers before it starts over.
-WORD_CACHE = 500_000
 SHINGLE = 5
+#: Characters that are hashed together; bounds a task's working arrays.
+SLICE = 1 << 19
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
+_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+_INSIDE = np.array([bool(_WORD.fullmatch(bytes([b]))) for b in range(256)])
+_BYTES = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=np.uint64)
+_POWERS = np.cumprod(np.full(1024, _MUL, np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,38 +32,73 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def normal_word(raw: str) -> str:
-    """Lower case, without punctuation at either end; may be empty."""
-    word = raw.lower()
-    start, end = 0, len(word)
-    while start < end and not word[start].isalnum():
-        start += 1
-    while end > start and not word[end - 1].isalnum():
-        end -= 1
-    return word[start:end]
-
-
-class WordHashes(dict):
-    """Raw word -> 64-bit hash of its normal form; 0 for a word without letters and digits."""
-
-    def __missing__(self, raw: str) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        word = normal_word(raw)
-        value = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") | 1 if word else 0
-        self[raw] = value
-        return value
-
-
-def word_hashes(text: str | None, cache: WordHashes) -> np.ndarray:
-    """Hashes of the normal words of a text, in order."""
-    words = (text or "").split()
-    hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    return hashes[hashes != 0]
-
-
-def normal_words(text: str | None) -> list[str]:
-    return [w for w in map(normal_word, (text or "").split()) if w]
+def words_of(text: str | None) -> list[bytes]:
+    """The words themselves, as UTF-8."""
+    return _WORD.findall((text or "").lower().encode("utf-8", "replace"))
+
+
+def _hash_slice(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the parts, and how many each part has."""
+    global _POWERS
+    data = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
+    inside = _INSIDE[data]
+    change = np.diff(inside.view(np.int8), prepend=np.int8(0))
+    starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    begins = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    counts = np.diff(np.searchsorted(starts, begins))
+    if not len(starts):
+        return np.empty(0, np.uint64), counts
+    lengths = ends - starts
+    if (longest := int(lengths.max())) > len(_POWERS):
+        _POWERS = np.cumprod(np.full(2 * longest, _MUL, np.uint64))
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
+    return mix(np.add.reduceat(_BYTES[data[inside]] * _POWERS[place], first)), counts
+
+
+def _parts(text: str | None) -> Iterator[bytes]:
+    """A text's bytes, cut between words if it is very long."""
+    raw = (text or "").lower().encode("utf-8", "replace")
+    while len(raw) > 2 * SLICE:
+        cut = raw.find(b" ", SLICE)
+        if cut < 0:
+            break
+        yield raw[:cut]
+        raw = raw[cut + 1 :]
+    yield raw
+
+
+def word_hashes_of(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of neighbouring texts: the hashes of their words, and how many words each text has."""
+    parts: list[bytes] = []
+    owners: list[int] = []
+    size = first = 0
+
+    def done(last: int) -> tuple[np.ndarray, np.ndarray]:
+        hashes, counts = _hash_slice(parts)
+        total = np.zeros(last - first, np.int64)
+        np.add.at(total, np.array(owners, np.int64) - first, counts)
+        parts.clear(), owners.clear()
+        return hashes, total
+
+    for k, text in enumerate(texts):
+        for part in _parts(text):
+            parts.append(part)
+            owners.append(k)
+            size += len(part) + 1
+        if size >= SLICE:
+            yield done(k + 1)
+            first, size = k + 1, 0
+    if parts:
+        yield done(len(texts))
+
+
+def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """Hashes of the words of every text, in order."""
+    for hashes, counts in word_hashes_of(texts):
+        ends = np.cumsum(counts)
+        for begin, end in zip((ends - counts).tolist(), ends.tolist()):
+            yield hashes[begin:end]
 
 
 def shingle_sequence(hashes: np.ndarray, n: int = SHINGLE) -> np.ndarray:
@@ -72,12 +114,10 @@ def shingle_sequence(hashes: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return mix(out)
 
 
-def shingle_set(text: str | None, cache: WordHashes, n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct shingles. A text of 1 to n - 1 words has one shingle: all its words."""
-    hashes = word_hashes(text, cache)
-    if 0 < len(hashes) < n:
-        return shingle_sequence(hashes, len(hashes))
-    return np.unique(shingle_sequence(hashes, n))
+def shingle_sets(texts: list[str | None], n: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Sorted distinct shingles of every text. A text of 1 to n - 1 words has one shingle: all its words."""
+    for hashes in word_hashes(texts):
+        yield shingle_sequence(hashes, len(hashes)) if 0 < len(hashes) < n else np.unique(shingle_sequence(hashes, n))
 
 
 def string_column(batch, name: str) -> list[str | None]:
