@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contained_items
 from .html_text import extract_text
 from .language_id import identify_languages
+from .line_dedup import dedup_lines
 from .ngram_join import near_duplicates
 from .packing import pack
 from .quality_rules import quality_report
@@ -55,6 +56,11 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read_table(spark, sf_dir, "pages"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.col("n_removed_lines").cast("long").alias("n_removed_lines"), F.length("text").cast("long").alias("n_chars_left"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(read_table(spark, sf_dir, "documents"))
 
@@ -70,7 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_decontamination, op4_language_id, op5_token_counts, op6_html_text, op8_substring_dedup, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_decontamination, op4_language_id, op5_token_counts, op6_html_text, op7_line_dedup, op8_substring_dedup, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict:

@@ -4,27 +4,33 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+def _checkpoint_root(spark: SparkSession) -> str:
+    """The cluster's shared folder, named by ``spark.checkpoint.dir``; a temporary one only where that is unset, as in local tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or os.path.join(tempfile.gettempdir(), "florin-checkpoints")
 
-    ``spark.checkpoint.dir`` names that folder. Only where it is unset, as in
-    local tests, a temporary folder is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "florin-checkpoints"))
+        context.setCheckpointDir(_checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of its own for this call, below the shared one."""
+    return f"{_checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
