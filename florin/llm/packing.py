@@ -27,18 +27,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .spark import materialise
-from .text import string_column
+from .text import WordTable, string_column
 
 MAX_LEN = 2048
 END_ID = 1
 SALTS = 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 WORD_CACHE = 1_000_000
+#: Texts whose new words are tokenized together.
+TOGETHER = 256
 _TOKENIZERS: dict[str, "WordIds"] = {}
 
 
-class WordIds(dict):
-    """Word -> its ids as little-endian bytes, kept across the documents of a task.
+class WordIds:
+    """The ids of every word as little-endian bytes, kept across the documents of a task.
 
     The vocabulary's rules never join characters across white space, so
     a text's ids are those of its words; words here are cut at blanks and line ends.
@@ -49,18 +51,17 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.table, self.known = WordTable(), []
 
-    def ids(self, text: str | None) -> np.ndarray:
-        words = (text or "").replace("\n", " ").split(" ")
-        new = {w for w in set(words) if w not in self}
-        if new:
-            if len(self) + len(new) > WORD_CACHE:
-                self.clear()
-                new = set(words)
-            new = list(new)
-            for word, made in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self[word] = np.array(made.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
+    def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Per text its ids."""
+        if len(self.table) > WORD_CACHE:
+            self.table, self.known = WordTable(), []
+        numbers = [list(map(self.table.__getitem__, (t or "").replace("\n", " ").split(" "))) for t in texts]
+        if new := self.table.take_new():
+            self.known += [np.array(made.ids, "<u4").tobytes() for made in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+        for own in numbers:
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, own)), "<u4")
 
 
 def _tokens(path: str) -> WordIds:
@@ -77,15 +78,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end_id:
         end = np.array([end_id], "<u4")
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), string_column(batch, "text")):
-                ids = np.concatenate([words.ids(text), end])
-                for start in range(0, len(ids), max_len):
-                    piece = ids[start : start + max_len]
-                    rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
+            doc_ids, texts = batch.column(0).to_pylist(), string_column(batch, "text")
+            for first in range(0, len(texts), TOGETHER):
+                for doc_id, own in zip(doc_ids[first:], words.ids(texts[first : first + TOGETHER])):
+                    ids = np.concatenate([own, end])
+                    for start in range(0, len(ids), max_len):
+                        piece = ids[start : start + max_len]
+                        rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
 def packing_patterns(histogram: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -120,5 +120,24 @@ def shingle_sets(texts: list[str | None], n: int = SHINGLE) -> Iterator[np.ndarr
         yield shingle_sequence(hashes, len(hashes)) if 0 < len(hashes) < n else np.unique(shingle_sequence(hashes, n))
 
 
+class WordTable(dict):
+    """Raw word -> a number in order of first sight; ``new`` has the words numbered since they were last taken."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def take_new(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
+
+
 def string_column(batch, name: str) -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
