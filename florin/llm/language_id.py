@@ -39,7 +39,7 @@ TOGETHER = 1024
 class Training:
     docs_per_language: int = 500
     hidden: int = 8
-    epochs: int = 8
+    steps: int = 600
     batch: int = 128
     rate: float = 0.01
     seed: int = 7
@@ -143,17 +143,16 @@ def train(samples: list[tuple[str, bytes]], options: Training = Training()) -> B
     rng = np.random.default_rng(options.seed)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
-    steps, total = 0, options.epochs * -(-len(data) // options.batch)
-    for _ in range(options.epochs):
-        order = rng.permutation(len(data))
-        for i in range(0, len(order), options.batch):
-            rows = order[i : i + options.batch]
-            steps += 1
-            rate = options.rate * (1 - steps / (total + 1))
-            for k, g in net.gradients(data[rows], target[rows]).items():
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.999 * second[k] + 0.001 * g * g
-                net.p[k] -= (rate * (first[k] / (1 - 0.9**steps)) / (np.sqrt(second[k] / (1 - 0.999**steps)) + 1e-8)).astype(np.float32)
+    waiting = np.empty(0, np.int64)
+    for step in range(1, options.steps + 1):
+        while len(waiting) < options.batch:
+            waiting = np.concatenate([waiting, rng.permutation(len(data))])
+        rows, waiting = waiting[: options.batch], waiting[options.batch :]
+        rate = options.rate * (1 - step / (options.steps + 1))
+        for k, g in net.gradients(data[rows], target[rows]).items():
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.999 * second[k] + 0.001 * g * g
+            net.p[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return net
 
 
