@@ -98,17 +98,21 @@ def clean_invoices(invoices: DataFrame, open_month: str) -> DataFrame:
 def clean_banking_products(products: DataFrame) -> DataFrame:
     """Normal type and currency, and how liquid the account is."""
     kind = F.lower(F.trim("type"))
-    liquidity = F.when(kind.isin("checking", "wallet"), "immediate").when(kind == "saving", "short").when(kind.isin("card", "tpv"), "in_transit").otherwise("unknown")
+    liquidity = (
+        F.when(kind.isin("checking", "saving", "wallet"), "cash").when(kind == "tpv", "collection").when(kind.isin("card", "expensesplatform"), "card")
+        .when(kind == "investment", "investment").when(kind.isin("risk", "lineofcomex"), "other").otherwise("unknown")
+    )
     return products.select("product_id", "company_id", kind.alias("type_norm"), normal_currency(F.col("currency")).alias("currency_norm"), liquidity.alias("liquidity_class"))
 
 
 def clean_debt_products(products: DataFrame) -> DataFrame:
     """Absolute amounts, the sign they came with, whether anything is drawn, and the class of debt."""
     kind = F.lower(F.trim("type"))
-    sign = F.when(F.col("outstanding") > 0, "positive").when(F.col("outstanding") < 0, "negative").when(F.col("outstanding").isNotNull(), "zero").otherwise("unknown")
+    sign = F.when(F.col("outstanding") > 0, "positive").when(F.col("outstanding") < 0, "negative").when(F.col("outstanding").isNotNull(), "zero").otherwise("missing")
     return products.select(
         "product_id", "company_id", kind.alias("type_norm"), F.abs("granted").alias("granted_abs"), F.abs("outstanding").alias("outstanding_abs"), sign.alias("outstanding_sign"),
-        (F.col("outstanding") != 0).alias("is_drawn"), F.when(kind.isin("loan", "leasing"), "amortising").when(kind == "lineofcredit", "revolving").when(kind == "factoring", "receivables").otherwise("unknown").alias("debt_class"),
+        F.coalesce(F.abs("outstanding") > 0.01, F.lit(False)).alias("is_drawn"),
+        F.when(kind.isin("loan", "leasing", "mortgage", "renting"), "term").when(kind == "lineofcredit", "revolving").when(kind.isin("factoring", "confirming"), "receivables").when(kind == "guarantee", "offbalance").otherwise("unknown").alias("debt_class"),
     )
 
 

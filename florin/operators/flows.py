@@ -57,7 +57,7 @@ def description_rule(description: Column, direction: Column) -> Column:
     for rule, flow_class, likes, needed in reversed(DESCRIPTION_RULES):
         hit = F.lit(False)
         for like in likes:
-            hit = hit | text.like(like.replace("_", r"\_") if "STRIPE" in like else like)
+            hit = hit | text.like(like)
         if needed:
             hit = hit & (direction == needed)
         out = F.when(hit, F.struct(F.lit(rule).alias("rule"), F.lit(flow_class).alias("class"))).otherwise(out)

@@ -132,13 +132,13 @@ def c04_clean_invoices(t: Treasury) -> DataFrame:
     return _inv(t).select("operation_id", "month", "status_norm", "flow_side", *money("amount_acct", "amount_eur"), "amount_eur_source", "days_to_due", "days_to_payment", "settlement_date_ok", "maturity_date_ok", "fx_ambiguous")
 
 
-@query("""SELECT product_id, company_id, type AS type_norm, currency AS currency_norm, CASE WHEN type = 'checking' THEN 'immediate' WHEN type = 'saving' THEN 'short' ELSE 'in_transit' END AS liquidity_class FROM banking_products""")
+@query("""SELECT product_id, company_id, type AS type_norm, currency AS currency_norm, CASE WHEN type IN ('checking', 'saving') THEN 'cash' WHEN type = 'tpv' THEN 'collection' ELSE 'card' END AS liquidity_class FROM banking_products""")
 def c09_clean_banking_products(t: Treasury) -> DataFrame:
     return C.clean_banking_products(t.banking_products)
 
 
-@query("""SELECT product_id, company_id, type AS type_norm, round(abs(granted), 2) AS granted_abs, round(abs(outstanding), 2) AS outstanding_abs, CASE WHEN outstanding > 0 THEN 'positive' WHEN outstanding < 0 THEN 'negative' WHEN outstanding = 0 THEN 'zero' ELSE 'unknown' END AS outstanding_sign,
-    outstanding <> 0 AS is_drawn, CASE type WHEN 'loan' THEN 'amortising' WHEN 'leasing' THEN 'amortising' WHEN 'lineofcredit' THEN 'revolving' ELSE 'receivables' END AS debt_class FROM debt_products""")
+@query("""SELECT product_id, company_id, type AS type_norm, round(abs(granted), 2) AS granted_abs, round(abs(outstanding), 2) AS outstanding_abs, CASE WHEN outstanding > 0 THEN 'positive' WHEN outstanding < 0 THEN 'negative' WHEN outstanding = 0 THEN 'zero' ELSE 'missing' END AS outstanding_sign,
+    coalesce(abs(outstanding) > 0.01, false) AS is_drawn, CASE type WHEN 'loan' THEN 'term' WHEN 'leasing' THEN 'term' WHEN 'lineofcredit' THEN 'revolving' ELSE 'receivables' END AS debt_class FROM debt_products""")
 def c10_clean_debt_products(t: Treasury) -> DataFrame:
     return C.clean_debt_products(t.debt_products).withColumns({c: F.round(c, 2) for c in ("granted_abs", "outstanding_abs")})
 
