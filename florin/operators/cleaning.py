@@ -10,7 +10,8 @@ from florin.functions.core import flags, in_window, is_finite, joined, missing_t
 # The window of plausible dates, the extreme amount, sentinel balances, the closed flag vocabulary.
 FIRST_DAY, AFTER_LAST_DAY = "1990-01-01", "2031-01-01"
 EXTREME = 1e9
-SENTINEL = -999999999.0
+#: Balances at or beyond these are placeholders of the source.
+SENTINEL_LOW, SENTINEL_HIGH = -999999999.0, 1000000000.0
 FLAGS = ("cast_failed", "date_out_of_range", "date_order_invalid", "sentinel_value", "fx_rate_invalid", "fx_not_convertible", "amount_extreme", "amount_missing", "category_missing", "status_missing", "country_normalized", "country_unknown", "fk_orphan", "paid_with_pending", "open_month", "sentinel_hidden_balance")
 
 
@@ -119,10 +120,10 @@ def clean_debt_products(products: DataFrame) -> DataFrame:
 def clean_balances(balances: DataFrame, banking: DataFrame, debt: DataFrame) -> DataFrame:
     """Sentinel balances become null and are flagged; the product's source is looked up."""
     products = banking.select("product_id", F.lit("banking").alias("source"), F.col("currency").alias("product_currency")).unionByName(debt.select("product_id", F.lit("debt").alias("source"), F.col("currency").alias("product_currency")))
-    sentinel = F.col("balance") == SENTINEL
+    sentinel = (F.col("balance") <= SENTINEL_LOW) | (F.col("balance") >= SENTINEL_HIGH)
     return balances.join(products, "product_id", "left").select(
         "product_id", "company_id", "date", F.when(~sentinel, F.col("balance")).alias("balance_ok"), F.coalesce("source", F.lit("orphan")).alias("product_source"), "product_currency",
-        flags((sentinel, "sentinel_value"), (F.col("source").isNull(), "fk_orphan")).alias("quality_flags"),
+        flags((sentinel, "sentinel_hidden_balance"), (F.col("source").isNull(), "fk_orphan")).alias("quality_flags"),
     )
 
 

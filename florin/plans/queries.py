@@ -144,7 +144,7 @@ def c10_clean_debt_products(t: Treasury) -> DataFrame:
 
 
 @query("""SELECT b.product_id, b.company_id, b.date, round(CASE WHEN balance <> -999999999.0 THEN balance END, 2) AS balance_ok, coalesce(p.src, 'orphan') AS product_source, p.currency AS product_currency,
-    concat_ws(',', CASE WHEN p.src IS NULL THEN 'fk_orphan' END, CASE WHEN balance = -999999999.0 THEN 'sentinel_value' END) AS quality_flags FROM balances b LEFT JOIN products p ON p.product_id = b.product_id""")
+    concat_ws(',', CASE WHEN p.src IS NULL THEN 'fk_orphan' END, CASE WHEN balance <= -999999999.0 OR balance >= 1000000000.0 THEN 'sentinel_hidden_balance' END) AS quality_flags FROM balances b LEFT JOIN products p ON p.product_id = b.product_id""")
 def c12_clean_balances(t: Treasury) -> DataFrame:
     return C.flag_text(C.clean_balances(t.balances, t.banking_products, t.debt_products)).withColumn("balance_ok", F.round("balance_ok", 2))
 
