@@ -76,6 +76,8 @@ def _with(sql: str) -> str:
                 needed.append(name)
 
     visit(sql)
+    if not needed:
+        return sql
     return "WITH " + ", ".join(f"{n} AS ({STEPS[n]})" for n in dict.fromkeys(needed)) + " " + sql
 
 
