@@ -56,12 +56,12 @@ def l07_coverage(t: Treasury) -> DataFrame:
     return Q.coverage(K.forward_position(K.cash_flows(cash_queries._tx(t), "month")))
 
 
-@query("""SELECT month, count(*) AS n, round(median(balance - position), 2) AS median_level_gap, round(max(abs(fc - bc)), 2) AS max_change_gap FROM (SELECT f.month, position, balance, fc, bc FROM (SELECT company_id, month, position, position - lag(position) OVER (PARTITION BY company_id ORDER BY month) AS fc FROM forward) f
+@query("""SELECT month, count(*) AS n, round(median(balance - position), 4) AS median_level_gap, round(max(abs(fc - bc)), 2) AS max_change_gap FROM (SELECT f.month, position, balance, fc, bc FROM (SELECT company_id, month, position, position - lag(position) OVER (PARTITION BY company_id ORDER BY month) AS fc FROM forward) f
     JOIN (SELECT company_id, month, balance, balance - lag(balance) OVER (PARTITION BY company_id ORDER BY month) AS bc FROM back_rows) b USING (company_id, month) WHERE balance IS NOT NULL) GROUP BY month""")
 def l05_forward_backward(t: Treasury) -> DataFrame:
     tx = cash_queries._tx(t)
     back = K.backward_balance(K.cash_flows(tx, "month", K.ANCHORED), cash_queries._anchor(t), t.companies, FIRST_MONTH, ANCHOR_DAY)
-    return K.forward_backward_difference(K.forward_position(K.cash_flows(tx, "month")), back).select("month", "n", *money("median_level_gap", "max_change_gap"))
+    return K.forward_backward_difference(K.forward_position(K.cash_flows(tx, "month")), back).select("month", "n", F.round("median_level_gap", 4).alias("median_level_gap"), *money("max_change_gap"))
 
 
 @query(f"""SELECT company_id, round(min(balance), 2) AS lowest, min(day) FILTER (balance < 0) AS first_shortfall, round(greatest(0, -min(balance)), 2) AS funding_needed, CAST(sum(n_unknown) AS BIGINT) AS n_unknown FROM (SELECT m.company_id, day, n_unknown, anchor + sum(coalesce(net, 0)) OVER (PARTITION BY m.company_id ORDER BY day) AS balance FROM (SELECT company_id, greatest(due, DATE '2001-08-01') AS day,
