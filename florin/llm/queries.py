@@ -10,6 +10,7 @@ from .html_text import extract_text
 from .language_id import identify_languages
 from .line_dedup import dedup_lines
 from .ngram_join import near_duplicates
+from .oracles import quality_rules_sql
 from .packing import pack
 from .quality_rules import quality_report
 from .spark import read_table
@@ -80,4 +81,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_quality_rules": quality_rules_sql()}
