@@ -168,6 +168,24 @@ def test_lines_by_brute_force(spark, small, block):
         assert out[i].text == "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone[i]) and out[i].n_removed_lines == len(gone[i])
 
 
+@pytest.mark.parametrize("size, changed", [(5, 1), (10, 1), (10, 2), (27, 1), (27, 2), (27, 4), (60, 5), (100, 10)])
+def test_lines_at_the_edit_similarity_are_found(spark, size, changed):
+    """Recall on pairs that are known by edit similarity alone."""
+    rng = random.Random(size * 100 + changed)
+    texts, pairs = {}, 0
+    while pairs < 100:
+        words = prose(rng, size)
+        other = list(words)
+        for k in rng.sample(range(size), changed):
+            other[k] = prose(rng, 1)[0]
+        a, b = " ".join(words).encode(), " ".join(other).encode()
+        if 0 < 5 * L.edit_distance(a, b, 10**6) <= max(len(a), len(b)):
+            texts |= {2 * pairs: a.decode(), 2 * pairs + 1: b.decode()}
+            pairs += 1
+    gone = {(r.doc_id, r.kept_doc_id) for r in L.repeated_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert gone <= {(2 * k + 1, 2 * k) for k in range(pairs)} and len(gone) >= 0.8 * pairs
+
+
 def test_repeated_passages_are_found_and_nothing_else(spark):
     rng = random.Random(7)
     passages = [prose(rng, 60) for _ in range(30)]
