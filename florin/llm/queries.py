@@ -63,7 +63,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(read_table(spark, sf_dir, "documents"))
+    spans = repeated_spans(read_table(spark, sf_dir, "documents"), across_documents=False)
+    return spans.withColumn("across", F.col("first_doc_id") < F.col("doc_id"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

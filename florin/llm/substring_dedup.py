@@ -6,7 +6,8 @@ insertion moves no boundary beyond its neighbourhood, and a passage that occurs
 cut into the same chunks in both but for its edges. Chunks with the same digest are
 duplicates; the occurrence with the lowest (doc_id, start) is the original.
 Adjacent duplicate chunks of a document form a span, and spans of at least ``min_words``
-words are reported or cut out.
+words are reported or cut out. In text without spaces, words do not measure a span; there it
+is long enough with ``min_wide`` characters of three or more UTF-8 bytes.
 
 Chunks are counted with map-side aggregation, so a passage in a third of all
 documents reaches the reducers as one row per task. The chunks then
@@ -40,6 +41,8 @@ class Chunking:
     most: int = 512
     #: Words a span of duplicate chunks must have; the passage around it is longer by parts of two chunks.
     min_words: int = 25
+    #: Characters of three or more UTF-8 bytes that do as well, for scripts without spaces.
+    min_wide: int = 75
     seed: int = 20
 
 
@@ -79,31 +82,35 @@ def chunk_ends(raw: bytes, options: Chunking, table: np.ndarray) -> list[int]:
 
 
 def chunks(docs: DataFrame, options: Chunking = Chunking()) -> DataFrame:
-    """``(doc_id, start, length, words, digest)``: the chunks of every text, in bytes."""
+    """``(doc_id, start, length, words, wide, digest)``: the chunks of every text, in bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = gear_table(options.seed)
         space = np.zeros(256, bool)
         space[[9, 10, 11, 12, 13, 32]] = True
+        # first bytes of UTF-8 sequences of three or four bytes: alphabets with spaces have mostly two
+        first = np.arange(256) >= 0xE0
         for batch in batches:
-            ids, starts, lengths, words, digests = [], [], [], [], []
+            ids, starts, lengths, words, wide, digests = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), string_column(batch, "text")):
                 raw = (text or "").encode("utf-8", "replace")
                 ends = chunk_ends(raw, options, table)
                 if not ends or doc_id is None:
                     continue
                 begins = [0, *ends[:-1]]
-                gaps = np.concatenate([[0], np.cumsum(space[np.frombuffer(raw, np.uint8)])])
+                data = np.frombuffer(raw, np.uint8)
+                gaps, wides = (np.concatenate([[0], np.cumsum(of[data])]) for of in (space, first))
                 b, e = np.array(begins), np.array(ends)
                 ids.append(np.full(len(e), doc_id))
                 starts.append(b)
                 lengths.append(e - b)
                 words.append(gaps[e] - gaps[b])
+                wide.append(wides[e] - wides[b])
                 digests.append(np.array([xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(begins, ends)], np.uint64).view(np.int64))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in ((ids, pa.int64()), (starts, pa.int32()), (lengths, pa.int32()), (words, pa.int32()), (digests, pa.int64()))], ["doc_id", "start", "length", "words", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in ((ids, pa.int64()), (starts, pa.int32()), (lengths, pa.int32()), (words, pa.int32()), (wide, pa.int32()), (digests, pa.int64()))], ["doc_id", "start", "length", "words", "wide", "digest"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, start int, length int, words int, digest long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, start int, length int, words int, wide int, digest long")
 
 
 def repeated_spans(docs: DataFrame, options: Chunking = Chunking(), across_documents: bool = True) -> DataFrame:
@@ -118,17 +125,17 @@ def repeated_spans(docs: DataFrame, options: Chunking = Chunking(), across_docum
     copies = found.join(original, F.col("digest") == F.col("_digest")).where(
         (F.col("first.doc_id") < F.col("doc_id")) if across_documents else (F.col("first") != F.struct("doc_id", "start"))
     )
-    copies = copies.select("doc_id", "start", "length", "words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")).dropDuplicates(["doc_id", "start"])
+    copies = copies.select("doc_id", "start", "length", "words", "wide", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")).dropDuplicates(["doc_id", "start"])
     in_order = Window.partitionBy("doc_id").orderBy("start")
     begins = F.coalesce((F.lag(F.col("start") + F.col("length")).over(in_order) != F.col("start")).cast("int"), F.lit(1))
     spans = copies.withColumn("begins", begins).withColumn("span", F.sum("begins").over(in_order))
     return (
         spans.groupBy("doc_id", "span")
         .agg(
-            F.min("start").alias("start"), F.sum("length").alias("length"), F.sum("words").alias("words"), F.count("*").alias("n_chunks"),
+            F.min("start").alias("start"), F.sum("length").alias("length"), F.sum("words").alias("words"), F.sum("wide").alias("wide"), F.count("*").alias("n_chunks"),
             F.min(F.struct("start", "first_doc_id", "first_start")).alias("f"),
         )
-        .where(F.col("words") >= options.min_words)
+        .where((F.col("words") >= options.min_words) | (F.col("wide") >= options.min_wide))
         .select("doc_id", "start", "length", "words", "n_chunks", "f.first_doc_id", "f.first_start")
     )
 

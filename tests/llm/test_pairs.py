@@ -10,6 +10,7 @@ from conftest import SMALL
 from florin.llm import decontaminate as D
 from florin.llm import line_dedup as L
 from florin.llm import ngram_join as N
+from florin.llm import queries as Q
 from florin.llm import substring_dedup as S
 from florin.llm.text import shingle_sets, word_hashes, words_of
 
@@ -204,6 +205,17 @@ def test_repeated_passages_are_found_and_nothing_else(spark):
     assert cut[1000] == rows[60][1] and cut[2001] is None
 
 
+def test_repetitions_inside_a_document_and_without_spaces(spark, tmp_path):
+    rng = random.Random(9)
+    wide = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(400))
+    other = lambda: "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(200))
+    rows = [(1, " ".join(prose(rng, 500) * 4)), (2, other() + wide + other()), (3, other() + wide + other()), (4, " ".join(prose(rng, 500)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spans = Q.op8_substring_dedup(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.first_doc_id, r.across) for r in spans} == {(1, 1, False), (3, 2, True)}
+    assert sum(r.length for r in spans if r.doc_id == 1) > 0.7 * len(rows[0][1]) and sum(r.length for r in spans if r.doc_id == 3) > 900
+
+
 def test_chunk_boundaries_survive_insertions():
     options, table = S.Chunking(), S.gear_table(20)
     raw = " ".join(prose(random.Random(8), 3000)).encode()
