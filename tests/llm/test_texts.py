@@ -243,3 +243,23 @@ def test_pipeline(spark, small):
     assert all(b <= a for a, b in zip(kept, kept[1:])) and len(kept[-1]) < small.count()
     out = corpus_pipeline.run(spark, SMALL)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == kept[-1]
+
+
+def test_ids_of_words_are_those_of_whole_texts():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from florin.llm.queries import tokenizer_path
+
+    draw = random.Random(5)
+    letters = "abcABC dDİıßſΩKǺ̸̈=<>'s't're.,!?-_*# \n\t\r  éÉñÑ1２²日本語한글🙂ﬁ‍\x00|"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 60))) for _ in range(3000)]
+    texts += ["".join(draw.choice(["<|endoftext|>", "a", "b,", "X", " ", "<|endoftext |>", "|>"]) for _ in range(draw.randint(0, 9))) for _ in range(1000)]
+    texts += ["", None, "x" * 5000, "word, " * 20_000]
+    whole = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    flat, counts = P.WordIds(tokenizer_path("word_bpe_49k.json")).ids(pa.array(texts))
+    ends = counts.cumsum()
+    for text, end, n in zip(texts, ends, counts):
+        assert flat[end - n : end].tolist() == whole.encode(text or "", add_special_tokens=False).ids, repr(text)
