@@ -7,24 +7,23 @@ once. The steps:
 1. One-permutation MinHash of every class: BINS values, densified for the bands.
    Classes that agree in a band of ROWS values share a bucket; a pair at the threshold shares
    none of the BANDS buckets with a probability of 3e-6.
-2. Every bucket member points at the bucket's smallest one. Connected groups of these
-   pointers hold all candidate pairs between them, without a list of pairs.
-3. Inside a group the MinHash values of each pair are compared STEP at a time; a pair is dropped when the
+2. Classes that share a bucket meet in one unit of work: blocks of classes around a common lowest neighbour,
+   and pairs of such blocks only where a bucket spans them (see ``comparison_units``). A chain of texts that
+   are alike only from one to the next costs work in proportion to its length.
+3. Inside a unit the MinHash values of each pair are compared STEP at a time; a pair is dropped when the
    posterior probability that its similarity reaches the threshold, after m agreements
    in n bins and a uniform prior, falls below ``tolerance``. The rest is verified on
    the whole sets.
 4. Links are counted per class and connected into classes of near duplicates.
 
-Groups larger than ``block`` are split into blocks by hash, and each pair of blocks is a
-task of its own that returns one row per member: a spanning forest and counts, never
-pairs. The work inside a large group of different texts grows with the square
-of its size over the number of tasks, because every link is counted; what is shuffled is the members' texts
-once per block. Copies of one text, however many, are one member.
+A unit holds at most ``limit`` bytes of text on either side, unless one text alone is longer, and returns one row per member: a spanning forest
+and counts, never pairs. The work inside a family of *different* near copies grows with the square of
+its size over the number of tasks, because every link is counted. Copies of one text, however many, are one member.
 
-Defined results: a text without words has no shingles and no links; a text of one to four
-words has one shingle, all its words; a repeated row counts as a copy, and a doc_id with several
-texts is linked by each of them; a null doc_id has a null class and no
-links; an empty table gives an empty result; other columns are not read.
+Defined results: a null text or one without words has no shingles and no links; a text of one to four
+words has one shingle, all its words; a repeated row counts as a copy; rows with one doc_id and different texts are
+told apart by ``text_key`` and linked each by its own; ties in a class go to the lowest (doc_id, text_key); a null doc_id has a null class and no
+links; a very long text is compared whole; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,11 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import connected_groups, materialise
+from .spark import UNIT, comparison_units, connected_groups, materialise, rows_by_unit
 from .text import mix, shingle_sets, string_column
 
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
+#: Weight of a short text in a block; bounds the number of texts that are compared at once.
+LEAST_BYTES = 16 << 10
 STEP = 32
 _PROBES = np.random.default_rng(11).integers(0, BINS, (BINS, 48))
 _BOUNDS = np.array([(b << 64) // BINS + (b > 0) for b in range(BINS)], np.uint64)
@@ -53,10 +54,8 @@ _BOUNDS = np.array([(b << 64) // BINS + (b > 0) for b in range(BINS)], np.uint64
 class JoinOptions:
     threshold: float = 0.8
     tolerance: float = 1e-6
-    #: Members of a group that one task compares with each other or with another block.
-    block: int = 1000
-    #: Members of small groups that share a task's call.
-    together: int = 2000
+    #: Bytes of text, and LEAST_BYTES at least for each one, that one block of a unit may hold.
+    limit: int = 16 << 20
 
 
 def minhash(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +87,7 @@ def set_digest(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``(doc_id, d1, d2, keys)``: digest of the shingle set and band keys; nulls for a text without words."""
+    """``(doc_id, text_key, size, d1, d2, keys)``: digest of the shingle set and band keys; nulls for a text without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,9 +98,14 @@ def signatures(docs: DataFrame) -> DataFrame:
                     high.append(d1), low.append(d2), keys.append(band_keys(*minhash(shingles)))
                 else:
                     high.append(None), low.append(None), keys.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "d1", "d2", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "size", "d1", "d2", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, d1 long, d2 long, keys array<long>")
+    return identified(docs).select("doc_id", "text_key", F.octet_length("text").alias("size"), "text").mapInArrow(sign, "doc_id long, text_key long, size int, d1 long, d2 long, keys array<long>")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text_key, text)``: rows of one doc_id with different texts are told apart by a hash of the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
 
 def least_agreements(threshold: float, tolerance: float) -> np.ndarray:
@@ -187,86 +191,61 @@ def lowest_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _compare(rows: list[dict], options: JoinOptions, least: np.ndarray) -> list[tuple[int, int, int]]:
-    """(member, linked documents, smallest member reached) for the rows of one group or pair of blocks."""
-    members: dict[int, tuple[int, np.ndarray, int]] = {}
-    for r, shingles in zip(rows, shingle_sets([r["text"] for r in rows])):
-        if r["member"] not in members:
-            if set_digest(shingles) == (r["d1"], r["d2"]):  # else another text under the same doc_id
-                members[r["member"]] = (r["side"], shingles, r["copies"])
-    order = sorted(members, key=lambda m: (members[m][0], m))
-    sides = [members[m][0] for m in order]
-    # a block with itself has side 0 only; members of side 1 are compared with side 0 alone
-    split = sides.index(1) if 1 in sides else 0
-    if len(order) < 2 or (1 in sides and not split):
-        return [(m, 0, m) for m in order]
-    i, j = linked_pairs([members[m][1] for m in order], split, options, least)
-    copies = np.array([members[m][2] for m in order], np.int64)
-    counts = np.zeros(len(order), np.int64)
+    """(node, linked documents, smallest node reached) for the rows of one unit."""
+    rows = list({r["node"]: r for r in rows}.values())  # repeated rows of a document
+    rows.sort(key=lambda r: (r["side"], r["node"]))
+    split = sum(r["side"] == 0 for r in rows) % len(rows)  # 0: all are on side 0 and compared with each other
+    sets = list(shingle_sets([r["text"] for r in rows]))
+    i, j = linked_pairs(sets, split, options, least) if len(rows) > 1 else (np.empty(0, np.int64),) * 2
+    copies, ids = (np.array([r[c] for r in rows], np.int64) for c in ("copies", "node"))
+    counts = np.zeros(len(rows), np.int64)
     np.add.at(counts, i, copies[j])
     np.add.at(counts, j, copies[i])
-    ids = np.array(order)
     by_id = np.argsort(ids)
     rank = np.argsort(by_id)
-    reached = lowest_reached(len(order), rank[i], rank[j])[rank]
-    return list(zip(order, counts.tolist(), ids[by_id][reached].tolist()))
+    reached = lowest_reached(len(rows), rank[i], rank[j])[rank]
+    return list(zip(ids.tolist(), counts.tolist(), ids[by_id][reached].tolist()))
 
 
 def near_duplicates(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
-    """``(doc_id, class_id, n_links, n_copies)`` per row of ``docs``.
+    """``(doc_id, text_key, class_id, n_links, n_copies, first)`` per row of ``docs``.
 
     class_id is the smallest doc_id of the connected group; n_links the number of other
     documents whose similarity with this one is ``threshold`` or more, copies included; n_copies
-    the number of other documents with the same shingle set.
+    the number of other documents with the same shingle set; first tells whether the row is the group's lowest (doc_id, text_key).
     """
     least = least_agreements(options.threshold, options.tolerance)
     signed = materialise(signatures(docs))
     usable = signed.where(F.col("d1").isNotNull() & F.col("doc_id").isNotNull())
-    # equal sets have equal keys, so any of them will do
-    classes = materialise(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("member"), F.count("*").alias("copies"), F.min("keys").alias("keys")))
-
-    buckets = classes.select("member", F.explode("keys").alias("bucket"))
-    lowest = buckets.groupBy("bucket").agg(F.min("member").alias("low"), F.max("member").alias("high")).where("low < high").select(F.col("bucket").alias("_bucket"), "low")
-    pointers = buckets.join(lowest, F.col("bucket") == F.col("_bucket")).where("member <> low").select(F.col("member").alias("a"), F.col("low").alias("b"))
-    groups = materialise(connected_groups(pointers))
-
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size")).select(F.col("root").alias("_root"), "size")
-    blocks = F.ceil(F.col("size") / options.block).cast("int")
-    placed = (
-        groups.join(sizes, F.col("root") == F.col("_root"))
-        .join(classes.select("member", "copies", "d1", "d2"), F.col("node") == F.col("member"))
-        .select("root", "member", "copies", "d1", "d2", blocks.alias("blocks"))
-    )
-    n = groups.count()
-    calls = max(1, n // options.together)
-    own = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
-    # one row per pair of blocks that the member's block takes part in; small groups are packed by hash
-    units = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select(
-        "root", "member", "copies", "d1", "d2", "blocks",
-        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"),
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(calls))).otherwise(F.col("root")).alias("call"),
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc_id"), "text")
-    work = units.join(texts, F.col("member") == F.col("_doc_id")).drop("_doc_id")
+    classes = usable.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_key", "size")).alias("first"), F.count("*").alias("copies"), F.min("keys").alias("keys"))  # equal sets have equal keys
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()))
+
+    buckets = classes.select(F.explode("keys").alias("bucket"), "node")
+    weights = classes.select("node", F.greatest(F.col("first.size"), F.lit(LEAST_BYTES)).cast("long").alias("weight"))
+    units = comparison_units(buckets, weights, options.limit)
+    wanted = units.join(classes.select(F.col("node").alias("_node"), "first", "copies"), F.col("node") == F.col("_node"))
+    texts = identified(docs).select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), "text")
+    work = wanted.join(texts, (F.col("first.doc_id") == F.col("_doc_id")) & (F.col("first.text_key") == F.col("_text_key"))).select("node", *UNIT, "side", "call", "copies", "text")
 
     def verify(table: pa.Table) -> pa.Table:
-        by_root: dict[int, list[dict]] = {}
-        for r in table.to_pylist():
-            by_root.setdefault(r["root"], []).append(r)
-        rows = [(m, c, low, r[0]["blocks"] > 1) for r in by_root.values() for m, c, low in _compare(r, options, least)]
-        columns = list(zip(*rows)) if rows else [[]] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["member", "links", "low", "split"])
-
-    found = materialise(work.groupBy("call", F.col("blocks") > 1, "i", "j").applyInArrow(verify, "member long, links long, low long, split boolean"))
-    links = found.groupBy("member").agg(F.sum("links").alias("links"), F.min("low").alias("low"))
-    joined = connected_groups(found.where("split AND member <> low").select(F.col("member").alias("a"), F.col("low").alias("b")))
-    by_member = (
-        classes.select("d1", "d2", "copies", "member")
-        .join(links.withColumnRenamed("member", "_m"), F.col("member") == F.col("_m"), "left")
-        .join(joined, F.col("member") == F.col("node"), "left")
-        .select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "copies", F.coalesce("root", "low", "member").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+        rows = [row for unit in rows_by_unit(table) for row in _compare(unit, options, least)]
+        columns = list(zip(*rows)) if rows else [[]] * 3
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["node", "links", "low"])
+
+    found = materialise(work.groupBy("call").applyInArrow(verify, "node long, links long, low long"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links")).select(F.col("node").alias("_node"), "links")
+    groups = connected_groups(found.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("_member"), "root")
+    placed = materialise(
+        classes.select("d1", "d2", "copies", "node", F.struct("first.doc_id", "first.text_key").alias("first"))
+        .join(links, F.col("node") == F.col("_node"), "left").join(groups, F.col("node") == F.col("_member"), "left")
+        .select("d1", "d2", "copies", "first", "root", F.coalesce("links", F.lit(0)).alias("links"))
     )
+    lowest = placed.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("first").alias("lowest")).select(F.col("root").alias("_root"), "lowest")
+    by_set = placed.join(lowest, F.col("root") == F.col("_root"), "left").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "copies", F.coalesce("lowest", "first").alias("lowest"), "links")
     return (
-        signed.select("doc_id", "d1", "d2").join(by_member, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & F.col("doc_id").isNotNull(), "left")
-        .select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("copies") - 1, F.lit(0)).cast("long").alias("n_copies"))
+        signed.select("doc_id", "text_key", "d1", "d2").join(by_set, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & F.col("doc_id").isNotNull(), "left")
+        .select(
+            "doc_id", "text_key", F.coalesce("lowest.doc_id", "doc_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
+            F.coalesce(F.col("copies") - 1, F.lit(0)).cast("long").alias("n_copies"), F.coalesce(F.col("lowest") == F.struct("doc_id", "text_key"), F.lit(True)).alias("first"),
+        )
     )

@@ -26,7 +26,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Spark helpers of the text operators: materialising, sizes, connected groups."""
+"""Spark helpers of the text operators: materialising, comparison units, connected groups."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +77,46 @@ def connected_groups(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("connected groups did not settle")
     roots = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def comparison_units(buckets: DataFrame, weights: DataFrame, limit: int) -> DataFrame:
+    """Deals the members of overlapping buckets into units of bounded weight, so that every two members
+    of one bucket meet in exactly one unit.
+
+    ``buckets`` is ``(bucket, node)`` and ``weights`` is ``(node, weight)``. The home of a node is the lowest node
+    that shares a bucket with it; true families mostly have one home. A home of more than ``limit`` is dealt to
+    blocks by hash. A unit is a pair of blocks that occur in one bucket: a chain of members that
+    share buckets only with their neighbours costs work in proportion to the chain, and
+    a family that is larger than ``limit`` one unit per pair of its blocks. What is returned is
+    ``(node, home_i, salt_i, home_j, salt_j, side, call)``: a unit is named by its two blocks, those of one block have side 0 alone, and
+    units are packed into calls of about ``limit``.
+    """
+    buckets = buckets.distinct()
+    lowest = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(F.col("bucket").alias("_bucket"), "low")
+    shared = materialise(buckets.join(lowest, F.col("bucket") == F.col("_bucket")).select("bucket", "node", "low"))
+    homes = shared.groupBy("node").agg(F.min("low").alias("home")).join(weights.select(F.col("node").alias("_node"), "weight"), F.col("node") == F.col("_node")).drop("_node")
+    sizes = homes.groupBy("home").agg(F.sum("weight").alias("total")).select(F.col("home").alias("_home"), F.ceil(F.col("total") / limit).cast("int").alias("blocks"))
+    salt = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("int")
+    placed = materialise(homes.join(sizes, F.col("home") == F.col("_home")).select("node", "weight", F.struct("home", salt.alias("salt")).alias("block")))
+    inside = shared.select("bucket", "node").join(placed.select(F.col("node").alias("_node"), "block"), F.col("node") == F.col("_node")).groupBy("bucket", "block").agg(F.count("*").alias("n"))
+    left, right = (inside.select(F.col("bucket").alias(f"bucket_{x}"), F.col("block").alias(x), F.col("n").alias(f"n_{x}")) for x in "ij")
+    units = left.join(right, F.col("bucket_i") == F.col("bucket_j")).where((F.col("i") < F.col("j")) | ((F.col("i") == F.col("j")) & (F.col("n_i") > 1)))
+    units = materialise(units.select("i", "j").distinct())
+    ends = units.select(F.struct("i", "j").alias("unit"), F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")))).otherwise(
+        F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")), F.struct(F.lit(1).alias("side"), F.col("j").alias("block"))))).alias("end"))
+    dealt = ends.select("unit", "end.side", F.col("end.block").alias("_block")).join(placed, F.col("_block") == F.col("block")).select("node", "weight", "unit", "side")
+    dealt = materialise(dealt)
+    total = dealt.agg(F.sum("weight")).first()[0] or 0
+    named = (F.col(f"unit.{x}.{c}").alias(f"{c}_{x}") for x in "ij" for c in ("home", "salt"))
+    return dealt.select("node", *named, "side", F.pmod(F.xxhash64("unit", F.lit(1)), F.lit(max(1, int(total // limit)))).alias("call"))
+
+
+UNIT = ("home_i", "salt_i", "home_j", "salt_j")
+
+
+def rows_by_unit(table: pa.Table) -> list[list[dict]]:
+    """The rows of a call, unit by unit."""
+    units: dict[tuple, list[dict]] = {}
+    for row in table.to_pylist():
+        units.setdefault(tuple(row[c] for c in UNIT), []).append(row)
+    return list(units.values())

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SMALL
 from florin.llm import decontaminate as D
@@ -12,6 +13,7 @@ from florin.llm import line_dedup as L
 from florin.llm import ngram_join as N
 from florin.llm import queries as Q
 from florin.llm import substring_dedup as S
+from florin.llm.spark import comparison_units
 from florin.llm.text import shingle_sets, word_hashes, words_of
 
 
@@ -52,8 +54,8 @@ def test_near_duplicates_of_the_small_table(spark, small):
     assert got == want and any(n for _, n in want.values())
 
 
-@pytest.mark.parametrize("block", [1000, 7])
-def test_a_family_of_different_near_copies(spark, block):
+@pytest.mark.parametrize("limit", [16 << 20, 7 * N.LEAST_BYTES])
+def test_a_family_of_different_near_copies(spark, limit):
     """Many different near copies, in one task and split into pairs of blocks; exact copies beside them."""
     rng = random.Random(2)
     base, texts = prose(rng, 120), {}
@@ -64,10 +66,37 @@ def test_a_family_of_different_near_copies(spark, block):
         texts[k] = " ".join(words)
     texts |= {100 + k: texts[3] for k in range(5)} | {200 + k: " ".join(prose(rng, rng.randint(1, 50))) for k in range(20)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: (r.class_id, r.n_links) for r in N.near_duplicates(docs, N.JoinOptions(block=block, together=10)).collect()}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in N.near_duplicates(docs, N.JoinOptions(limit=limit)).collect()}
     assert got == brute_links(texts)
 
 
+def test_a_chain_of_texts_costs_work_in_proportion(spark):
+    """Every text is like its neighbours alone: one chain of buckets, but no unit holds it whole."""
+    rng = random.Random(3)
+    words, texts = prose(rng, 100), {}
+    for k in range(150):
+        texts[k] = " ".join(words)
+        words = [*words[8:], *prose(rng, 8)]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in N.near_duplicates(docs).collect()}
+    assert got == brute_links(texts)
+    pairs = spark.createDataFrame([(b, b + k) for b in range(1000) for k in (0, 1)], "bucket long, node long")
+    units = comparison_units(pairs, pairs.select("node").distinct().withColumn("weight", F.lit(1)), 10**6).collect()
+    members = defaultdict(set)
+    for r in units:
+        members[r.home_i, r.salt_i, r.home_j, r.salt_j].add(r.node)
+    assert max(map(len, members.values())) <= 4 and len(units) < 5000
+    assert all(sum({b, b + 1} <= m for m in members.values()) >= 1 for b in range(1000))
+
+
+def test_one_doc_id_with_several_texts(spark):
+    a, b = "a text of its own with some ten words in it", "another text under that same number which no one else has"
+    docs = spark.createDataFrame([(5, a), (5, b), (7, b), (5, a), (8, a + " and")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.n_copies, r["first"]) for r in N.near_duplicates(docs).collect())
+    assert [x[:4] for x in got] == [(5, 5, 1, 1)] + [(5, 5, 2, 1)] * 2 + [(7, 5, 1, 1), (8, 5, 2, 0)]
+    assert sum(x[4] for x in got) == 3  # both copies of the first text of class one, and the first of class two
+
+
 def test_bayesian_pruning_keeps_pairs_at_the_threshold():
     least = N.least_agreements(0.8, 1e-6)
     assert (np.diff(least) >= 0).all() and least[32] < 0.8 * 32 and least[160] > 0.5 * 160
