@@ -59,7 +59,8 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(read_table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", F.col("n_removed_lines").cast("long").alias("n_removed_lines"), F.length("text").cast("long").alias("n_chars_left"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    text = F.col("document.text")
+    return kept.select("document.doc_id", "n_removed_lines", F.length(text).cast("long").alias("n_chars_left"), F.crc32(text.cast("binary")).alias("text_crc32"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,8 +37,8 @@ def words_of(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").lower().encode("utf-8", "replace"))
 
 
-def _hash_slice(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the parts, and how many each part has."""
+def _hash_slice(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of the parts, how many each part has, and the words' bytes."""
     global _POWERS
     data = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
     inside = _INSIDE[data]
@@ -47,13 +47,13 @@ def _hash_slice(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     begins = np.cumsum([0, *(len(p) + 1 for p in parts)])
     counts = np.diff(np.searchsorted(starts, begins))
     if not len(starts):
-        return np.empty(0, np.uint64), counts
+        return np.empty(0, np.uint64), counts, np.empty(0, np.int64)
     lengths = ends - starts
     if (longest := int(lengths.max())) > len(_POWERS):
         _POWERS = np.cumprod(np.full(2 * longest, _MUL, np.uint64))
     first = np.cumsum(lengths) - lengths
     place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
-    return mix(np.add.reduceat(_BYTES[data[inside]] * _POWERS[place], first)), counts
+    return mix(np.add.reduceat(_BYTES[data[inside]] * _POWERS[place], first)), counts, lengths
 
 
 def _parts(text: str | None) -> Iterator[bytes]:
@@ -70,16 +70,21 @@ def _parts(text: str | None) -> Iterator[bytes]:
 
 def word_hashes_of(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For runs of neighbouring texts: the hashes of their words, and how many words each text has."""
+    return ((hashes, counts) for hashes, counts, _ in measured_words_of(texts))
+
+
+def measured_words_of(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As word_hashes_of, and the words' lengths in bytes."""
     parts: list[bytes] = []
     owners: list[int] = []
     size = first = 0
 
-    def done(last: int) -> tuple[np.ndarray, np.ndarray]:
-        hashes, counts = _hash_slice(parts)
+    def done(last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hashes, counts, lengths = _hash_slice(parts)
         total = np.zeros(last - first, np.int64)
         np.add.at(total, np.array(owners, np.int64) - first, counts)
         parts.clear(), owners.clear()
-        return hashes, total
+        return hashes, total, lengths
 
     for k, text in enumerate(texts):
         for part in _parts(text):
