@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-from .quality_rules import CAPITALS, MIN_WORDS, SYMBOLS, RiskControl
+from .quality_rules import CAPITALS, MIN_WORDS, PATH, STEP, SYMBOLS, RiskControl
 
 
 def quality_rules_sql(control: RiskControl = RiskControl()) -> str:
     """The base counts, the certified cutoffs and the verdicts, with the exact binomial sum written out."""
     bins = ", ".join(f"('{rule}', least(floor(CASE WHEN {bottom} > 0 THEN {top} / {bottom} ELSE 0 END / {step} + 1e-9), {control.grid})::INT)" for rule, (top, bottom, step) in control.rules.items())
-    alpha, tests = control.alpha / len(control.rules), len(control.rules) * control.grid
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 windows AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM (SELECT rid, unnest(generate_series(1, len(ws) - 2)) AS i, unnest(ws[1:len(ws) - 2]) AS a, unnest(ws[2:len(ws) - 1]) AS b, unnest(ws[3:len(ws)]) AS c FROM w WHERE len(ws) > 2)),
 repeated AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY rid),
-counts AS (SELECT w.rid, doc_id, lang, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
+counts AS (SELECT w.rid, doc_id, lang, md5(t) AS text_key, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
     (length(t) - length(translate(t, '{CAPITALS}', '')))::BIGINT AS n_capitals, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN repeated r ON r.rid = w.rid),
 based AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
-binned AS (SELECT rid, doc_id, lang, base_failed, b.rule, b.bin FROM based, LATERAL (VALUES {bins}) b(rule, bin)),
+binned AS (SELECT rid, doc_id, lang, text_key, base_failed, b.rule, b.bin FROM based, LATERAL (VALUES {bins}) b(rule, bin)),
 marks AS (SELECT doc_id, min(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-hist AS (SELECT lang, rule, bin, count(*) FILTER (good = 1) AS g, count(*) FILTER (good = 0) AS j FROM binned JOIN marks USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
-cut AS (SELECT lang, rule, c, sum(g) AS k, sum(j) AS junk FROM (SELECT lang, rule, g, j, unnest(generate_series(0, bin)) AS c FROM hist) GROUP BY ALL),
-tested AS (SELECT a.lang, a.rule, a.c, a.k, a.junk, CASE WHEN a.k >= b.k * {alpha} THEN 1.0 ELSE list_sum(list_transform(generate_series(0, a.k::BIGINT), lambda i: exp(lgamma(b.k + 1) - lgamma(i + 1) - lgamma(b.k - i + 1) + i * ln({alpha}) + (b.k - i) * ln(1 - {alpha})))) END AS p
-    FROM cut a JOIN cut b ON a.lang = b.lang AND a.rule = b.rule AND b.c = 0 WHERE a.c > 0 AND a.junk > a.k),
-chosen AS (SELECT lang, rule, max_by(c, (junk - k, c)) AS c FROM tested WHERE p <= {control.delta} / ({tests} * (SELECT count(DISTINCT lang) FROM hist)) GROUP BY lang, rule),
+labelled AS (SELECT lang, text_key, rule, any_value(bin) AS bin, min(good) AS good, ('0x' || substr(text_key, 1, 8))::BIGINT % 3 = 0 AS tuning FROM binned JOIN marks USING (doc_id) WHERE NOT base_failed GROUP BY lang, text_key, rule),
+hist AS (SELECT lang, rule, bin, count(*) FILTER (good = 1) AS g, count(*) FILTER (good = 0) AS j FROM labelled WHERE tuning GROUP BY ALL),
+cut AS (SELECT lang, rule, c, sum(g) AS g, sum(j) AS j FROM (SELECT lang, rule, g, j, unnest(generate_series(0, bin)) AS c FROM hist) GROUP BY ALL),
+policies AS (SELECT a.lang, a.rule, a.c, ceil(CASE WHEN b.g > 0 THEN a.g / ({STEP} * b.g) ELSE 0 END - 1e-9)::INT AS q FROM cut a JOIN cut b ON a.lang = b.lang AND a.rule = b.rule AND b.c = 0 WHERE a.c > 0 AND a.j > a.g),
+path AS (SELECT lang, q, n FROM (SELECT lang, count(DISTINCT text_key) AS n FROM labelled WHERE NOT tuning AND good = 1 GROUP BY lang), (SELECT unnest(generate_series(0, {PATH})) AS q)),
+fired AS (SELECT l.lang, l.text_key, min(p.q) AS q FROM labelled l JOIN policies p ON l.lang = p.lang AND l.rule = p.rule AND l.bin >= p.c WHERE NOT tuning AND good = 1 AND p.q <= {PATH} GROUP BY ALL),
+tested AS (SELECT path.lang, path.q, path.n, count(f.text_key) AS k FROM path LEFT JOIN fired f ON f.lang = path.lang AND f.q <= path.q GROUP BY ALL),
+chances AS (SELECT lang, q, CASE WHEN k >= n * {control.alpha} THEN 1.0 ELSE list_sum(list_transform(generate_series(0, k::BIGINT), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({control.alpha}) + (n - i) * ln(1 - {control.alpha})))) END AS p FROM tested),
+last AS (SELECT lang, max(q) AS q FROM chances WHERE p <= {control.delta} / (SELECT count(DISTINCT lang) FROM labelled) GROUP BY lang),
+chosen AS (SELECT p.lang, rule, min(c) AS c FROM policies p JOIN last l ON p.lang = l.lang AND p.q <= l.q AND p.q <= {PATH} GROUP BY ALL),
 refused AS (SELECT DISTINCT rid FROM binned JOIN chosen USING (lang, rule) WHERE bin >= c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM refused r WHERE r.rid = based.rid) AS kept FROM based
 """

@@ -31,7 +31,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return report.select("document.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,32 +39,53 @@ def base_counts(text):
 def test_counts_by_brute_force(small, odd_docs):
     extra = ["a b c a b c", "a a a a", "x y x y x", "one\ntwo\none\n \n \none", "###$% |<>&*"]
     made = odd_docs.select("doc_id", "text").union(small.select("doc_id", "text")).union(odd_docs.sparkSession.createDataFrame(list(enumerate(extra)), "doc_id long, text string"))
-    for r in R.with_counts(made).collect():
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base_counts(r.text), r.text
+    for r in R.with_counts(made.withColumn("lang", F.lit("en")), "lang", ["text"]).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base_counts(r.document.text), r.document.text
 
 
 def test_binomial_tail_is_exact(spark):
-    cases = [(k, n) for n in (1, 7, 50, 400, 3000) for k in range(0, n + 1, max(1, n // 9))]
+    cases = [(2400, 60_000), (11_000, 60_000)] + [(k, n) for n in (1, 7, 50, 400, 3000) for k in range(0, n + 1, max(1, n // 9))]
     for p in (0.01, 0.2):
         out = spark.createDataFrame(cases, "k long, n long").select("k", "n", R.binomial_tail(F.col("k"), F.col("n"), p).alias("tail")).collect()
         for r in out:
-            exact = sum(math.exp(math.lgamma(r.n + 1) - math.lgamma(i + 1) - math.lgamma(r.n - i + 1) + i * math.log(p) + (r.n - i) * math.log(1 - p)) for i in range(r.k + 1))
-            assert r.tail == pytest.approx(1.0 if r.k >= r.n * p else exact, rel=1e-6)
+            exact = 1.0 if r.k >= r.n * p else sum(math.exp(math.lgamma(r.n + 1) - math.lgamma(i + 1) - math.lgamma(r.n - i + 1) + i * math.log(p) + (r.n - i) * math.log(1 - p)) for i in range(r.k + 1))
+            assert r.tail == pytest.approx(exact, rel=1e-6, abs=1e-300)
 
 
 def test_few_labels_certify_nothing_and_many_do(spark):
     rng = random.Random(1)
     words = lambda n, junk: " ".join(("".join(rng.choice("abcdefgh") for _ in range(5)) + "***" * (rng.random() < junk)) for _ in range(n))
-    rows = [(k, words(60, 0.9 if k % 4 == 0 else 0.0), "en") for k in range(3000)] + [(10_000 + k, words(60, 0.9), "xx") for k in range(40)]
+    rows = [(k, words(60, 0.9 if k % 4 == 0 else 0.0), "en") for k in range(800)] + [(10_000 + k, words(60, 0.9), "xx") for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    marks = spark.createDataFrame([(k, 0 if k % 4 == 0 else 1) for k in range(3000)] + [(10_000 + k, 0) for k in range(40)] + [(None, 1), (77, None), (999_999, 1)], "doc_id long, quality int")
-    kept = {r.doc_id: r.kept for r in R.quality_report(docs, marks).collect()}
-    assert not any(kept[k] for k in range(0, 3000, 4)) and all(kept[k] for k in range(3000) if k % 4) and all(kept[10_000 + k] for k in range(40))
+    marks = spark.createDataFrame([(k, 0 if k % 4 == 0 else 1) for k in range(800)] + [(10_000 + k, 0) for k in range(40)] + [(None, 1), (77, None), (999_999, 1)], "doc_id long, quality int")
+    report = R.quality_report(docs, marks)
+    kept = {r.document.doc_id: r.kept for r in report.collect()}
+    assert not any(kept[k] for k in range(0, 800, 4)) and all(kept[k] for k in range(800) if k % 4) and all(kept[10_000 + k] for k in range(40))
+    # under salts, as with very many strata
+    counted = R.with_counts(docs, "lang", ["doc_id"])
+    salted = R.apply_rules(counted, R.certified_cutoffs(counted, marks, R.RiskControl()), R.RiskControl(), few=0)
+    assert {r.document.doc_id: r.kept for r in salted.collect()} == kept
+
+
+def test_copies_of_a_text_count_once(spark):
+    """One good text, copied 500 times, is one label: it certifies nothing."""
+    good = " ".join(f"word{k}" for k in range(60))
+    rows = [(k, good, "en") for k in range(500)] + [(1000 + k, " ".join(f"x{k}y{j}***" for j in range(60)), "en") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = docs.select("doc_id", (F.col("doc_id") < 1000).cast("int").alias("quality"))
+    assert R.quality_report(docs, marks).where("NOT kept").count() == 0
+
+
+def test_cutoffs_are_certified_on_a_table_of_1000(spark):
+    report = Q.op2_quality_rules(spark, SMALL.replace("sf0.001", "sf0.01"))
+    assert report.where("NOT base_failed AND NOT kept").count() > 0
 
 
 def test_quality_of_odd_rows(spark, odd_docs, no_docs):
-    out = R.quality_rules(odd_docs.withColumnRenamed("kept", "keep"), labels(spark)).collect()
-    assert len(out) == odd_docs.count() and all(r.base_failed for r in out if r.doc_id in (1, 2, 3, 6))
+    rows = odd_docs.withColumns({c: F.lit("own") for c in ("n_words", "base_failed", "refused_by", "cutoffs", "stratum", "body", "words", "document", "_s", "salt")})
+    out = R.quality_rules(rows, labels(spark)).collect()
+    assert len(out) == odd_docs.count() and all(r.base_failed for r in out if r.document.doc_id in (1, 2, 3, 6))
+    assert all(r.document.n_words == r.document.kept.replace("x", "own") == r.document["_s"] == "own" for r in out)
     assert R.quality_report(no_docs, labels(spark)).count() == 0
 
 
