@@ -255,15 +255,67 @@ def test_connected_groups(spark):
     assert {r.node: r.root for r in connected_groups(spark.createDataFrame(edges, "a long, b long")).collect()} == label
 
 
-def test_pipeline(spark, small):
-    docs, kept = small, []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SMALL)
-        assert docs.columns == small.columns
-        kept.append({r.doc_id for r in docs.select("doc_id").collect()})
-    assert all(b <= a for a, b in zip(kept, kept[1:])) and len(kept[-1]) < small.count()
-    out = corpus_pipeline.run(spark, SMALL)
-    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == kept[-1]
+def near_groups(texts):
+    """Row number -> the lowest row number of its group of near duplicates, by all pairs of shingle sets."""
+    from test_pairs import groups, shingles
+
+    sets = [shingles(t) for t in texts]
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if sets[a] and sets[b] and 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b])) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return groups(len(texts), pairs)
+
+
+def test_pipeline_stage_by_stage(spark, small):
+    """Every stage against a brute-force version on the rows that it got."""
+    from test_pairs import brute_lines
+
+    from florin.llm import decontaminate as D
+
+    clash = {c: F.lit("own") for c in ("n_removed_lines", "_removed", "_gone", "_cutoffs", "_stratum", "_key", "_words", "kept", "n_words", "base_failed", "refused_by", "document", "id", "key", "first", "n", "text_key")}
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, docs: stages[name](spark, docs, SMALL)
+    docs = small.withColumns(clash)
+    docs = docs.union(docs.limit(3))  # repeated rows
+    out = run("quality_rules", docs)
+    report = {r.doc_id: r.kept for r in Q.op2_quality_rules(spark, SMALL).collect()}  # held against SQL by its oracle
+    rows = out.collect()
+    assert out.columns == docs.columns and sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect() if report[r.doc_id]) and all(r.kept == r.document == "own" for r in rows)
+
+    docs = spark.createDataFrame(rows, docs.schema)
+    gone, _ = brute_lines({r.doc_id: r.text for r in rows})
+    cut = {r.doc_id: "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in gone[r.doc_id]) for r in rows}
+    out = run("line_dedup", docs)
+    lines = out.collect()
+    assert out.columns == docs.columns and sorted((r.doc_id, r.text) for r in lines) == sorted((r.doc_id, cut[r.doc_id]) for r in rows if not gone[r.doc_id] or cut[r.doc_id].strip())
+
+    docs = spark.createDataFrame(lines, docs.schema)
+    ordered = sorted({(r.doc_id, r.text) for r in lines})
+    label = near_groups([t for _, t in ordered])
+    out = run("near_duplicates", docs)
+    near = out.collect()
+    assert out.columns == docs.columns and sorted((r.doc_id, r.text) for r in near) == [x for k, x in enumerate(ordered) if label[k] == k] and len(near) < len(lines)
+
+    docs = spark.createDataFrame(near, docs.schema)
+    items = [g for g in (D.word_grams(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()) if g]
+    out = run("decontamination", docs)
+    clean = out.collect()
+    assert out.columns == docs.columns and sorted(r.doc_id for r in clean) == sorted(r.doc_id for r in near if not any(5 * len(g & D.word_grams(r.text)) >= 4 * len(g) for g in items)) and len(clean) < len(near)
+
+    packed = run("packing", spark.createDataFrame(clean, docs.schema))
+    want = {(r.doc_id, r.start, r.ids_crc32) for r in P.pack(spark.createDataFrame(clean, docs.schema), Q.tokenizer_path("word_bpe_49k.json")).collect()}
+    assert {(r.doc_id, r.start, r.ids_crc32) for r in packed.collect()} == want and packed.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert {r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()} == {r.doc_id for r in clean}
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd_docs, no_docs):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, SMALL).count() == 0
+        out = stage(spark, odd_docs, SMALL)
+        if name != "packing":
+            assert out.columns == odd_docs.columns
+        if name == "near_duplicates":
+            kept = [r.doc_id for r in out.collect()]
+            assert kept.count(5) == 0 and kept.count(4) == 1 and None in kept
+
 
 
 def test_ids_of_words_are_those_of_whole_texts():
