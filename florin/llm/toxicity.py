@@ -10,18 +10,17 @@ add up to, so two more length-normalised differences stand beside it: that of th
 speak clearly for the toxic model (by over CLEAR), per word, and that of the clearest word.
 A logistic curve turns the three into a score.
 
-Counting covers all labelled rows that may be learned from, except a quarter of
-them, by hash, on which the curve is fitted (four numbers, on at most
-CALIBRATION_ROWS of these rows). The counts are summed by Spark, and the
-probabilities are joins over the n-gram tables. What scoring needs, one number per n-gram
-and one per context, goes to the tasks as arrays of at most MAX_TABLE rows: the order is
-the highest of ORDERS that keeps to this, and order 2 always does (65,536
-n-grams), so the size is bounded whatever the input holds. Scoring is one pass without a shuffle;
-words repeat, so a task scores each distinct word once.
+Counting covers all labelled rows that may be learned from, except the draw on which the curve is fitted (four numbers): a quarter of them,
+by hash, and of many at most about CALIBRATION_ROWS. The counts are summed by Spark, and the
+probabilities are joins over the n-gram tables. What scoring needs is one number per n-gram and one per context; both grow with the
+input. Up to MAX_TABLE rows in all they go to the tasks as arrays, and scoring is one pass without a shuffle in which a task scores each
+distinct word once. Beyond, the tables stay in Spark: the distinct words of all documents meet them in equi-joins by n-gram, and the
+words' evidence meets the documents' words in another one. Both ways give the same scores; the order of the model never changes.
 
 Defined results: a null text or one without words has evidence 0 and the score of
 that; null or missing labels are not learned, several labels of one document count as the highest; with only one
-class to learn from every score is that class's share; repeated rows are scored each.
+class to learn from every score is that class's share; repeated rows are scored each; ties have equal scores; very long texts are scored
+whole; a null doc_id is scored; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +36,9 @@ from pyspark.sql import functions as F
 from .spark import materialise
 from .text import WordTable, string_column
 
-ORDERS = (6, 5, 4, 3, 2)
+#: Bytes of an n-gram.
+ORDER = 6
+#: Rows of the evidence tables (12 bytes each) that are broadcast; more are joined.
 MAX_TABLE = 4_000_000
 CALIBRATION_ROWS = 20_000
 #: Log ratio of a word beyond which it counts as speaking for the toxic model.
@@ -126,19 +127,11 @@ def _shared_backoff(grams: DataFrame, order: int) -> DataFrame:
     return below
 
 
-def evidence_tables(rows: DataFrame) -> tuple[int, pa.Table, pa.Table]:
-    """The order, the log ratio of every seen n-gram, and that of an unseen n-gram after every seen context."""
-    grams = None
-    for order in ORDERS:
-        if grams is None:
-            grams = class_counts(rows, order)
-        else:  # the counts of a shorter n-gram are sums over its first byte
-            grams = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")).agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-        grams = materialise(grams)
-        if grams.count() <= MAX_TABLE:
-            break
+def evidence_tables(rows: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
+    """``(gram, evidence)``: the log ratio of every seen n-gram, and that of an unseen n-gram after every seen context."""
+    grams = materialise(class_counts(rows, order))
     seen = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    contexts = grams.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("toxic").alias("all_toxic"), F.sum("plain").alias("all_plain"), seen("toxic").alias("kinds_toxic"), seen("plain").alias("kinds_plain"), F.count("*").alias("kinds"))
+    contexts = materialise(grams.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("toxic").alias("all_toxic"), F.sum("plain").alias("all_plain"), seen("toxic").alias("kinds_toxic"), seen("plain").alias("kinds_plain"), F.count("*").alias("kinds")))
     backoff = _shared_backoff(grams, order)
     joined = grams.withColumns({"context": F.shiftright("gram", 8), "suffix": F.col("gram").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))}).join(contexts, "context").join(backoff, "suffix")
 
@@ -153,9 +146,7 @@ def evidence_tables(rows: DataFrame) -> tuple[int, pa.Table, pa.Table]:
         return own + weight(c) * pooled
 
     ratio = lambda f: F.log(f("toxic") / f("plain")).cast("float")
-    by_gram = joined.select("gram", ratio(probability).alias("evidence"))
-    by_context = contexts.select(F.col("context").alias("gram"), ratio(weight).alias("evidence"))
-    return order, by_gram.toArrow().sort_by("gram"), by_context.toArrow().sort_by("gram")
+    return materialise(joined.select("gram", ratio(probability).alias("evidence"))), contexts.select(F.col("context").alias("gram"), ratio(weight).alias("evidence"))
 
 
 class WordEvidence:
@@ -214,6 +205,42 @@ def with_evidence(docs: DataFrame, model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, " + ", ".join(f"{c} double" for c in EVIDENCE))
 
 
+def with_joined_evidence(docs: DataFrame, by_gram: DataFrame, by_context: DataFrame, order: int = ORDER) -> DataFrame:
+    """As with_evidence, for tables of any size: words and n-grams meet them in equi-joins."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), string_column(batch, "text")):
+                counter = Counter((text or "").split())
+                normal: Counter = Counter()
+                for raw, n in counter.items():
+                    normal[normal_word(raw)] += n
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(normal), pa.int64()), pa.array(list(normal), pa.string()), pa.array(list(normal.values()), pa.int64())], ["row", "word", "n"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            keys, sizes = packed_grams(words, order)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(words)), sizes))), pa.array(keys), pa.array(keys >> 8)], ["word", "key", "context"])
+
+    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id()))
+    words = materialise(rows.select("row", "text").mapInArrow(count, "row long, word string, n long"))
+    grams = words.where("word <> ''").select("word").distinct().mapInArrow(spell, "word string, key long, context long")
+    seen = by_gram.select(F.col("gram").alias("_gram"), F.col("evidence").cast("double").alias("own"))
+    after = by_context.select(F.col("gram").alias("_context"), F.col("evidence").cast("double").alias("unseen"))
+    values = (
+        grams.join(seen, F.col("key") == F.col("_gram"), "left").join(after, F.col("context") == F.col("_context"), "left")
+        .groupBy("word").agg(F.sum(F.coalesce("own", "unseen", F.lit(0.0))).alias("value"), F.count("*").alias("places")).withColumnRenamed("word", "_word")
+    )
+    value, n = F.coalesce("value", F.lit(0.0)), F.col("n")
+    sums = (
+        words.join(values, F.col("word") == F.col("_word"), "left").groupBy("row")
+        .agg(F.sum(value * n).alias("all"), F.sum(F.coalesce("places", F.lit(0)) * n).alias("places"), F.sum(F.greatest(value - CLEAR, F.lit(0.0)) * n).alias("clear"), F.sum(n).alias("words"), F.max(value).alias("most"))
+        .select(F.col("row").alias("_row"), (F.col("all") / F.greatest("places", F.lit(1))).alias("evidence"), (F.col("clear") / F.col("words")).alias("clear_evidence"), F.greatest("most", F.lit(0.0)).alias("clearest"))
+    )
+    return rows.select("row", "doc_id").join(sums, F.col("row") == F.col("_row"), "left").select("doc_id", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in EVIDENCE))
+
+
 def fit_curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[list[float], float] | float:
     """(slopes, offset) of a logistic curve in which the classes weigh equally; the toxic share where there is one class only."""
     if len(toxic) == 0 or toxic.min() == toxic.max():
@@ -240,15 +267,20 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Da
     """
     spark = docs.sparkSession
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
-    quarter = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)) == 0
+    share = min(1.0, 4.0 * CALIBRATION_ROWS / max(1, marks.count()))
+    curve_only = (F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)) == 0) & (F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1_000_000)) < int(share * 1_000_000))
     # a merge join at every size: the labels may be many, and the plan should not change with them
-    learn = docs.where(may_learn & ~quarter).select("doc_id", "text").join(marks.hint("merge"), F.col("doc_id") == F.col("_id")).select("text", "toxic")
-    order, grams, contexts = evidence_tables(learn)
-    model = spark.sparkContext.broadcast((order, *(t[c].to_numpy() for t in (grams, contexts) for c in ("gram", "evidence"))))
-    scored = materialise(with_evidence(docs, model))
-    share = min(1.0, 2.0 * CALIBRATION_ROWS / max(1, marks.count()))
-    drawn = scored.where(may_learn & quarter & (F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1_000_000)) < int(share * 1_000_000)))
-    sample = drawn.join(marks, F.col("doc_id") == F.col("_id")).select(*EVIDENCE, "toxic").limit(CALIBRATION_ROWS).toArrow()
+    learn = docs.where(may_learn & ~curve_only).select("doc_id", "text").join(marks.hint("merge"), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    by_gram, by_context = evidence_tables(learn)
+    if by_gram.count() + by_context.count() <= MAX_TABLE:
+        tables = [t.toArrow().sort_by("gram") for t in (by_gram, by_context)]
+        model = spark.sparkContext.broadcast((ORDER, *(t[c].to_numpy() for t in tables for c in ("gram", "evidence"))))
+        scored = materialise(with_evidence(docs, model))
+        model.unpersist()
+    else:
+        scored = materialise(with_joined_evidence(docs, by_gram, by_context))
+    drawn = scored.where(may_learn & curve_only)
+    sample = drawn.join(marks, F.col("doc_id") == F.col("_id")).select(*EVIDENCE, "toxic").limit(2 * CALIBRATION_ROWS).toArrow()
     curve = fit_curve(np.column_stack([sample[c].to_numpy() for c in EVIDENCE]), sample["toxic"].to_numpy().astype(np.int64))
     if isinstance(curve, float):
         score = F.lit(curve)

@@ -203,6 +203,61 @@ def test_toxic_words_are_learned(spark, odd_docs, no_docs):
     assert {r.predicted for r in one_class} == {0} and X.toxicity_scores(no_docs, marks, F.lit(True)).count() == 0
 
 
+def test_evidence_from_raw_counts(spark, monkeypatch):
+    """Every log ratio by the definition of the model, and the scores of texts from them, broadcast and joined."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 8))) for _ in range(40)]
+    rows = [(" ".join(rng.choice(words) + rng.choice(["", ",", "!"]) for _ in range(rng.randint(0, 12))), int(rng.random() < 0.3)) for _ in range(60)]
+    order = X.ORDER
+    counts = {0: Counter(), 1: Counter()}
+
+    def grams(word):
+        raw = b" " * (order - 1) + X.normal_word(word).encode() + b" "
+        return [raw[k : k + order] for k in range(len(raw) - order + 1)] if X.normal_word(word) else []
+
+    for text, toxic in rows:
+        for word in text.split():
+            counts[toxic].update(grams(word))
+    every = set(counts[0]) | set(counts[1])
+    shorter = {order: every}
+    for k in range(order - 1, 0, -1):
+        shorter[k] = {g[1:] for g in shorter[k + 1]}
+
+    def backoff(gram):
+        """Interpolated Kneser-Ney from continuation counts, for an n-gram shorter than the order."""
+        if not gram:
+            return 1 / 256
+        k = len(gram)
+        n = Counter(g[1:] for g in shorter[k + 1])
+        same = {g: c for g, c in n.items() if g[:-1] == gram[:-1]}
+        total = sum(same.values())
+        return max(same.get(gram, 0) - 0.75, 0) / total + 0.75 * len(same) / total * backoff(gram[1:])
+
+    def ratio(gram):
+        p = []
+        pooled_all = sum(counts[0][g] + counts[1][g] for g in every if g[:-1] == gram[:-1])
+        kinds_all = sum(g[:-1] == gram[:-1] for g in every)
+        pooled = max(counts[0][gram] + counts[1][gram] - 0.75, 0) / pooled_all + 0.75 * kinds_all / pooled_all * backoff(gram[1:])
+        for c in (1, 0):
+            total = sum(n for g, n in counts[c].items() if g[:-1] == gram[:-1])
+            kinds = sum(g[:-1] == gram[:-1] for g in counts[c])
+            p.append(max(counts[c][gram] - 1, 0) / total + kinds / total * pooled if total else pooled)
+        return math.log(p[0] / p[1])
+
+    by_gram, by_context = X.evidence_tables(spark.createDataFrame(rows, "text string, toxic int"))
+    got = {r.gram: r.evidence for r in by_gram.collect()}
+    assert set(got) == {int.from_bytes(g, "big") for g in every} and by_context.count() == len({g[:-1] for g in every})
+    for g in every:
+        assert got[int.from_bytes(g, "big")] == pytest.approx(ratio(g), abs=1e-5)
+
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)] + [(99, None), (100, "zzz unseen abc, ???"), (100, "zzz unseen abc, ???"), (None, "abc")], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, toxic int")
+    one = sorted(((r.doc_id or -1, r.score, r.evidence, r.clear_evidence, r.clearest) for r in X.toxicity_scores(docs, marks, F.lit(True)).collect()))
+    monkeypatch.setattr(X, "MAX_TABLE", 0)
+    other = sorted(((r.doc_id or -1, r.score, r.evidence, r.clear_evidence, r.clearest) for r in X.toxicity_scores(docs, marks, F.lit(True)).collect()))
+    assert len(one) == len(rows) + 4 and np.allclose(np.array(one, float), np.array(other, float), atol=1e-9)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_patterns_hold_every_piece_once(seed):
     rng = random.Random(seed)
