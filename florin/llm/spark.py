@@ -84,7 +84,7 @@ def comparison_units(buckets: DataFrame, weights: DataFrame, limit: int) -> Data
     of one bucket meet in exactly one unit.
 
     ``buckets`` is ``(bucket, node)`` and ``weights`` is ``(node, weight)``. The home of a node is the lowest node
-    that shares a bucket with it; true families mostly have one home. A home of more than ``limit`` is dealt to
+    that shares a bucket with it or with one that it shares a bucket with; true families mostly have one home. A home of more than ``limit`` is dealt to
     blocks by hash. A unit is a pair of blocks that occur in one bucket: a chain of members that
     share buckets only with their neighbours costs work in proportion to the chain, and
     a family that is larger than ``limit`` one unit per pair of its blocks. What is returned is
@@ -94,7 +94,10 @@ def comparison_units(buckets: DataFrame, weights: DataFrame, limit: int) -> Data
     buckets = buckets.distinct()
     lowest = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(F.col("bucket").alias("_bucket"), "low")
     shared = materialise(buckets.join(lowest, F.col("bucket") == F.col("_bucket")).select("bucket", "node", "low"))
-    homes = shared.groupBy("node").agg(F.min("low").alias("home")).join(weights.select(F.col("node").alias("_node"), "weight"), F.col("node") == F.col("_node")).drop("_node")
+    first = shared.groupBy("node").agg(F.min("low").alias("near")).select(F.col("node").alias("_near_node"), "near")
+    by_bucket = shared.join(first, F.col("node") == F.col("_near_node")).groupBy("bucket").agg(F.min("near").alias("home")).select(F.col("bucket").alias("_home_bucket"), "home")
+    homes = shared.join(by_bucket, F.col("bucket") == F.col("_home_bucket")).groupBy("node").agg(F.min("home").alias("home"))
+    homes = homes.join(weights.select(F.col("node").alias("_node"), "weight"), F.col("node") == F.col("_node")).drop("_node")
     sizes = homes.groupBy("home").agg(F.sum("weight").alias("total")).select(F.col("home").alias("_home"), F.ceil(F.col("total") / limit).cast("int").alias("blocks"))
     salt = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("int")
     placed = materialise(homes.join(sizes, F.col("home") == F.col("_home")).select("node", "weight", F.struct("home", salt.alias("salt")).alias("block")))

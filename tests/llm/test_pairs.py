@@ -151,6 +151,21 @@ def test_edit_distance_is_exact():
         assert L.edit_distance(a, b, 1000) == distance(a, b)
 
 
+def test_the_bound_is_one():
+    rng, tight = random.Random(15), 0
+    for _ in range(500):
+        ours = prose(rng, rng.randint(0, 30))
+        theirs = list(ours)
+        for _ in range(rng.randint(0, 6)):
+            k = rng.randrange(len(theirs) + 1)
+            theirs[k : k + rng.randint(0, 2)] = prose(rng, rng.randint(0, 2)) + rng.sample(ours, min(len(ours), rng.randint(0, 1)))
+        a, b = (" ".join(x).encode() for x in (ours, theirs))
+        exact, bound = distance(a, b), L.distance_at_most(a.split(b" "), b.split(b" "))
+        assert bound >= exact
+        tight += bound == exact
+    assert tight > 350
+
+
 def brute_lines(texts):
     """Per document the line numbers that go, by edit similarity alone."""
     places, first = [], {}
