@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -27,6 +28,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of what has been checkpointed; it waits for the driver's garbage collection, which a large heap puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder of its own for this call, below the shared one."""
     return f"{_checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -83,7 +90,7 @@ def comparison_units(buckets: DataFrame, weights: DataFrame, limit: int) -> Data
     """Deals the members of overlapping buckets into units of bounded weight, so that every two members
     of one bucket meet in exactly one unit.
 
-    ``buckets`` is ``(bucket, node)`` and ``weights`` is ``(node, weight)``. The home of a node is the lowest node
+    ``buckets`` is ``(bucket, node)``, each pair once, and ``weights`` is ``(node, weight)``. The home of a node is the lowest node
     that shares a bucket with it or with one that it shares a bucket with; true families mostly have one home. A home of more than ``limit`` is dealt to
     blocks by hash. A unit is a pair of blocks that occur in one bucket: a chain of members that
     share buckets only with their neighbours costs work in proportion to the chain, and
@@ -91,7 +98,6 @@ def comparison_units(buckets: DataFrame, weights: DataFrame, limit: int) -> Data
     ``(node, home_i, salt_i, home_j, salt_j, side, call)``: a unit is named by its two blocks, those of one block have side 0 alone, and
     units are packed into calls of about ``limit``.
     """
-    buckets = buckets.distinct()
     lowest = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(F.col("bucket").alias("_bucket"), "low")
     shared = materialise(buckets.join(lowest, F.col("bucket") == F.col("_bucket")).select("bucket", "node", "low"))
     first = shared.groupBy("node").agg(F.min("low").alias("near")).select(F.col("node").alias("_near_node"), "near")
