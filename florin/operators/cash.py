@@ -66,7 +66,8 @@ def anchors(balances: DataFrame) -> DataFrame:
 def _backward(rows: DataFrame, key: str, mean_out: Column) -> DataFrame:
     """Balance as the anchor less all later flows; null without an anchor or across a hole."""
     order = Window.partitionBy("company_id").orderBy(key)
-    later = order.rowsBetween(1, Window.unboundedFollowing)
+    # from the last day backward, so that the sums run on; a frame from the next row to the end would be summed anew for every row
+    later = Window.partitionBy("company_id").orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, -1)
     after = lambda c: F.coalesce(F.sum(c).over(later), F.lit(0.0))
     rows = rows.withColumns({"later_net": after("net"), "later_holes": after("hole_volume"), "later_known": after("known_volume"), "mean_out": mean_out})
     rows = rows.withColumn("balance", known_if(F.col("later_holes") == 0, F.col("anchor") - F.col("later_net")))

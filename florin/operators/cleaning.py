@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from florin.functions.core import flags, in_window, is_finite, joined, missing_text, month_start, out_of_window
 
-# The window of plausible dates, the extreme amount, sentinel balances, the closed flag vocabulary.
+# The window of plausible dates, the extreme amount, sentinel balances.
 FIRST_DAY, AFTER_LAST_DAY = "1990-01-01", "2031-01-01"
 EXTREME = 1e9
 #: Balances at or beyond these are placeholders of the source.
 SENTINEL_LOW, SENTINEL_HIGH = -999999999.0, 1000000000.0
-FLAGS = ("cast_failed", "date_out_of_range", "date_order_invalid", "sentinel_value", "fx_rate_invalid", "fx_not_convertible", "amount_extreme", "amount_missing", "category_missing", "status_missing", "country_normalized", "country_unknown", "fk_orphan", "paid_with_pending", "open_month", "sentinel_hidden_balance")
 
 
 def day_ok(day: Column) -> Column:

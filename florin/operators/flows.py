@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the classification.
-FLOW_CLASSES = ("operating_in", "operating_out", "financing_in", "financing_out", "investment_in", "investment_out", "transfer", "non_economic", "unknown")
 INCOME = ("collection", "bulk_collection", "pos_settlement", "cash_settlement", "cash_settlements", "tax_refund")
 EXPENSE = ("payment", "bulk_payment", "utility", "salary", "tax", "social_security", "fee")
 REFUND = ("collection_refund", "payment_refund")

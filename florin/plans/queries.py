@@ -41,8 +41,13 @@ STEPS["patterned"] = "SELECT *, regexp_replace(upper(trim(coalesce(description,
 STEPS["learned"] = """SELECT s.transaction_id, min(e.category_norm) AS learned, max(e.first_month) AS evidence_month FROM patterned s
     JOIN (SELECT company_id, direction, pattern, category_norm, min(month) AS first_month FROM patterned WHERE NOT is_open_month AND is_booked AND category_norm IS NOT NULL GROUP BY ALL) e
     ON e.company_id = s.company_id AND e.direction = s.direction AND e.pattern = s.pattern AND e.first_month < s.month WHERE s.category_norm IS NULL AND s.pattern <> '' GROUP BY s.transaction_id HAVING count(DISTINCT e.category_norm) = 1"""
-STEPS["staged"] = f"""SELECT p.*, l.learned, l.evidence_month, CASE WHEN category_norm IS NULL AND learned IS NULL AND upper(trim(description)) LIKE 'PR.A %' THEN 'desc:compra' END AS desc_rule,
-    coalesce({_CLASS.format(c='coalesce(category_norm, learned)')}, CASE WHEN upper(trim(description)) LIKE 'PR.A %' THEN 'operating_out' ELSE 'unknown' END) AS class0 FROM patterned p LEFT JOIN learned l USING (transaction_id)"""
+_DESC_HITS = [
+    ("(" + " OR ".join(f"upper(trim(description)) LIKE '{like}'" for like in likes) + ")" + (f" AND direction = '{needed}'" if needed else ""), rule, flow_class)
+    for rule, flow_class, likes, needed in W.DESCRIPTION_RULES
+]
+_DESC_RULE, _DESC_CLASS = ("CASE " + " ".join(f"WHEN {hit[0]} THEN '{hit[k]}'" for hit in _DESC_HITS) + " END" for k in (1, 2))
+STEPS["staged"] = f"""SELECT p.*, l.learned, l.evidence_month, CASE WHEN category_norm IS NULL AND learned IS NULL THEN {_DESC_RULE} END AS desc_rule,
+    coalesce({_CLASS.format(c='coalesce(category_norm, learned)')}, {_DESC_CLASS}, 'unknown') AS class0 FROM patterned p LEFT JOIN learned l USING (transaction_id)"""
 STEPS["classified"] = f"""SELECT *, CASE WHEN ends_with(class0, '_in') OR ends_with(class0, '_out') THEN CASE WHEN direction IN ('in', 'out') THEN split_part(class0, '_', 1) || '_' || direction ELSE 'unknown' END ELSE class0 END AS flow_class,
     CASE WHEN category_norm IN ({_IN}, {_OUT}, {_REF}, {_FIN}, 'investment_return', 'investment_deployment', 'transfer', 'cash_withdrawal', 'pos_withdrawal') THEN 'cat:' || category_norm WHEN category_norm IS NOT NULL THEN 'cat:no_mapeada'
         WHEN learned IS NOT NULL THEN 'transf:' || learned ELSE coalesce(desc_rule, 'unknown') END AS rule_id,
