@@ -64,7 +64,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = repeated_spans(read_table(spark, sf_dir, "documents"), across_documents=False)
+    spans = repeated_spans(read_table(spark, sf_dir, "documents"), across_documents=False).drop("text_no")
     return spans.withColumn("across", F.col("first_doc_id") < F.col("doc_id"))
 
 

@@ -258,6 +258,41 @@ def test_repeated_passages_are_found_and_nothing_else(spark):
     assert cut[1000] == rows[60][1] and cut[2001] is None
 
 
+def test_repeated_chunks_by_sets(spark):
+    """Every span is made of chunks that an earlier place holds, and every such chunk in a run of enough words lies in a span."""
+    rng = random.Random(17)
+    passages = [" ".join(prose(rng, rng.randint(5, 90))) for _ in range(12)]
+    rows = [(k, " ".join(rng.choice(passages) if rng.random() < 0.4 else " ".join(prose(rng, rng.randint(1, 40))) for _ in range(12))) for k in range(40)]
+    rows += [(3, rows[7][1] + " with an end of its own"), (5, rows[5][1])]  # another text, and a repeated row
+    options, table = S.Chunking(), S.gear_table(20)
+    seen, want = {}, set()
+    texts = sorted({(i, t) for i, t in rows})
+    number = {(r.doc_id, r.text): r.text_no for r in S._numbered(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in sorted(texts, key=lambda r: (r[0], number[r])):
+        raw, begin, run = t.encode(), 0, []
+        for end in [*S.chunk_ends(raw, options, table), None]:
+            known = end is not None and raw[begin:end] in seen
+            if known:
+                run.append((begin, end))
+            elif run:
+                if sum(raw[a:b].count(b" ") for a, b in run) >= options.min_words:
+                    want.add((i, number[i, t], run[0][0], run[-1][1] - run[0][0]))
+                run = []
+            if end is not None:
+                seen.setdefault(raw[begin:end], (i, number[i, t], begin))
+                begin = end
+    got = {(r.doc_id, r.text_no, r.start, r.length) for r in S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), across_documents=False).collect()}
+    assert got == want and len(want) > 20
+    clash = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, spans string, id string")
+    cut = S.without_repeats(clash, across_documents=False).collect()
+    assert len(cut) == len(rows) and all((r.spans, r.id) == ("x", "y") for r in cut)
+    gone = defaultdict(int)
+    for i, no, _, length in want:
+        gone[i, no] += length
+    for r in cut:
+        assert any(r.doc_id == i and len(r.text.encode()) == len(t.encode()) - gone[i, number[i, t]] for i, t in rows)
+
+
 def test_repetitions_inside_a_document_and_without_spaces(spark, tmp_path):
     rng = random.Random(9)
     wide = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(400))
