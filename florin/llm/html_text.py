@@ -1,24 +1,29 @@
 """Main text of web pages by tree scoring.
 
-Every paragraph of the element tree passes points to the elements around it: one, plus
+Every paragraph of the element tree passes points to the LEVELS elements around it: one, plus
 one per comma, plus one per hundred characters, discounted by the share of its
 characters that are link text; its parent gets all of them, the next one up half, the
-following ones a third and less. The element with the most points, or the article around it, is
-the container; siblings with a good share of its points or with plain
-paragraph text are kept with it. Menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments are left out, by element and by the
-words of class, id and role; so are lists and boxes that are mostly links.
+following ones a third and less. The element with the most points is the container. It grows to the article or main element around it if it
+holds at least half of that one's points, or if what else that one holds scores as well; otherwise
+siblings with a good share of its points or with plain paragraph text are kept with it.
 
-A page is parsed and scored by itself, in one pass over the table without a shuffle.
+Menus, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out, by element and by the
+words of class, id and role. Headers, related boxes and the like (MAYBE) are left out outside the container; inside, only if LINKED of
+their characters are links. A box with a word of the layout that holds most points of the page is the page's wrapper, and its word is ignored.
+Lists and boxes that are almost only links are menus.
+
+A page is parsed and scored by itself, in one pass over the table without a shuffle, in time proportional to its elements.
 
 Defined results: null, empty or text-free html gives an empty text; broken markup is
 repaired as browsers do where it matters (unclosed p, li, b; stray end tags); repeated rows
-give a row each.
+give a row each; of elements with equal points the first in page order is the container; very long and very deep pages are read whole; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,50 +39,55 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol menu dl table td th body html article section div main aside nav header footer form".split())
 # Elements that are never part of an article.
-DROPPED = frozenset("script style noscript template head title nav header footer aside form button select textarea input option iframe object embed svg canvas dialog menu audio video search".split())
+DROPPED = frozenset("script style noscript template head title nav footer aside form button select textarea input option iframe object embed svg canvas dialog menu audio video search".split())
 # Words of class, id or role that mark such parts.
-MARKS = frozenset("""ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner
-    nav navbar navigation menu breadcrumb breadcrumbs pager pagination header masthead footer sidebar side aside
-    notice notices cookie cookies consent gdpr popup modal overlay alert toolbar
-    share sharing social related recommended recommendations newsletter subscribe subscription signup login search
-    comment comments commentlist discussion disqus reply replies respond responses
-    contentinfo complementary widget widgets skip""".split())
-#: A box or list is a menu if at least this share of its characters is link text.
+MARKS = frozenset("""ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion
+    breadcrumb breadcrumbs pager pagination notice notices cookie cookies consent gdpr popup modal overlay
+    newsletter subscribe subscription signup login comment comments commentlist disqus respond responses contentinfo complementary skip""".split())
+# Words of the layout, which a wrapper of the whole page may bear too.
+LAYOUT = frozenset("nav navbar navigation menu footer sidebar aside toolbar".split())
+# Words that mark such parts outside the container; inside it, links decide.
+MAYBE = frozenset("header masthead banner side alert share sharing social related recommended recommendations search discussion reply replies widget widgets".split())
+#: A box of MAYBE inside the container goes if at least this share of its characters is link text.
 LINKED = 0.5
+#: A list or box is a menu if at least this share is.
+MENU = 0.8
+#: Elements around a paragraph that get points.
+LEVELS = 10
 SIBLING_SHARE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "chars", "linked", "links")
+    __slots__ = ("tag", "parent", "children", "dropped", "mark", "points", "below", "chars", "linked", "links")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, mark: int = 0):
+        self.tag, self.parent, self.dropped, self.mark = tag, parent, dropped, mark
         self.children: list[Node | str] = []
-        self.points = 0.0
+        self.points = self.below = 0.0
         self.chars = self.linked = self.links = 0
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    if tag in DROPPED:
-        return True
+def _mark(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """3: left out by its words or because it is hidden; 2: left out unless it holds most of the page; 1: left out outside the container."""
+    mark = int(tag == "header")
     if tag in ("body", "html", "article", "main"):
         names = ("class", "id") if tag == "article" else ()
     else:
         names = ("class", "id", "role")
     for name, value in attrs:
         if name in names and value:
-            words = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-            if not MARKS.isdisjoint(re.split(r"[^a-z]+", words)):
-                return True
+            words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+            mark = max(mark, 3 if not MARKS.isdisjoint(words) else 2 if not LAYOUT.isdisjoint(words) else 1 if not MAYBE.isdisjoint(words) else 0)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return 3
+    return mark
 
 
 class TreeBuilder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.open = Node("html", None, False)
+        self.count: Counter[str] = Counter()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("html", "body"):
@@ -86,25 +96,31 @@ class TreeBuilder(HTMLParser):
             self._close(("p",), stop_at=SCOPES)
         if tag in CLOSES:
             self._close(CLOSES[tag], stop_at=frozenset(("ul", "ol", "dl", "table", "menu", "select")))
-        node = Node(tag, self.open, self.open.dropped or _marked(tag, attrs))
+        node = Node(tag, self.open, self.open.dropped or tag in DROPPED, _mark(tag, attrs))
         self.open.children.append(node)
         if tag not in VOID:
             self.open = node
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def _close(self, tags: tuple[str, ...], stop_at: frozenset = frozenset()) -> None:
-        node = self.open
+        if not any(self.count[tag] for tag in tags):
+            return
+        node, passed = self.open, []
         while node.parent is not None and node.tag not in stop_at:
+            passed.append(node.tag)
             if node.tag in tags:
                 self.open = node.parent
+                self.count.subtract(passed)
                 return
             node = node.parent
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body"):
             self.open = self.root
+            self.count.clear()
         elif tag not in VOID:
             self._close((tag,))
 
@@ -141,7 +157,7 @@ def _density(node: Node) -> float:
 
 
 def _score(nodes: list[Node]) -> None:
-    """Paragraphs, and other blocks with text of their own, pass points up."""
+    """Paragraphs, and other blocks with text of their own, pass points up; ``below`` has all points under an element."""
     for node in nodes:
         if node.dropped or not node.chars or node.tag not in BLOCKS:
             continue
@@ -150,10 +166,23 @@ def _score(nodes: list[Node]) -> None:
         if not text:
             continue
         points = (1 + text.count(",") + len(text) / 100) * (1 - _density(node))
-        above, level = node.parent, 1
-        while above is not None:
+        node.below += points
+        above = node.parent
+        for level in range(1, LEVELS + 1):
+            if above is None:
+                break
             above.points += points / (level if level < 3 else 3 * (level - 1))
-            above, level = above.parent, level + 1
+            above = above.parent
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.below += node.below
+
+
+def _drop_marked(nodes: list[Node]) -> None:
+    """Drop what is marked, and what lies in it, but for wrappers of most of the page."""
+    most = nodes[0].below / 2
+    for node in nodes:
+        node.dropped = node.dropped or node.mark == 3 or (node.mark == 2 and node.below <= most) or (node.parent is not None and node.parent.dropped)
 
 
 def _flat(part: Node | str) -> str:
@@ -170,7 +199,7 @@ def _flat(part: Node | str) -> str:
 
 
 def _is_menu(node: Node) -> bool:
-    return node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.links >= 2 and _density(node) >= LINKED
+    return node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.links >= 2 and _density(node) >= MENU
 
 
 def _blocks(tops: list[Node]) -> list[str]:
@@ -212,25 +241,52 @@ def main_text(html: str | None) -> str:
     nodes = _in_order(builder.root)
     _measure(nodes)
     _score(nodes)
-    live = [n for n in nodes if not n.dropped and n.chars]
+    _drop_marked(nodes)
+    _again(nodes)
+    # what MAYBE marks is no candidate, but may lie in the container
+    outside = {id(n) for n in nodes if n.mark == 1 and not n.below > nodes[0].below / 2}
+    live: list[Node] = []
+    for n in nodes:
+        if n.parent is not None and id(n.parent) in outside:
+            outside.add(id(n))
+        if not n.dropped and n.chars and id(n) not in outside:
+            live.append(n)
     if not live:
         return ""
     best = max(live, key=lambda n: n.points * (1 - _density(n)))
     around = best
     while around is not None and around.tag not in ("article", "main"):
         around = around.parent
-    if around is not None:
-        return "\n\n".join(_blocks([around]))
+    if around is not None and (best.below >= around.below / 2 or around.points >= SIBLING_SHARE * best.points):
+        return _text([around])
     if best.parent is None:
-        return "\n\n".join(_blocks([best]))
+        return _text([best])
     least = max(1.0, SIBLING_SHARE * best.points)
     tops: list[Node] = []
     for sibling in best.parent.children:
         if isinstance(sibling, str) or sibling.dropped:
             continue
         plain = sibling.tag in ("p", "pre", "blockquote", "h1", "h2", "h3") and _density(sibling) < 0.25
-        if sibling is best or plain or sibling.points >= least and not _is_menu(sibling):
+        between = sibling.tag in ("section", "div") and sibling.mark == 0 and sibling.below >= 1 and _density(sibling) < 0.25
+        if sibling is best or plain or between or sibling.mark == 0 and sibling.points >= least and not _is_menu(sibling):
             tops.append(sibling)
+    return _text(tops)
+
+
+def _again(nodes: list[Node]) -> None:
+    """Measure and score once more, without what has been dropped."""
+    for node in nodes:
+        node.points = node.below = 0.0
+        node.chars = node.linked = node.links = 0
+    _measure(nodes)
+    _score(nodes)
+
+
+def _text(tops: list[Node]) -> str:
+    for top in tops:
+        inside = _in_order(top)
+        for node in inside[1:]:
+            node.dropped = node.dropped or node.parent.dropped or (node.mark == 1 and _density(node) >= LINKED)
     return "\n\n".join(_blocks(tops))
 
 

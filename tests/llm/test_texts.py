@@ -181,6 +181,57 @@ def test_packed_grams():
     assert [int(k).to_bytes(3, "big") for k in keys] == [b"  a", b" ab", b"ab ", b"  \xc3", b" \xc3\xa9", b"\xc3\xa9 "]
 
 
+def test_parts_of_an_article_and_wrappers():
+    page = "<article><header><h1>Title</h1><p>Standfirst, of it.</p></header><div class='article-header'><p>More lead, text.</p></div><p>Body, text, here.</p><div class='related-work'><p>A real, section, of text.</p></div><div class='related'><a href=1>One</a> <a href=2>Two</a></div><div class='ad'><p>Buy, now, please</p></div></article>"
+    assert H.main_text(page) == "Title\n\nStandfirst, of it.\n\nMore lead, text.\n\nBody, text, here.\n\nA real, section, of text."
+    wrapped = f"<header><h1>Site</h1></header><div class='content with-sidebar'><div class=text><p>{'A long, long text. ' * 30}</p><p>Its end, here.</p></div><div class=sidebar><p>Aside, only, this.</p></div></div>"
+    assert H.main_text(wrapped) == f"{('A long, long text. ' * 30).strip()}\n\nIts end, here."
+    references = "<div><p>Text, with, words, and commas, of some length.</p><ul><li>A. Author, <a href=1>a work</a>, a publisher, a place, 1999</li><li>B. Author, <a href=2>another</a>, a publisher, a place, 2001</li></ul></div>"
+    assert "B. Author, another, a publisher" in H.main_text(references)
+
+
+def plain_scores(node, levels=10):
+    """Points by plain recursion over the tree: what every paragraph below an element passes up to it."""
+    def paragraphs(n, depth):
+        if n.dropped or not n.chars:
+            return
+        own = [c for c in n.children if isinstance(c, str) or c.tag not in H.BLOCKS]
+        text = "".join(H._flat(c) for c in own).strip()
+        if n.tag in H.BLOCKS and text and depth:
+            yield depth, (1 + text.count(",") + len(text) / 100) * (1 - H._density(n))
+        for c in n.children:
+            if isinstance(c, H.Node):
+                yield from paragraphs(c, depth + 1)
+
+    return sum(p / (d if d < 3 else 3 * (d - 1)) for d, p in paragraphs(node, 0) if d <= levels)
+
+
+def test_points_by_plain_recursion(spark):
+    for r in spark.read.parquet(f"{SMALL}/pages.parquet").limit(20).collect():
+        builder = H.TreeBuilder()
+        builder.feed(r.html)
+        builder.close()
+        nodes = H._in_order(builder.root)
+        H._measure(nodes)
+        H._score(nodes)
+        for n in nodes:
+            if not n.dropped and n.chars:
+                assert n.points == pytest.approx(plain_scores(n)), n.tag
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    def seconds(depth):
+        html = "<div>" * depth + "<p>text, here</p>" + "</div>" * depth
+        begin = time.perf_counter()
+        assert H.main_text(html) == "text, here"
+        return time.perf_counter() - begin
+
+    seconds(1000)
+    assert seconds(20_000) < 20 * max(0.1, seconds(2000))
+
+
 def test_toxic_words_are_learned(spark, odd_docs, no_docs):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 7)))
