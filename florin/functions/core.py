@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,9 +64,26 @@ def share(part: Column, whole: Column) -> Column:
     return F.when(whole != 0, part / whole)
 
 
-def average_rank_terms(keys: Sequence[str], value: str) -> Column:
-    """Rank with ties averaged, within keys."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
+def value_positions(rows: DataFrame, keys: Sequence[str], value: str, width: float) -> DataFrame:
+    """``(*keys, value, n, start, total)``: per distinct value how often it occurs, how many smaller ones there are, and how many in all.
+
+    Values are counted first and dealt to bands of ``width``; a window runs inside one band of one key, and another over the bands'
+    totals, so no task holds all values of a key. Values have to be bounded, so that the bands are.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n")).withColumn("_band", F.floor(F.col(value) / width))
+    bands = counted.groupBy(*keys, "_band").agg(F.sum("n").alias("_n"))
+    whole = Window.partitionBy(*keys, F.lit(0)) if keys else Window.partitionBy(F.lit(0))
+    bands = bands.withColumns({"_before": F.sum("_n").over(whole.orderBy("_band")) - F.col("_n"), "total": F.sum("_n").over(whole)}).drop("_n")
+    inside = Window.partitionBy(*keys, "_band").orderBy(value)
+    return counted.withColumn("_local", F.sum("n").over(inside) - F.col("n")).join(bands, [*keys, "_band"]).select(*keys, value, "n", (F.col("_before") + F.col("_local")).alias("start"), "total")
+
+
+def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float], width: float) -> DataFrame:
+    """``(*keys, total, q)``: interpolated quantiles as an array, from value_positions."""
+    asked = F.array(*(F.struct(F.lit(k).alias("k"), (F.lit(float(q)) * (F.col("total") - 1)).alias("at")) for k, q in enumerate(quantiles)))
+    dealt = value_positions(rows, keys, value, width).withColumn("a", F.explode(asked))
+    holds = lambda place: (place >= F.col("start")) & (place < F.col("start") + F.col("n"))
+    low, high = F.floor("a.at"), F.ceil("a.at")
+    ends = dealt.groupBy(*keys, "total", "a").agg(F.max(F.when(holds(low), F.col(value))).alias("x"), F.max(F.when(holds(high), F.col(value))).alias("y"))
+    ends = ends.select(*keys, "total", F.col("a.k").alias("k"), (F.col("x") + (F.col("y") - F.col("x")) * (F.col("a.at") - F.floor("a.at"))).alias("v"))
+    return ends.groupBy(*keys, "total").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda p: p["v"]).alias("q"))

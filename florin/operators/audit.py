@@ -47,7 +47,12 @@ def resolution_coverage(resolved: DataFrame) -> DataFrame:
 def group_split(companies: DataFrame, seed: str, shares: tuple[float, float] = (0.6, 0.8)) -> DataFrame:
     """Groups in the order of a hash, the first 60 % for development, 20 % for selection, the rest for the final test."""
     groups = companies.select("group_id").distinct().withColumn("digest", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("group_id")), 256))
-    ranked = groups.withColumn("place", F.row_number().over(Window.orderBy("digest", "group_id")) / F.count("*").over(Window.partitionBy()))
+    # ranked inside bands of the digest and shifted by the bands before, so that no task sorts all groups
+    groups = groups.withColumn("band", F.substring("digest", 1, 3))
+    bands = groups.groupBy("band").agg(F.count("*").alias("n"))
+    bands = bands.select("band", (F.sum("n").over(Window.orderBy("band")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("all"))
+    place = F.row_number().over(Window.partitionBy("band").orderBy("digest", "group_id")) + F.col("before")
+    ranked = groups.join(bands, "band").withColumn("place", place / F.col("all"))
     return ranked.select("group_id", F.when(F.col("place") <= shares[0], "develop").when(F.col("place") <= shares[1], "select").otherwise("test").alias("part"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from florin.functions.core import exact_quantiles
+
 # Fixed values of the classification.
 INCOME = ("collection", "bulk_collection", "pos_settlement", "cash_settlement", "cash_settlements", "tax_refund")
 EXPENSE = ("payment", "bulk_payment", "utility", "salary", "tax", "social_security", "fee")
@@ -108,9 +110,9 @@ def flow_report(classified: DataFrame) -> DataFrame:
 def unknown_share_quantiles(classified: DataFrame) -> DataFrame:
     """Distribution over companies of the share of movements that stay unknown, and how many exceed 40 %."""
     per = classified.groupBy("company_id").agg((F.count_if(F.col("flow_class") == "unknown") / F.count("*")).alias("unknown_share"))
-    q = F.percentile("unknown_share", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(0.9)))
-    return per.agg(F.count("*").alias("n_companies"), q.alias("q"), F.max("unknown_share").alias("max_share"), F.count_if(F.col("unknown_share") > 0.4).alias("n_over_40")).select(
-        "n_companies", *(F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("p25", "p50", "p75", "p90"))), F.round("max_share", 6).alias("max_share"), "n_over_40")
+    quantiles = exact_quantiles(per, [], "unknown_share", (0.25, 0.5, 0.75, 0.9), 1e-4)
+    sums = per.agg(F.max("unknown_share").alias("max_share"), F.count_if(F.col("unknown_share") > 0.4).alias("n_over_40"))
+    return quantiles.join(sums).select(F.col("total").alias("n_companies"), *(F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("p25", "p50", "p75", "p90"))), F.round("max_share", 6).alias("max_share"), "n_over_40")
 
 
 def rule_comparison(before: DataFrame, after: DataFrame) -> DataFrame:

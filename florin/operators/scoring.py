@@ -8,10 +8,12 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from florin.functions.core import average_rank_terms
+from florin.functions.core import exact_quantiles, value_positions
 
 # Fixed values of the score.
 WINDOW_MONTHS = 6
+#: Width of the bands in which scores and their differences, at most 100, are ranked.
+BAND = 0.01
 
 
 @dataclass(frozen=True)
@@ -65,25 +67,30 @@ def health_score(rows: DataFrame, params: ScoreParams = ScoreParams()) -> DataFr
     })
 
 
-def shapley(scored: DataFrame, params: ScoreParams = ScoreParams()) -> DataFrame:
-    """What each channel takes off the score, averaged over all orders in which they can act."""
-    factors = {"arrears": F.coalesce(1.0 - params.beta * F.col("arrears"), F.lit(1.0)), "debt": F.coalesce("multiplier", F.lit(1.0))}
-    names, out = list(factors), {}
+def shapley(rows: DataFrame, params: ScoreParams = ScoreParams()) -> DataFrame:
+    """What each of three channels takes off the score, averaged over all orders in which they can act: overdue payables among what is owed, arrears, debt multiplier.
+
+    The score is evaluated under all eight combinations; rows without a score under any of them are left out.
+    """
+    plain = with_sums(rows.withColumn("stock", F.lit(None).cast("double"))).select("company_id", "month", base_score(params).alias("_plain"))
+    scored = with_sums(rows).withColumn("_owing", base_score(params)).join(plain, ["company_id", "month"])
+    factors = (F.coalesce(1.0 - params.beta * F.col("arrears"), F.lit(1.0)), F.coalesce("multiplier", F.lit(1.0)))
+    names, out = ("obligation", "arrears", "debt"), {}
 
     def value(on: tuple[bool, ...]) -> Column:
-        result = F.col("before")
-        for name, active in zip(names, on):
-            result = result * factors[name] if active else result
-        return result
+        result = F.col("_owing") if on[0] else F.col("_plain")
+        for factor, active in zip(factors, on[1:]):
+            result = result * factor if active else result
+        return F.least(F.lit(100.0), F.greatest(F.lit(0.0), result))
 
     for k, name in enumerate(names):
         parts = []
-        for others in product((False, True), repeat=len(names) - 1):
-            without = (*others[:k], False, *others[k:])
-            weight = {0: 0.5, 1: 0.5}[sum(others)]
-            parts.append(weight * (value(without) - value((*without[:k], True, *without[k + 1 :]))))
-        out[f"{name}_points"] = sum(parts[1:], parts[0])
-    return scored.where("before IS NOT NULL").select("company_id", "month", "before", *(c.alias(n) for n, c in out.items()))
+        for others in product((False, True), repeat=2):
+            weight = (1 / 3, 1 / 6, 1 / 3)[sum(others)]
+            parts.append(weight * (value((*others[:k], False, *others[k:])) - value((*others[:k], True, *others[k:]))))
+        out[f"{name}_points"] = F.greatest(F.lit(0.0), sum(parts[1:], parts[0]))
+    whole = scored.where("_owing IS NOT NULL AND _plain IS NOT NULL")
+    return whole.select("company_id", "month", value((False,) * 3).alias("free_score"), value((True,) * 3).alias("score"), *(c.alias(n) for n, c in out.items()))
 
 
 def parameter_sweep(rows: DataFrame, ks: tuple[float, ...], alphas: tuple[float, ...]) -> DataFrame:
@@ -96,32 +103,52 @@ def parameter_sweep(rows: DataFrame, ks: tuple[float, ...], alphas: tuple[float,
 def stability(scored: DataFrame) -> DataFrame:
     """Month-to-month changes of the score over consecutive scored months."""
     change = F.abs(F.col("score") - F.lag("score").over(Window.partitionBy("company_id").orderBy("month")))
-    return scored.select(change.alias("x")).where("x IS NOT NULL").agg(F.count("*").alias("n_pairs"), F.percentile("x", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9))).alias("q")).select("n_pairs", *(F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("p50", "p75", "p90"))))
+    found = exact_quantiles(scored.select(change.alias("x")), [], "x", (0.5, 0.75, 0.9), BAND)
+    return found.select(F.col("total").alias("n_pairs"), *(F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("p50", "p75", "p90"))))
 
 
 def dispersion(scored: DataFrame) -> DataFrame:
     """Spread of the score at every cut."""
-    q = F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = scored.where("score IS NOT NULL").groupBy("month").agg(F.count("*").alias("n"), F.stddev_pop("score").alias("std"), q.alias("q"), F.avg(F.col("score").between(45, 55).cast("double")).alias("share_45_55"))
+    seen = scored.where("score IS NOT NULL")
+    rows = seen.groupBy("month").agg(F.count("*").alias("n"), F.stddev_pop("score").alias("std"), F.avg(F.col("score").between(45, 55).cast("double")).alias("share_45_55"))
+    rows = rows.join(exact_quantiles(seen, ["month"], "score", (0.25, 0.5, 0.75), BAND), "month")
     return rows.select("month", "n", "std", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "share_45_55")
 
 
-def persistent_zeros(scored: DataFrame, share: float = 0.95) -> DataFrame:
-    """Companies whose scored months are below one almost always; their scores are to be masked, their rows kept."""
-    rows = scored.where("score IS NOT NULL").groupBy("company_id").agg(F.count("*").alias("n_scored"), F.count_if(F.col("score") < 1).alias("n_zero"))
-    return rows.where(F.col("n_zero") >= share * F.col("n_scored"))
+def persistent_zeros(scored: DataFrame, reference: str, share: float = 0.95) -> DataFrame:
+    """Companies to be masked, their rows kept: A, nearly all scored months below one; B, exactly zero in the reference month."""
+    at = F.col("month") == F.lit(reference).cast("date")
+    rows = scored.groupBy("company_id").agg(F.count("score").alias("n_scored"), F.count_if(F.col("score") < 1).alias("n_zero"), F.max(F.when(at, F.col("score"))).alias("reference_score"))
+    a = (F.col("n_scored") > 0) & (F.col("n_zero") >= share * F.col("n_scored"))
+    b = F.coalesce(F.col("reference_score") == 0, F.lit(False))
+    return rows.withColumn("criterion", F.when(a & b, "A and B").when(a, "A").when(b, "B")).where("criterion IS NOT NULL").select("company_id", "criterion", "n_scored", "n_zero", "reference_score")
 
 
-def baseline_errors(scored: DataFrame, horizons: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """Errors of two baselines, persistence and the mean of the last three scores, per horizon in months."""
+def cut_summary(scored: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Per cut: companies scored, excluded, and unscored by their reason; every company counts once."""
+    gone = excluded.select(F.col("company_id").alias("_gone"))
+    rows = scored.join(gone, F.col("company_id") == F.col("_gone"), "left")
+    state = F.when(F.col("_gone").isNotNull(), "excluded").when(F.col("score").isNotNull(), "scored").otherwise(F.coalesce("unscored_reason", F.lit("unknown")))
+    return rows.groupBy("month", state.alias("state"), "confidence").agg(F.count("*").alias("n"))
+
+
+def baseline_predictions(scored: DataFrame) -> DataFrame:
+    """``(company_id, month, baseline, value)``: persistence, the mean of the last three scores there are, and the median of all companies at the origin."""
     order = Window.partitionBy("company_id").orderBy("month")
     seen = scored.where("score IS NOT NULL").select("company_id", "month", "score", F.avg("score").over(order.rowsBetween(-2, 0)).alias("mean3"))
-    origins = seen.select("company_id", F.explode(F.array(*map(F.lit, horizons))).alias("h"), "month", F.explode(F.array(F.struct(F.lit("persistence").alias("name"), F.col("score").alias("value")), F.struct(F.lit("mean3").alias("name"), F.col("mean3").alias("value")))).alias("f"))
-    origins = origins.withColumn("target_month", F.add_months("month", F.col("h")))
-    target = seen.select(F.col("company_id").alias("_c"), F.col("month").alias("_m"), F.col("score").alias("actual"))
-    pairs = origins.join(target, (F.col("company_id") == F.col("_c")) & (F.col("target_month") == F.col("_m")))
-    error = F.col("f.value") - F.col("actual")
-    return pairs.groupBy(F.col("f.name").alias("baseline"), "h").agg(F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(error).alias("bias"), F.median(F.abs(error)).alias("p50"))
+    middle = exact_quantiles(seen, ["month"], "score", (0.5,), BAND).select("month", F.col("q")[0].alias("median"))
+    named = F.array(*(F.struct(F.lit(n).alias("baseline"), F.col(c).alias("value")) for n, c in (("persistence", "score"), ("mean3", "mean3"), ("median", "median"))))
+    return seen.join(middle, "month").select("company_id", "month", F.explode(named).alias("f")).select("company_id", "month", "f.*")
+
+
+def baseline_errors(scored: DataFrame, horizons: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """Errors of the baselines per horizon in months: those of pairs with a score at both ends, and how many pairs have none at the target."""
+    origins = baseline_predictions(scored).withColumn("h", F.explode(F.array(*map(F.lit, horizons)))).withColumn("target_month", F.add_months("month", F.col("h")))
+    target = scored.where("score IS NOT NULL").select(F.col("company_id").alias("_c"), F.col("month").alias("_m"), F.col("score").alias("actual"))
+    pairs = origins.join(target, (F.col("company_id") == F.col("_c")) & (F.col("target_month") == F.col("_m")), "left").withColumn("error", F.col("value") - F.col("actual")).withColumn("size", F.abs("error"))
+    sums = pairs.groupBy("baseline", "h").agg(F.count("actual").alias("n"), F.count_if(F.col("actual").isNull()).alias("n_without_target"), F.avg("size").alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.avg("error").alias("bias"))
+    rows = sums.join(exact_quantiles(pairs, ["baseline", "h"], "size", (0.5, 0.75, 0.9), BAND), ["baseline", "h"])
+    return rows.select(*sums.columns, *(F.col("q")[k].alias(n) for k, n in enumerate(("p50", "p75", "p90"))))
 
 
 def autocorrelation(scored: DataFrame, horizons: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -129,5 +156,8 @@ def autocorrelation(scored: DataFrame, horizons: tuple[int, ...] = (1, 2, 3)) ->
     seen = scored.where("score IS NOT NULL").select("company_id", "month", "score")
     later = seen.select(F.col("company_id").alias("_c"), F.col("month").alias("_m"), F.col("score").alias("y"))
     pairs = seen.withColumn("h", F.explode(F.array(*map(F.lit, horizons)))).withColumn("target_month", F.add_months("month", F.col("h"))).join(later, (F.col("company_id") == F.col("_c")) & (F.col("target_month") == F.col("_m")))
-    ranked = pairs.select("h", F.col("score").alias("x"), "y").withColumns({"rx": average_rank_terms(["h"], "x"), "ry": average_rank_terms(["h"], "y")})
+    pairs = pairs.select("h", F.col("score").alias("x"), "y")
+    rank = (F.col("start") + (F.col("n") + 1) / 2)
+    ranks = [value_positions(pairs, ["h"], c, BAND).select("h", c, rank.alias(f"r{c}")) for c in ("x", "y")]
+    ranked = pairs.join(ranks[0], ["h", "x"]).join(ranks[1], ["h", "y"])
     return ranked.groupBy("h").agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))

@@ -189,13 +189,13 @@ def p19_cut_census(t: Treasury) -> DataFrame:
     return D.cut_census(_expected(t, "ar")).withColumns({c: F.round(c, 2) for c in ("live_eur", "expected_eur")})
 
 
-@query("""SELECT *, min(CASE WHEN balance < 0 THEN day END) OVER (PARTITION BY company_id, cut) AS first_negative FROM (SELECT company_id, cut, day, round(receipts, 4) AS receipts, round(payments, 4) AS payments, round(start + sum(receipts - payments) OVER (PARTITION BY company_id, cut ORDER BY day), 4) AS balance
+@query("""SELECT *, min(CASE WHEN balance < 0 THEN day END) OVER (PARTITION BY company_id, cut) AS first_negative FROM (SELECT company_id, cut, day, round(receipts, 4) AS receipts, round(payments, 4) AS payments, round(start + sum(receipts - payments) OVER (PARTITION BY company_id, cut ORDER BY day) + 1e-6, 2) AS balance
     FROM (SELECT company_id, cut, day, coalesce(r.e, 0) AS receipts, coalesce(p.e, 0) AS payments FROM (SELECT company_id, cut, day, sum(expected_eur) AS e FROM expected_ar WHERE eur IS NOT NULL AND day <= cut + 90 GROUP BY ALL) r FULL JOIN (SELECT company_id, cut, day, sum(expected_eur) AS e FROM expected_ap WHERE eur IS NOT NULL AND day <= cut + 90 GROUP BY ALL) p USING (company_id, cut, day))
     LEFT JOIN (SELECT company_id, last_day(month) AS cut, balance AS start FROM back_rows) USING (company_id, cut))""")
 def b11_projection(t: Treasury) -> DataFrame:
     start = K.backward_balance(K.cash_flows(cash_queries._tx(t), "month", K.ANCHORED), cash_queries._anchor(t), t.companies, FIRST_MONTH, ANCHOR_DAY).select("company_id", F.last_day("month").alias("cut"), F.col("balance").alias("balance_at_cut"))
     out = D.projection_union(D.dated_calendar(_expected(t, "ar")), D.dated_calendar(_expected(t, "ap")), start)
-    return out.withColumns({"receipts": F.round("receipts", 4), "payments": F.round("payments", 4), "balance": F.round("balance", 4)}).withColumn("first_negative", F.min(F.when(F.col("balance") < 0, F.col("day"))).over(_per_cut()))
+    return out.withColumns({"receipts": F.round("receipts", 4), "payments": F.round("payments", 4), "balance": F.round(F.col("balance") + 1e-6, 2)}).withColumn("first_negative", F.min(F.when(F.col("balance") < 0, F.col("day"))).over(_per_cut()))
 
 
 def _per_cut():

@@ -110,6 +110,11 @@ def _perimeter(t: Treasury) -> DataFrame:
     return M.cash_perimeter(W.classify_flows(_tx(t)), FIRST_MONTH, LAST_MONTH)
 
 
+def _kept_perimeter(t: Treasury) -> DataFrame:
+    """The columns that the panels read, kept for the queries that read them more than once."""
+    return _perimeter(t).select("company_id", "month", "product_id", "direction", "amount_eur", "product_source", "flow_class", "rule_id", "is_outlier", "direction_conflict", "is_cash", "is_ambiguous").persist()
+
+
 def _flows(t: Treasury) -> DataFrame:
     return M.flow_panel(M.company_months(t.companies, FIRST_MONTH, LAST_MONTH), _perimeter(t))
 
@@ -212,7 +217,7 @@ _DEBT = """SELECT f.company_id, f.month, act AS has_cash_activity, CAST(coalesce
 
 @query(_DEBT)
 def m04_debt_panel(t: Treasury) -> DataFrame:
-    perimeter = _perimeter(t)
+    perimeter = _kept_perimeter(t)
     flows = M.flow_panel(M.company_months(t.companies, FIRST_MONTH, LAST_MONTH), perimeter)
     return M.debt_panel(flows, perimeter).select("company_id", "month", "has_cash_activity", F.col("n_service").cast("long").alias("n_service"), *money("principal_known", "interest_known", "refunds_known", "service_eur", "ledger_net_known"))
 

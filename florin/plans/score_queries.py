@@ -10,7 +10,7 @@ from florin.operators import cash as K
 from florin.operators import marts as M
 from florin.operators import scoring as H
 from florin.plans import arrears_queries, cash_queries
-from florin.plans.queries import STEPS, _perimeter, query
+from florin.plans.queries import STEPS, _kept_perimeter, query
 from florin.sources.treasury import ANCHOR_DAY, FIRST_MONTH, LAST_MONTH, Treasury
 
 STEPS["score_in"] = """SELECT f.company_id, f.month, f.act, CASE WHEN act THEN f.rec END AS c, CASE WHEN act THEN f.pay END AS p, CASE WHEN act THEN coalesce(d.service, 0) END AS d, CASE WHEN s.expected IS NOT NULL AND s.service_eur IS NOT NULL THEN greatest(0, s.expected - s.service_eur) END AS short,
@@ -25,8 +25,8 @@ STEPS["scored"] = f"""SELECT *, least(100, greatest(0, before * coalesce(1 - 0.2
 
 
 def _inputs(t: Treasury) -> DataFrame:
-    perimeter = _perimeter(t)
-    flows = M.flow_panel(M.company_months(t.companies, FIRST_MONTH, LAST_MONTH), perimeter)
+    perimeter = _kept_perimeter(t)
+    flows = M.flow_panel(M.company_months(t.companies, FIRST_MONTH, LAST_MONTH), perimeter).persist()
     debt = M.debt_panel(flows, perimeter)
     service, payables = A.expected_service(debt), arrears_queries._payables(t)
     multiplier = A.obligation_multiplier(A.overdue_obligation(payables, FIRST_MONTH, LAST_MONTH), flows, service)
@@ -35,7 +35,7 @@ def _inputs(t: Treasury) -> DataFrame:
 
 
 def _scored(t: Treasury) -> DataFrame:
-    return H.health_score(_inputs(t))
+    return H.health_score(_inputs(t)).persist()
 
 
 def rounded(*names: str, digits: int = 4):
@@ -48,14 +48,29 @@ def h03_health_score(t: Treasury) -> DataFrame:
     return _scored(t).select("company_id", "month", *rounded("before", "score"), "unscored_reason", "confidence")
 
 
-@query("""SELECT company_id, month, round(before, 4) AS before, round(0.5 * (before - before * fa) + 0.5 * (before * fd - before * fa * fd), 4) AS arrears_points, round(0.5 * (before - before * fd) + 0.5 * (before * fa - before * fa * fd), 4) AS debt_points FROM (SELECT *, coalesce(1 - 0.25 * arrears, 1) AS fa, coalesce(multiplier, 1) AS fd FROM scored) WHERE before IS NOT NULL""")
+STEPS["channels"] = f"""SELECT o.company_id, o.month, o.before AS owing, p.before AS plain, coalesce(1 - 0.25 * o.arrears, 1) AS fa, coalesce(o.multiplier, 1) AS fd FROM scored o JOIN (SELECT company_id, month, {_BEFORE.format(k='4178.45', a='3.0')} AS before FROM (SELECT * EXCLUDE (t6, r_hist, stock), NULL::DOUBLE AS stock, p6 + d6 + s6 AS t6, CASE WHEN ch + ph + dh + sh > 0 THEN ch / (ch + ph + dh + sh) END AS r_hist FROM score_sums)) p USING (company_id, month)
+    WHERE o.before IS NOT NULL AND p.before IS NOT NULL"""
+
+
+@query("""SELECT company_id, month, round(v000, 4) AS free_score, round(v111, 4) AS score, round(greatest(0, (v000 - v100) / 3 + (v010 - v110) / 6 + (v001 - v101) / 6 + (v011 - v111) / 3), 4) AS obligation_points, round(greatest(0, (v000 - v010) / 3 + (v100 - v110) / 6 + (v001 - v011) / 6 + (v101 - v111) / 3), 4) AS arrears_points, round(greatest(0, (v000 - v001) / 3 + (v100 - v101) / 6 + (v010 - v011) / 6 + (v110 - v111) / 3), 4) AS debt_points
+    FROM (SELECT company_id, month, least(100, greatest(0, plain)) AS v000, least(100, greatest(0, owing)) AS v100, least(100, greatest(0, plain * fa)) AS v010, least(100, greatest(0, plain * fd)) AS v001, least(100, greatest(0, owing * fa)) AS v110, least(100, greatest(0, owing * fd)) AS v101, least(100, greatest(0, plain * fa * fd)) AS v011, least(100, greatest(0, owing * fa * fd)) AS v111 FROM channels)""")
 def h07_shapley(t: Treasury) -> DataFrame:
-    return H.shapley(_scored(t)).select("company_id", "month", *rounded("before", "arrears_points", "debt_points"))
+    return H.shapley(_inputs(t)).select("company_id", "month", *rounded("free_score", "score", "obligation_points", "arrears_points", "debt_points"))
+
 
+STEPS["zeros"] = """SELECT *, CASE WHEN a AND b THEN 'A and B' WHEN a THEN 'A' ELSE 'B' END AS criterion FROM (SELECT *, n_scored > 0 AND n_zero >= 0.95 * n_scored AS a, coalesce(reference_score = 0, false) AS b FROM (SELECT company_id, count(score) AS n_scored, count(*) FILTER (score < 1) AS n_zero, max(CASE WHEN month = DATE '2001-07-01' THEN score END) AS reference_score FROM scored GROUP BY company_id)) WHERE a OR b"""
 
-@query("SELECT company_id, n_scored, n_zero FROM (SELECT company_id, count(*) AS n_scored, count(*) FILTER (score < 1) AS n_zero FROM scored WHERE score IS NOT NULL GROUP BY company_id) WHERE n_zero >= 0.95 * n_scored")
+
+@query("SELECT company_id, criterion, n_scored, n_zero, round(reference_score, 4) AS reference_score FROM zeros")
 def h09_persistent_zeros(t: Treasury) -> DataFrame:
-    return H.persistent_zeros(_scored(t))
+    return H.persistent_zeros(_scored(t), LAST_MONTH).withColumn("reference_score", F.round("reference_score", 4))
+
+
+@query("""SELECT month, CASE WHEN z.company_id IS NOT NULL THEN 'excluded' WHEN score IS NOT NULL THEN 'scored' WHEN NOT any_act THEN 'no_cash_activity' WHEN c6 = 0 AND t6 = 0 THEN 'no_flows_in_window' ELSE 'no_demonstrated_payments' END AS state,
+    CASE least(4, 1 + CASE WHEN nw < 6 THEN 1 ELSE 0 END + CASE WHEN arrears IS NULL THEN 1 ELSE 0 END + CASE WHEN balance IS NULL THEN 1 ELSE 0 END) WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'none' END AS confidence, count(*) AS n FROM scored s LEFT JOIN zeros z USING (company_id) GROUP BY ALL""")
+def h20_cut_summary(t: Treasury) -> DataFrame:
+    scored = _scored(t)
+    return H.cut_summary(scored, H.persistent_zeros(scored, LAST_MONTH))
 
 
 @query(f"""SELECT k, alpha, count(*) AS n, round(avg(s), 4) AS mean, round(stddev_pop(s), 4) AS std, round(avg(CASE WHEN s BETWEEN 45 AND 55 THEN 1.0 ELSE 0.0 END), 6) AS share_45_55 FROM (SELECT k, alpha, {_BEFORE.format(k='k', a='alpha')} AS s FROM score_sums CROSS JOIN (VALUES (500.0::DOUBLE), (4178.45), (20000.0)) x(k) CROSS JOIN (VALUES (1.0::DOUBLE), (3.0)) y(alpha)) WHERE s IS NOT NULL GROUP BY k, alpha""")
@@ -73,10 +88,18 @@ def h13_dispersion(t: Treasury) -> DataFrame:
     return H.dispersion(_scored(t)).select("month", "n", *rounded("std", "median", "iqr"), *rounded("share_45_55", digits=6))
 
 
-@query("""SELECT name AS baseline, h, count(*) AS n, round(avg(abs(v - y)), 4) AS mae, round(sqrt(avg((v - y) * (v - y))), 4) AS rmse, round(avg(v - y), 4) AS bias, round(median(abs(v - y)), 4) AS p50 FROM (SELECT name, h, v, s.score AS y FROM (SELECT company_id, month, unnest(['persistence', 'mean3']) AS name, unnest([score, mean3]) AS v
-    FROM (SELECT company_id, month, score, avg(score) OVER (PARTITION BY company_id ORDER BY month ROWS 2 PRECEDING) AS mean3 FROM scored WHERE score IS NOT NULL)) o CROSS JOIN (VALUES (1), (2), (3)) x(h) JOIN (SELECT company_id, month, score FROM scored WHERE score IS NOT NULL) s ON s.company_id = o.company_id AND s.month = CAST(o.month + to_months(h) AS DATE)) GROUP BY name, h""")
+STEPS["forecasts"] = """SELECT company_id, month, unnest(['persistence', 'mean3', 'median']) AS baseline, unnest([score, mean3, med]) AS value FROM (SELECT company_id, month, score, avg(score) OVER (PARTITION BY company_id ORDER BY month ROWS 2 PRECEDING) AS mean3, median(score) OVER (PARTITION BY month) AS med FROM scored WHERE score IS NOT NULL)"""
+
+
+@query("SELECT company_id, month, baseline, round(value, 4) AS value FROM forecasts")
+def b03_baselines(t: Treasury) -> DataFrame:
+    return H.baseline_predictions(_scored(t)).withColumn("value", F.round("value", 4))
+
+
+@query("""SELECT baseline, h, count(y) AS n, count(*) - count(y) AS n_without_target, round(avg(abs(v - y)), 4) AS mae, round(sqrt(avg((v - y) * (v - y))), 4) AS rmse, round(avg(v - y), 4) AS bias, round(quantile_cont(abs(v - y), 0.5), 4) AS p50, round(quantile_cont(abs(v - y), 0.75), 4) AS p75, round(quantile_cont(abs(v - y), 0.9), 4) AS p90
+    FROM (SELECT o.baseline, x.h, o.value AS v, s.score AS y FROM forecasts o CROSS JOIN (VALUES (1), (2), (3)) x(h) LEFT JOIN (SELECT company_id, month, score FROM scored WHERE score IS NOT NULL) s ON s.company_id = o.company_id AND s.month = CAST(o.month + to_months(x.h) AS DATE)) GROUP BY baseline, h""")
 def b04_baseline_errors(t: Treasury) -> DataFrame:
-    return H.baseline_errors(_scored(t)).select("baseline", "h", "n", *rounded("mae", "rmse", "bias", "p50"))
+    return H.baseline_errors(_scored(t)).select("baseline", "h", "n", "n_without_target", *rounded("mae", "rmse", "bias", "p50", "p75", "p90"))
 
 
 @query("""SELECT h, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 4) AS spearman, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 4) AS intercept FROM (SELECT h, x, y, rank() OVER (PARTITION BY h ORDER BY x) + (count(*) OVER (PARTITION BY h, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY h ORDER BY y) + (count(*) OVER (PARTITION BY h, y) - 1) / 2 AS ry

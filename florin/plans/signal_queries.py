@@ -10,7 +10,7 @@ from florin.operators import cash as K
 from florin.operators import marts as M
 from florin.operators import signals as S
 from florin.plans import cash_queries, score_queries
-from florin.plans.queries import LAST_DAY, STEPS, _flows, _perimeter, _universe, query
+from florin.plans.queries import LAST_DAY, STEPS, _flows, _kept_perimeter, _universe, query
 from florin.sources.treasury import FIRST_MONTH, LAST_MONTH, Treasury
 
 STEPS["cohorts60"] = """SELECT company_id, month, n_issued, last_day(month) + 60 AS known, r / issued_eur AS conversion FROM (SELECT company_id, CAST(date_trunc('month', issued) AS DATE) AS month, count(*) AS n_issued, count(eur) AS n_eur, count(*) FILTER (is_uncertain) AS n_unc, sum(abs(eur)) AS issued_eur, coalesce(sum(abs(eur)) FILTER (date_diff('day', issued, settled) <= 60), 0) AS r
@@ -26,7 +26,7 @@ STEPS["directed"] = "SELECT *, CASE WHEN dl >= 0.05 THEN 'improving' WHEN dh <=
     CASE WHEN c.conversion IS NULL THEN 'insufficient' WHEN c.n_issued < 5 OR date_diff('day', c.known, f.available_at) > 90 THEN 'partial' ELSE 'publishable' END AS collection_state FROM states f
     LEFT JOIN LATERAL (SELECT p.month AS cohort, p.known, p.conversion, p.n_issued FROM cohorts60 p WHERE p.company_id = f.company_id AND p.known <= f.available_at ORDER BY p.known DESC LIMIT 1) c ON true""")
 def m13_evidence(t: Treasury) -> DataFrame:
-    perimeter = _perimeter(t)
+    perimeter = _kept_perimeter(t)
     flows = M.flow_panel(M.company_months(t.companies, FIRST_MONTH, LAST_MONTH), perimeter)
     out = S.evidence(flows, M.debt_panel(flows, perimeter), M.receipt_cohorts(_universe(t), LAST_DAY), FIRST_MONTH)
     return out.select("company_id", "month", "cohort_month", F.round("conversion", 6).alias("conversion"), "cohort_age", "deficit", "operating_state", "collection_state")
