@@ -14,7 +14,8 @@ pieces that end there; where a pre-token ends, the count is stored.
 Documents then add up stored counts. One pass, no shuffle.
 
 Defined results: a null or blank text has 0 tokens; repeated rows are counted each;
-very long pre-tokens are cut nowhere; other columns are not read.
+very long pre-tokens are cut nowhere and scored by themselves; of segmentations with equal scores the one with the fewest tokens counts; a null
+doc_id keeps its row; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ WORD_MARK = "▁"
 #: Log-probability of a fallback byte, below that of every piece.
 BYTE_SCORE = -25.0
 CACHE = 1_000_000
+#: Characters of a pre-token from which it is scored by itself: so long ones share few prefixes, and a trie level of one node is slow.
+LONG = 200
 _BASE = np.uint64(0x100000001B3)
 _MODELS: dict[str, "UnigramCounts"] = {}
 
@@ -65,7 +68,7 @@ class UnigramCounts(dict):
     """Pre-token (without its mark) -> number of tokens; learns batches of new ones."""
 
     def __init__(self, pieces: list[str]):
-        scores = zipf_scores(pieces)
+        scores = self.scores = zipf_scores(pieces)
         by_length: dict[int, list[tuple[int, float]]] = {}
         for piece, score in scores.items():
             by_length.setdefault(len(piece), []).append((_hash(_codes([piece])), score))
@@ -76,7 +79,24 @@ class UnigramCounts(dict):
         self.longest = max(self.tables, default=1)
 
     def learn(self, words: list[str]) -> None:
-        self.update(zip(*self.count([WORD_MARK + w for w in words], words)))
+        short = [w for w in words if len(w) < LONG]
+        self.update(zip(*self.count([WORD_MARK + w for w in short], short)))
+        self.update((w, self.count_long(WORD_MARK + w)) for w in words if len(w) >= LONG)
+
+    def count_long(self, marked: str) -> int:
+        """The forward scores of one pre-token, in time proportional to its length."""
+        best, count = [0.0], [0]
+        for end in range(1, len(marked) + 1):
+            code = ord(marked[end - 1])
+            size = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+            score = self.scores.get(marked[end - 1])
+            top, tokens = (best[-1] + score, count[-1] + 1) if score is not None else (best[-1] + BYTE_SCORE * size, count[-1] + size)
+            for begin in range(max(0, end - self.longest), end - 1):
+                score = self.scores.get(marked[begin:end])
+                if score is not None and ((total := best[begin] + score) > top or (total == top and count[begin] + 1 < tokens)):
+                    top, tokens = total, count[begin] + 1
+            best.append(top), count.append(tokens)
+        return count[-1]
 
     def count(self, marked: list[str], keys: list[str]) -> tuple[list[str], list[int]]:
         """Forward scores over the trie of ``marked``; returns the keys with their terminal counts."""

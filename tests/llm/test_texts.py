@@ -159,6 +159,18 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</scri
 <div id="comments"><p>Reader, writes, a lot, of, commas, here, and, there</p></div></div><footer>&copy; me</footer></body></html>"""
 
 
+def test_long_pre_tokens_are_counted_alike():
+    import time
+
+    model = U._model(Q.tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(12)
+    words = ["".join(rng.choice("etaoin shrdlu é日x".replace(" ", "")) for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    assert [dict(zip(*model.count([U.WORD_MARK + w for w in words], words)))[w] for w in words] == [model.count_long(U.WORD_MARK + w) for w in words]
+    begin = time.perf_counter()
+    model.count_long("etaoin" * 20_000)
+    assert time.perf_counter() - begin < 10
+
+
 def test_page_text():
     assert H.main_text(PAGE) == "A title\n\nFirst & best, of all lines é.\n\nSecond, one\n\nitem one\n\nitem two"
     article = "<body><div class=ad>Buy, buy, buy, this, now, or, never, ever</div><article><h1>T</h1><p><b>one.<br><p>two</p></article><footer>f</footer>"
