@@ -114,9 +114,11 @@ def compare_panels(old: DataFrame, new: DataFrame, key: list[str], columns: list
         F.count_if(beyond).alias("n_changed"), F.count_if(F.sign("x") * F.sign("y") < 0).alias("n_sign_changes"), F.max(F.abs(F.col("x") - F.col("y"))).alias("max_difference"))
 
 
-def attention(scored: DataFrame, low: float = 40.0, fall: float = 5.0) -> DataFrame:
-    """The latest scored month of every company with what calls for attention."""
-    order = _by_company()
-    rows = scored.withColumn("change", F.col("score") - F.lag("score").over(order)).where("score IS NOT NULL")
-    last = rows.groupBy("company_id").agg(F.max_by(F.struct("month", "score", "change", "balance", "stock"), "month").alias("r")).select("company_id", "r.*")
-    return last.select("company_id", "month", "score", flags((F.col("score") < low, "low_score"), (F.col("change") <= -fall, "falling_score"), (F.col("balance") < 0, "negative_cash"), (F.col("stock") > 0, "overdue_payables")).alias("attention"))
+def attention(scored: DataFrame, receivables: DataFrame, low: float = 40.0, fall: float = 5.0) -> DataFrame:
+    """The latest scored month of every company with what calls for attention; ``receivables`` is ``(company_id, month, overdue_ar)``."""
+    rows = scored.withColumn("change", F.col("score") - F.lag("score").over(_by_company())).where("score IS NOT NULL").join(receivables, ["company_id", "month"], "left")
+    last = rows.groupBy("company_id").agg(F.max_by(F.struct("month", "score", "change", "balance", "stock", "c", "p", "d", "shortfall", "overdue_ar"), "month").alias("r")).select("company_id", "r.*")
+    net = F.col("c") - F.col("p") - F.coalesce("d", F.lit(0.0))
+    noted = flags(
+        (F.col("score") < low, "low_score"), (F.col("change") <= -fall, "falling_score"), (F.col("balance") < 0, "negative_cash"), (F.col("stock") > 0, "overdue_payables"), (F.col("overdue_ar") > 0, "overdue_receivables"), (net < 0, "net_outflow"), (F.col("shortfall") > 0, "service_shortfall"))
+    return last.select("company_id", "month", "score", noted.alias("attention"))
