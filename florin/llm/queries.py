@@ -12,9 +12,11 @@ from .line_dedup import dedup_lines
 from .ngram_join import near_duplicates
 from .oracles import quality_rules_sql
 from .packing import pack
+from .piece_codec import decode_ids, encode_texts
 from .quality_rules import quality_report
 from .spark import read_table
 from .substring_dedup import repeated_spans
+from .token_alignment import alignment_scores
 from .token_counts import token_counts
 from .toxicity import toxicity_scores
 
@@ -78,8 +80,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    decoded = decode_ids(encode_texts(read_table(spark, sf_dir, "documents"), path), path)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_scores(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_decontamination, op4_language_id, op5_token_counts, op6_html_text, op7_line_dedup, op8_substring_dedup, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_decontamination, op4_language_id, op5_token_counts, op6_html_text, op7_line_dedup, op8_substring_dedup, op9_toxicity, op10_packing, op12_piece_codec, op13_token_alignment)}
 
 
 def oracle_sql() -> dict:
