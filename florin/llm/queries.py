@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversation_repair import conversation_report
 from .decontaminate import contained_items
 from .html_text import extract_text
 from .language_id import identify_languages
 from .line_dedup import dedup_lines
 from .ngram_join import near_duplicates
-from .oracles import quality_rules_sql
+from .oracles import conversation_repair_sql, quality_rules_sql
 from .packing import pack
 from .piece_codec import decode_ids, encode_texts
 from .quality_rules import quality_report
@@ -80,6 +81,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults that depend on a checksum of ``conv_id:turn``; nulls read as one space."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.pmod(F.crc32(F.concat_ws(":", name("conv_id"), name("turn")).cast("binary")), F.lit(20))
+    rows = conversations.select("conv_id", "turn", name("role").alias("role"), name("text").alias("text"), kind.alias("kind"))
+    copies = F.when(F.col("kind") == 0, 0).when(F.col("kind") == 3, 2).otherwise(1)
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    return conversation_report(damaged(conversations), conversations)
+
+
 def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
     decoded = decode_ids(encode_texts(read_table(spark, sf_dir, "documents"), path), path)
@@ -91,8 +107,8 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_decontamination, op4_language_id, op5_token_counts, op6_html_text, op7_line_dedup, op8_substring_dedup, op9_toxicity, op10_packing, op12_piece_codec, op13_token_alignment)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_decontamination, op4_language_id, op5_token_counts, op6_html_text, op7_line_dedup, op8_substring_dedup, op9_toxicity, op10_packing, op11_conversation_repair, op12_piece_codec, op13_token_alignment)}
 
 
 def oracle_sql() -> dict:
-    return {"op2_quality_rules": quality_rules_sql()}
+    return {"op2_quality_rules": quality_rules_sql(), "op11_conversation_repair": conversation_repair_sql()}

@@ -4,7 +4,7 @@ A text behind a space is tokenized twice, by a byte-level BPE (A) and by a marke
 token of both ends cut the bytes into groups; the two tokens that end there are linked. Texts are
 cut into units that both tokenizers treat alone; a task aligns every distinct unit once.
 
-Documents are numbered inside blocks of at most ``BLOCK`` documents and about 8 MB of text. A block holds for every linked pair of ids one
+Documents are numbered inside blocks of at most ``BLOCK`` documents and about 4 MB of text. A block holds for every linked pair of ids one
 bitmap of its documents per binary digit of the links per document: the planes. A plane of few documents is a list of their
 numbers, a fuller one is ``BLOCK`` bits. Planes OR-ed together are the pair's documents, and their population count is the pair's document count;
 2^k times the population count of plane k, summed, is its link count. Blocks hold different documents, so what is shuffled to be merged per pair is counts,
@@ -38,11 +38,14 @@ from .piece_codec import load_model, piece_bytes
 from .spark import shared_folder
 from .units import MARK, cut_units, piece_ids, pieces_may_be_cut, ranges
 
-#: Documents in a block; a power of two.
+#: Documents in a block, a power of two, and bytes of text from which a block is full.
 BLOCK = 4096
+BLOCK_BYTES = 4 << 20
 #: Documents from which a plane is written as bits.
 DENSE = BLOCK // 16
-CACHE = 500_000
+CACHE = 200_000
+#: Units that the libraries take at once.
+STEP = 20_000
 DOCUMENT = "doc_id: bigint, n_a: bigint, n_b: bigint, n_groups: bigint, n_links: bigint, groups_sha256: string"
 BLOCKS = f"block long, docs array<struct<{DOCUMENT}>>, pair array<long>, plane array<byte>, size array<int>, n_docs array<int>, sparse binary, dense binary"
 _TABLES: dict[tuple[str, str], "UnitAlignments"] = {}
@@ -54,24 +57,6 @@ def byte_level_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
 
 
-def aligned(a_ids: list[int], b_ids: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[str, list[tuple[int, int]]]:
-    """The groups as text and the linked pairs; both sides hold the same bytes."""
-    groups, links = [], []
-    i = j = at_a = at_b = first_a = first_b = 0
-    while i < len(a_ids):
-        at_a += len(a_bytes[a_ids[i]])
-        i += 1
-        while at_b < at_a:
-            at_b += len(b_bytes[b_ids[j]])
-            j += 1
-        if at_a != at_b:
-            continue
-        groups.append(",".join(map(str, a_ids[first_a:i])) + "|" + ",".join(map(str, b_ids[first_b:j])))
-        links.append((a_ids[i - 1], b_ids[j - 1]))
-        first_a, first_b = i, j
-    return ";".join(groups), links
-
-
 class UnitAlignments:
     """Every distinct unit of a task, aligned."""
 
@@ -87,6 +72,8 @@ class UnitAlignments:
         for token, k in vocabulary.items():
             self.a_bytes[k] = bytes(alphabet[c] for c in token if c in alphabet)
         self.b_bytes = [piece_bytes(self.b, k) for k in range(self.b.vocab_size())]
+        self.a_sizes, self.b_sizes = (np.array([len(t) for t in side]) for side in (self.a_bytes, self.b_bytes))
+        self.names = [f"{k}{end}" for end in ",|;" for k in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.cuts, self.mark = pieces_may_be_cut(self.b), self.b.piece_to_id(MARK)
         self.forget()
 
@@ -97,21 +84,40 @@ class UnitAlignments:
         self.pairs, self.ends = np.empty(0, np.int64), np.zeros(1, np.int64)
 
     def learn(self, new: list[str]) -> None:
-        a_ids = [e.ids for e in self.a.encode_batch(new, add_special_tokens=False)]
-        b_ids = piece_ids(self.b, self.mark, new)
-        tokens, pairs, sizes = [], [], []
-        for unit, a, b in zip(new, a_ids, b_ids):
-            raw = unit.encode()
-            right = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
-            groups, links = aligned(a, b, self.a_bytes, self.b_bytes) if right else ("", [])
-            self.groups.append(groups)
-            tokens.append((len(a), len(b)) if right else (0, 0))
-            pairs.extend(x << 32 | y for x, y in links)
-            sizes.append(len(links))
+        for at in range(0, len(new), STEP):
+            self._learn(new[at : at + STEP])
+
+    def _learn(self, new: list[str]) -> None:
+        """Aligns units, laid one after another, by the places where tokens of both sides end."""
+        sides = ([e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)], piece_ids(self.b, self.mark, new))
+        sizes = [np.fromiter(map(len, ids), np.int64, len(ids)) for ids in sides]
+        totals = [np.add.reduceat(np.append(table[np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(n.sum()))], 0), np.cumsum(n) - n) for ids, n, table in zip(sides, sizes, (self.a_sizes, self.b_sizes))]
+        whole = (totals[0] == totals[1]) & (totals[0] == [len(u.encode()) for u in new])
+        right = [ok and MARK not in u for ok, u in zip(whole.tolist(), new)]  # nothing else changes a text's bytes and keeps their number
+        flat, counts, ends = [], [], []
+        for side, table in zip(sides, (self.a_sizes, self.b_sizes)):
+            ids = [x if ok else [] for x, ok in zip(side, right)]
+            counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(counts[-1].sum())))
+            ends.append(np.cumsum(table[flat[-1]]))
+        common = np.intersect1d(*ends, assume_unique=True)
+        at = [np.searchsorted(e, common) for e in ends]  # the tokens that end there
+        unit_ends = np.concatenate([[0], ends[0]])[np.cumsum(counts[0])]
+        links = np.diff(np.searchsorted(common, unit_ends, side="right"), prepend=0)
+        # every token with what follows its number, in the order of groups, A before B
+        end = [np.zeros(len(ids), np.int64) for ids in flat]
+        for e, places, kind in zip(end, at, (1, 2)):
+            e[places] = kind
+        group = [np.searchsorted(common, e) for e in ends]
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        n = len(self.names) // 3
+        names = list(map(self.names.__getitem__, np.concatenate([flat[k] + n * end[k] for k in (0, 1)])[order].tolist()))
+        stops = np.cumsum(counts[0] + counts[1]).tolist()
+        self.groups += ["".join(names[x:y])[:-1] for x, y in itertools.pairwise([0, *stops])]
         self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
-        self.tokens = np.concatenate([self.tokens, np.array(tokens, np.int64).reshape(-1, 2)])
-        self.pairs = np.concatenate([self.pairs, np.array(pairs, np.int64)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.array(sizes, np.int64))])
+        self.tokens = np.concatenate([self.tokens, np.stack(counts, axis=1)])
+        self.pairs = np.concatenate([self.pairs, flat[0][at[0]] << 32 | flat[1][at[1]]])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(links)])
 
     def units(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The number of every unit of all texts, and where each text's begin (with the end of all). A text with a unit that is not given back has none."""
@@ -128,13 +134,14 @@ class UnitAlignments:
 
 def planes_of(pairs: np.ndarray, docs: np.ndarray) -> dict[str, object]:
     """The bitmaps of one block from its links, a pair's code and a document's number each."""
-    codes, pair = np.unique(pairs, return_inverse=True)
-    keys, times = np.unique(pair.astype(np.int64) * BLOCK + docs, return_counts=True)
-    pair, doc = keys // BLOCK, (keys % BLOCK).astype("<u2")
+    keys, times = np.unique(pairs * BLOCK + docs, return_counts=True)
+    first = np.diff(keys // BLOCK, prepend=-1) != 0
+    codes, own = (keys // BLOCK)[first], np.cumsum(first) - 1
+    doc = (keys % BLOCK).astype("<u2")
     entries, members = [], []
     for k in range(int(times.max(initial=0)).bit_length()):
         inside = np.flatnonzero(times >> k & 1)
-        entries.append(pair[inside] << 8 | k)
+        entries.append(own[inside] << 8 | k)
         members.append(doc[inside])
     entry, member = np.concatenate([*entries, np.empty(0, np.int64)]), np.concatenate([*members, np.empty(0, "<u2")])
     order = np.argsort(entry, kind="stable")
@@ -146,7 +153,7 @@ def planes_of(pairs: np.ndarray, docs: np.ndarray) -> dict[str, object]:
     dense = np.repeat(size >= DENSE, size)
     bits[np.repeat(np.arange(len(full)), size[full]), member[dense]] = True
     pair, plane = entry[begins] >> 8, entry[begins] & 255
-    n_docs = np.where(np.diff(pair, prepend=-1) != 0, np.bincount(keys // BLOCK, minlength=len(codes))[pair], 0)  # of the OR of the planes, once per pair
+    n_docs = np.where(np.diff(pair, prepend=-1) != 0, np.bincount(own, minlength=len(codes))[pair], 0)  # of the OR of the planes, once per pair
     return {"pair": codes[pair], "plane": plane.astype(np.int8), "size": size.astype(np.int32), "n_docs": n_docs.astype(np.int32), "sparse": member[~dense].tobytes(), "dense": np.packbits(bits, axis=1).tobytes()}
 
 
@@ -160,7 +167,7 @@ def blocks_of(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = batch.column(1)
-            for first, last in ((x, min(x + BLOCK, end)) for begin, end in slices(texts) for x in range(begin, end, BLOCK)):
+            for first, last in ((x, min(x + BLOCK, end)) for begin, end in slices(texts, BLOCK_BYTES) for x in range(begin, end, BLOCK)):
                 units, begins = table.units(texts.slice(first, last - first))
                 groups = list(map(table.groups.__getitem__, units.tolist()))
                 totals = lambda values: np.diff(np.concatenate([[0], np.cumsum(values)])[begins])  # noqa: E731, B023
@@ -202,7 +209,7 @@ def aligned_groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             _TABLES[a_path, b_path] = UnitAlignments(a_path, b_path)
         table = _TABLES[a_path, b_path]
         for batch in batches:
-            for first, last in slices(batch.column(1)):
+            for first, last in slices(batch.column(1), BLOCK_BYTES):
                 units, begins = table.units(batch.column(1).slice(first, last - first))
                 groups = list(map(table.groups.__getitem__, units.tolist()))
                 texts = [";".join(groups[x:y]) for x, y in itertools.pairwise(begins.tolist())]
