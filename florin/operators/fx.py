@@ -74,9 +74,3 @@ def rate_on_or_before(events: DataFrame, quotes: DataFrame, day: str) -> DataFra
     known = month.withColumn("inside", inside).where("quote IS NULL").join(carried, ["currency", "month"])
     known = known.select(F.col("currency").alias("_currency"), F.col("day").alias("_day"), F.coalesce("inside", "carried").alias("known"))
     return events.join(known, (F.col("currency") == F.col("_currency")) & (F.col(day) == F.col("_day")), "left").select(*events.columns, F.col("known.day").alias("rate_day"), F.col("known.rate").alias("rate"))
-
-
-def fx_exposure(open_rows: DataFrame) -> DataFrame:
-    """Open foreign receivables per company, month and currency: what has a EUR value and how many have none."""
-    foreign = open_rows.where((F.col("currency_norm") != "EUR") & (F.col("side") == "ar"))
-    return foreign.groupBy("company_id", "month", "currency_norm").agg(F.count("*").alias("n_open"), F.count("eur").alias("n_valued"), F.sum(F.abs("eur")).alias("valued_eur"), F.sum(F.when(F.col("eur").isNull(), F.abs("amount"))).alias("opaque_amount"))

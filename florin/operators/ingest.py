@@ -19,9 +19,9 @@ LONGEST_SCHEDULE = 600
 _ACCENTED, _PLAIN = "ÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ", "AAAAAEEEEIIIIOOOOOUUUUNC"
 
 
-def csv_scan(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """A CSV file with a header and quoted fields that may span lines; every column is text."""
-    return spark.read.csv(path, header=True, multiLine=True, escape='"', schema=", ".join(f"`{c}` string" for c in columns))
+def csv_scan(spark: SparkSession, path: str, columns: Sequence[str], null_text: str = "\\N") -> DataFrame:
+    """A CSV file with a header and quoted fields that may span lines; every column is text, an empty field is empty text, and ``null_text`` is null."""
+    return spark.read.csv(path, header=True, multiLine=True, escape='"', nullValue=null_text, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, schema=", ".join(f"`{c}` string" for c in columns))
 
 
 def typed(text: Column, kind: str) -> Column:

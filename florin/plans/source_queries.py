@@ -29,8 +29,8 @@ def _texted(rows: DataFrame) -> DataFrame:
 @query("SELECT id, amount, stamp, note FROM text_rows")
 def s01_csv_scan(t: Treasury) -> DataFrame:
     path = shared_path(t.spark, "orders-csv")
-    t.text_rows.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', emptyValue="", nullValue="\\N", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return I.csv_scan(t.spark, path, list(_KINDS)).select(*(F.when(F.col(c) != "\\N", F.col(c)).alias(c) for c in _KINDS))
+    t.text_rows.write.csv(path, header=True, quoteAll=True, escape='"', emptyValue="", nullValue="\\N", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return I.csv_scan(t.spark, path, list(_KINDS))
 
 
 @query(_TYPED)
