@@ -36,6 +36,12 @@ RECORDS = {
         CASE WHEN k % 73 = 0 THEN 'oldest_due_assumed' ELSE 'explicit' END AS policy FROM obligation_keys CROSS JOIN (VALUES (0), (1)) AS n(p) CROSS JOIN (VALUES (0), (1)) AS c(copy) WHERE k % 61 <> 0 AND k % 6 > p AND (copy = 0 OR k % 29 = 0 OR k % 31 = 0)""",
     "amendments": """SELECT concat('AM_', operation_id, '_', kind) AS amendment_id, operation_id AS obligation_id, kind, issued + CAST(days AS INT) AS effective_on, CAST(face * part AS DECIMAL(18, 2)) AS amount FROM obligation_keys
         CROSS JOIN (VALUES ('cancel', 20, 0.1, 47), ('reverse', 60, 0.05, 53), ('writeoff', 70, 0.03, 59), ('renegotiate', 25, 0.5, 61)) AS n(kind, days, part, every) WHERE k % every = 0""",
+    "ledger_cash": """SELECT company_id, CAST(date_trunc('month', booked_on) AS DATE) AS month, sum(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS inflow, sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS outflow, count(*) AS n FROM ledger_movements WHERE booking = 'booked' GROUP BY company_id, CAST(date_trunc('month', booked_on) AS DATE)""",
+    # a month's share of outflow in hundredths, its mean with the month before, and whether the next active month flows out; some are not known
+    "scored_months": """SELECT x.company_id, c.group_id, month, CASE WHEN n % 7 <> 0 OR n < 7 THEN p END AS last, (p + coalesce(before, p)) / 2 AS mean, label FROM (SELECT company_id, month, n, p, lag(p) OVER (PARTITION BY company_id ORDER BY month) AS before, CASE WHEN lead(month) OVER (PARTITION BY company_id ORDER BY month) IS NOT NULL THEN CASE WHEN lead(outflow) OVER (PARTITION BY company_id ORDER BY month) > lead(inflow) OVER (PARTITION BY company_id ORDER BY month) THEN 1 ELSE 0 END END AS label
+        FROM (SELECT *, floor(CAST(outflow AS DOUBLE) / CAST(inflow + outflow AS DOUBLE) * 100) / 100 AS p FROM ledger_cash) y) x JOIN companies c ON c.company_id = x.company_id""",
+    "origins": """SELECT company_id, sign, month, CAST(month + INTERVAL 1 MONTH AS DATE) + CAST(n % 5 AS INT) AS issued_on, CASE WHEN n % 5 <> 4 THEN CASE WHEN sign = 'deterioration' THEN p ELSE 1 - p END END AS probability, CASE WHEN n % 13 <> 12 THEN 50.0 END AS headline, inflow + outflow > 20000 AS is_eligible
+        FROM (SELECT *, floor(CAST(outflow AS DOUBLE) / CAST(inflow + outflow AS DOUBLE) * 100) / 100 AS p FROM ledger_cash) x CROSS JOIN (VALUES ('deterioration'), ('improvement')) AS s(sign)""",
 }
 
 
