@@ -212,7 +212,7 @@ def test_lines_by_brute_force(spark, small, options):
         assert out[i].document.text == "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone[i]) and out[i].n_removed_lines == len(gone[i])
 
 
-@pytest.mark.parametrize("size, changed", [(5, 1), (8, 1), (10, 1), (15, 1), (30, 1), (30, 3), (60, 6), (90, 1), (90, 10), (150, 1), (150, 20)])
+@pytest.mark.parametrize("size, changed", [(5, 1), (8, 1), (8, 2), (10, 1), (10, 2), (15, 1), (15, 2), (20, 3), (30, 1), (30, 3), (30, 5), (60, 6), (60, 10), (90, 1), (90, 10), (150, 1), (150, 20), (400, 60)])
 def test_lines_at_the_edit_similarity_are_found(spark, size, changed):
     """Recall on pairs that are known by edit similarity alone."""
     rng = random.Random(size * 100 + changed)
