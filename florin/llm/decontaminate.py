@@ -18,9 +18,12 @@ The search is one pass over the documents without a shuffle. The items go to the
 tasks in blocks of bounded size (BLOCK_CHARS characters of text each); a larger
 benchmark takes more passes, never a larger broadcast.
 
-Defined results: null or empty texts match nothing, nor do items of fewer than
-five words, which have no shingle; repeated rows each give their own rows; rows with a
-null doc_id are searched like others; other columns are not read.
+An item of fewer than five words has one shingle, of all its words, and is looked up among the document's runs of as many words.
+
+Defined results: null or empty texts, and texts without a word, match nothing; repeated documents each give their own rows, and repeated items
+(one item_id and text) one; two texts under one item_id are two items; rows with a
+null doc_id or item_id are searched like others; a text that holds an item several times has it once; very long texts are searched whole; an empty table of either kind gives no match; other columns,
+whatever their names, are not read, and pass through ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -47,9 +50,9 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return shingles[first]
 
 
-def word_grams(text: str | None) -> set[tuple[bytes, ...]]:
+def word_grams(text: str | None, n: int = SHINGLE) -> set[tuple[bytes, ...]]:
     words = words_of(text)
-    return {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
 def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -63,6 +66,7 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str | None]], threshold: float):
         self.threshold, self.items = threshold, []
         self.classes: dict[int, dict[int, list[int]]] = {}
+        self.short: dict[int, dict[int, list[int]]] = {}
         for (item_id, text), hashes in zip(items, word_hashes([t for _, t in items])):
             shingles = np.unique(shingle_sequence(hashes))
             if len(shingles):
@@ -71,6 +75,10 @@ class ItemIndex:
                 for value in sketch(shingles).tolist():
                     by_value.setdefault(value, []).append(len(self.items))
                 self.items.append((item_id, word_grams(text)))
+            elif len(hashes):  # one shingle, of all its words
+                self.short.setdefault(len(hashes), {}).setdefault(int(shingle_sequence(hashes, len(hashes))[0]), []).append(len(self.items))
+                self.items.append((item_id, word_grams(text, len(hashes))))
+        self.short_values = {n: np.array(sorted(v), np.uint64) for n, v in self.short.items()}
         self.values = {c: np.array(sorted(v), np.uint64) for c, v in self.classes.items()}
         self.all_values = np.unique(np.concatenate([*self.values.values(), np.empty(0, np.uint64)]))
         self.filter = np.zeros(1 << 20, bool)
@@ -94,6 +102,12 @@ class ItemIndex:
         for text, hashes in zip(texts, word_hashes(texts)):
             candidates, out = self.candidates(shingle_sequence(hashes)), []
             grams = word_grams(text) if candidates else set()
+            for n, values in self.short_values.items():
+                runs = shingle_sequence(hashes, n)
+                found = {k for value in np.unique(runs[_among(runs, values)]).tolist() for k in self.short[n][value]}
+                if found:
+                    candidates |= found
+                    grams |= word_grams(text, n)
             for k in sorted(candidates):
                 item_id, wanted = self.items[k]
                 shared = len(wanted & grams)

@@ -10,7 +10,8 @@ siblings with a good share of its points or with plain paragraph text are kept w
 Menus, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out, by element and by the
 words of class, id and role. Headers, related boxes and the like (MAYBE) are left out outside the container; inside, only if LINKED of
 their characters are links. A box with a word of the layout that holds most points of the page is the page's wrapper, and its word is ignored.
-Lists and boxes that are almost only links are menus.
+Lists and boxes that are almost only links are menus where the whole page is the container, and beside a container; inside one they are its lists of sources.
+Articles beside a chosen article that have a good share of its points belong to it.
 
 A page is parsed and scored by itself, in one pass over the table without a shuffle, in time proportional to its elements.
 
@@ -44,10 +45,10 @@ DROPPED = frozenset("script style noscript template head title nav footer aside
 MARKS = frozenset("""ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion
     breadcrumb breadcrumbs pager pagination notice notices cookie cookies consent gdpr popup modal overlay
     newsletter subscribe subscription signup login comment comments commentlist disqus respond responses contentinfo complementary skip""".split())
-# Words of the layout, which a wrapper of the whole page may bear too.
-LAYOUT = frozenset("nav navbar navigation menu footer sidebar aside toolbar".split())
+# Words of the layout and of readers' parts, which a wrapper of the whole page may bear too.
+LAYOUT = frozenset("nav navbar navigation menu footer sidebar aside toolbar review reviews feedback discussion reply replies".split())
 # Words that mark such parts outside the container; inside it, links decide.
-MAYBE = frozenset("header masthead banner side alert share sharing social related recommended recommendations search discussion reply replies widget widgets".split())
+MAYBE = frozenset("header masthead banner side alert share sharing social related recommended recommendations search widget widgets".split())
 #: A box of MAYBE inside the container goes if at least this share of its characters is link text.
 LINKED = 0.5
 #: A list or box is a menu if at least this share is.
@@ -80,7 +81,7 @@ def _mark(tag: str, attrs: list[tuple[str, str | None]]) -> int:
             mark = max(mark, 3 if not MARKS.isdisjoint(words) else 2 if not LAYOUT.isdisjoint(words) else 1 if not MAYBE.isdisjoint(words) else 0)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):
             return 3
-    return mark
+    return 0 if tag == "article" and mark == 2 else mark  # an article may be a review
 
 
 class TreeBuilder(HTMLParser):
@@ -202,8 +203,8 @@ def _is_menu(node: Node) -> bool:
     return node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.links >= 2 and _density(node) >= MENU
 
 
-def _blocks(tops: list[Node]) -> list[str]:
-    """Texts of the blocks below ``tops``, in page order."""
+def _blocks(tops: list[Node], menus: bool) -> list[str]:
+    """Texts of the blocks below ``tops``, in page order; with ``menus``, what looks like one is left out."""
     blocks: list[str] = []
     current: list[str] = []
 
@@ -222,7 +223,7 @@ def _blocks(tops: list[Node]) -> list[str]:
             current.append(part)
         elif part.tag == "br":
             current.append(" ")
-        elif not part.dropped and not _is_menu(part):
+        elif not part.dropped and not (menus and _is_menu(part)):
             if part.tag in BLOCKS:
                 end()
                 waiting.append(None)
@@ -258,9 +259,9 @@ def main_text(html: str | None) -> str:
     while around is not None and around.tag not in ("article", "main"):
         around = around.parent
     if around is not None and (best.below >= around.below / 2 or around.points >= SIBLING_SHARE * best.points):
-        return _text([around])
-    if best.parent is None:
-        return _text([best])
+        return _text(_articles(around))
+    if best.parent is None or best.tag in ("body", "html"):
+        return _text([best], menus=True)
     least = max(1.0, SIBLING_SHARE * best.points)
     tops: list[Node] = []
     for sibling in best.parent.children:
@@ -282,12 +283,20 @@ def _again(nodes: list[Node]) -> None:
     _score(nodes)
 
 
-def _text(tops: list[Node]) -> str:
+def _articles(chosen: Node) -> list[Node]:
+    """The container with the articles beside it that score as it does: a text in several articles."""
+    if chosen.tag != "article" or chosen.parent is None:
+        return [chosen]
+    beside = [c for c in chosen.parent.children if isinstance(c, Node) and c.tag == "article" and not c.dropped and c.mark == 0 and not _is_menu(c)]
+    return [c for c in beside if c is chosen or c.points >= SIBLING_SHARE * chosen.points]
+
+
+def _text(tops: list[Node], menus: bool = False) -> str:
     for top in tops:
         inside = _in_order(top)
         for node in inside[1:]:
             node.dropped = node.dropped or node.parent.dropped or (node.mark == 1 and _density(node) >= LINKED)
-    return "\n\n".join(_blocks(tops))
+    return "\n\n".join(_blocks(tops, menus))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

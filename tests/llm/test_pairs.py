@@ -1,7 +1,7 @@
 """Near duplicates, contaminated documents, repeated lines and spans against brute force."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -122,6 +122,28 @@ def test_short_items_deep_in_long_documents(spark):
     assert sorted((r.doc_id, r.item_id) for r in found) == [(k, k) for k, _ in items]
 
 
+def test_short_items_and_odd_rows(spark, odd_docs, no_docs):
+    """Items of fewer than five words by a plain search over words; null, repeated and clashing rows of both tables."""
+    items = [(1, "one two"), (2, "Text"), (3, "without an ID here"), (4, "an id"), (4, "one two"), (5, None), (6, ""), (7, "?!"), (8, "text one"), (1, "one two"), (None, "some text without an id here now")]
+    benchmark = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, containment string")
+    got = Counter((r.doc_id, r.item_id, r.shared, r.item_shingles) for r in D.contained_items(odd_docs, benchmark).collect())
+    want = Counter()
+    for r in odd_docs.collect():
+        words = words_of(r.text)
+        for item_id, text in set(items):
+            own = words_of(text)
+            n = min(5, len(own))
+            grams = {tuple(own[k : k + n]) for k in range(len(own) - n + 1)} if n else set()
+            shared = len(grams & {tuple(words[k : k + n]) for k in range(len(words) - n + 1)})
+            if grams and shared >= 0.8 * len(grams):
+                want[r.doc_id, item_id, shared, len(grams)] += 1
+    assert got == want and sum(got.values()) >= 6
+    left = D.drop_contaminated(odd_docs, benchmark)
+    assert left.columns == odd_docs.columns and Counter(str(r) for r in left.collect()) == Counter(str(r) for r in odd_docs.collect() if r.doc_id not in {k for k, *_ in want})
+    assert D.contained_items(no_docs, benchmark).count() == 0 and D.contained_items(odd_docs, benchmark.where("false")).count() == 0
+    assert D.drop_contaminated(odd_docs, benchmark.where("false")).count() == odd_docs.count()
+
+
 def test_blocks_of_items_give_the_same(spark, small, monkeypatch):
     benchmark = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     whole = sorted(D.contained_items(small, benchmark).collect())

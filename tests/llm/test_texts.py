@@ -202,6 +202,26 @@ def test_parts_of_an_article_and_wrappers():
     assert "B. Author, another, a publisher" in H.main_text(references)
 
 
+def test_comments_sources_and_several_articles():
+    long = "Long text, with commas, and more words here. " * 6
+    body = f"<p>{long}</p><p>{long}</p>"
+    want = f"{long.strip()}\n\n{long.strip()}"
+    assert H.main_text(f"<main>{body}<section id='reviews'><h2>Reviews</h2><p>Great, stuff</p></section><div class='reader-feedback'><p>Bad, stuff</p></div></main>") == want
+    assert H.main_text(f"<main><article class='review'>{body}</article></main>") == want
+    sources = "<h2>References</h2><ul><li><a href=x>One ref</a></li><li><a href=y>Two ref</a></li></ul>"
+    assert H.main_text(f"<article>{body}{sources}</article>") == f"{want}\n\nReferences\n\nOne ref\n\nTwo ref"
+    assert H.main_text(f"<main><article><p>{long}</p></article><article><p>{long}</p></article></main>") == want
+    assert H.main_text(f"<div><article><p>{long}</p></article><article class='ad'><p>{long}</p></article></div>") == long.strip()
+    assert H.main_text(f"<body><ul><li><a>Home</a><li><a>About</a></ul>{body}</body>") == want
+
+
+def test_odd_pages(spark):
+    rows = [(1, "u", "<p>x", "a"), (1, "u", "<p>x", "a"), (2, None, "<p>" + "word, " * 50_000, "b"), (3, "v", "no markup & none", "c")]
+    pages = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string, n_chars string")
+    out = sorted((r.page_id, r.n_chars, r.text[:5]) for r in H.extract_text(pages).collect())
+    assert out == [(1, 1, "x"), (1, 1, "x"), (2, 299_999, "word,"), (3, 16, "no ma")] and H.extract_text(pages.where("false")).count() == 0
+
+
 def plain_scores(node, levels=10):
     """Points by plain recursion over the tree: what every paragraph below an element passes up to it."""
     def paragraphs(n, depth):
