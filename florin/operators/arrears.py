@@ -122,7 +122,7 @@ def live_invoices(rows: DataFrame, issued: str, first: str, last: str) -> DataFr
 
 
 def delay_profile(rows: DataFrame, first: str, last: str, least: int = 10) -> DataFrame:
-    """Expected delay per cut, company and side: the company's median over payments by the cut if it has ten, else its side's."""
+    """Expected delay per cut, company and side: the company's median over payments by the cut if it has ten, else its side's, which is given as well."""
     paid = rows.where("paid IS NOT NULL").withColumn("delay", F.datediff("paid", "due"))
     months = F.sequence(_first_month(F.col("paid"), first), F.lit(last).cast("date"), F.expr("INTERVAL 1 MONTH"))
     dealt = paid.where(F.col("paid") <= F.last_day(F.lit(last).cast("date"))).withColumn("cut", F.explode(months)).withColumn("cut", F.last_day("cut"))
@@ -130,4 +130,4 @@ def delay_profile(rows: DataFrame, first: str, last: str, least: int = 10) -> Da
     counted = dealt.groupBy("cut", "side", "company_id", "delay").agg(F.count("*").alias("n"))
     own = counted.groupBy("cut", "side", "company_id").agg(F.sum("n").alias("n_paid"), F.percentile("delay", F.lit(0.5), F.col("n")).alias("own"))
     side = counted.groupBy("cut", "side", "delay").agg(F.sum("n").alias("n")).groupBy("cut", "side").agg(F.percentile("delay", F.lit(0.5), F.col("n")).alias("all"))
-    return own.join(side, ["cut", "side"]).select("cut", "side", "company_id", "n_paid", F.when(F.col("n_paid") >= least, F.col("own")).otherwise(F.col("all")).alias("expected_delay"))
+    return own.join(side, ["cut", "side"]).select("cut", "side", "company_id", "n_paid", F.when(F.col("n_paid") >= least, F.col("own")).otherwise(F.col("all")).alias("expected_delay"), F.col("all").alias("side_delay"))

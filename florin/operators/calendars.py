@@ -125,11 +125,12 @@ def live_at_cuts(rows: DataFrame, first: str, last: str) -> DataFrame:
 def expected_rows(live: DataFrame, rates: DataFrame, delays: DataFrame) -> DataFrame:
     """Live invoices with the day on which they are expected, never before the day after the cut, and the expected amount.
 
-    ``delays`` is ``(cut, company_id, expected_delay)`` for companies with payments of their own; the others are expected on the due day.
+    ``delays`` is ``(cut, company_id, expected_delay, side_delay)`` of one side, for companies with payments of their own; the others are expected after the side's median delay, and on the due day where nobody has paid yet.
     """
+    sides = delays.groupBy("cut").agg(F.max("side_delay").alias("_side"))
     aged = live.withColumn("age", age_of(F.datediff("cut", "due")))
-    rows = aged.join(rates.select("cut", "age", "rate"), ["cut", "age"]).join(delays.select("cut", "company_id", "expected_delay"), ["cut", "company_id"], "left")
-    day = F.date_add("due", F.round(F.coalesce("expected_delay", F.lit(0.0))).cast("int"))
+    rows = aged.join(rates.select("cut", "age", "rate"), ["cut", "age"]).join(delays.select("cut", "company_id", "expected_delay"), ["cut", "company_id"], "left").join(sides, "cut", "left")
+    day = F.date_add("due", F.round(F.coalesce("expected_delay", "_side", F.lit(0.0))).cast("int"))
     return rows.select("company_id", "cut", "age", "eur", "due", "rate", F.greatest(day, F.date_add("cut", 1)).alias("day"), (F.col("eur") * F.col("rate")).alias("expected_eur"))
 
 

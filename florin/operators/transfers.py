@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,24 +43,57 @@ def normal_description(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
+class _Free:
+    """Movements of one sign, amount, account and counterparty in order of day and identity; those that are paired are passed over once."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[int, str]] = []
+        self.next: list[int] = []
+
+    def first(self, begin: int, end: int, paired: set[str]) -> tuple[int, str] | None:
+        """The first free movement from day ``begin`` to ``end``."""
+        if not self.next:
+            self.rows.sort()
+            self.next = list(range(len(self.rows) + 1))
+        start = at = bisect_left(self.rows, (begin, ""))
+        while at < len(self.rows) and (self.next[at] > at or self.rows[at][1] in paired):
+            at = max(self.next[at], at + 1)
+        while start < at:
+            start, self.next[start] = max(self.next[start], start + 1), at
+        return self.rows[at] if at < len(self.rows) and self.rows[at][0] <= end else None
+
+
 def _greedy(rows: pd.DataFrame) -> Iterator[tuple[str, str, str, str]]:
-    """Pairs of one group in order: the largest amount first, each with the earliest candidate that fits."""
-    records = sorted(zip(rows.transaction_id, rows.product_id.fillna(""), rows.day, rows.eur, rows.counterparty_id.fillna("")), key=lambda r: (r[2], r[0]))
+    """Pairs of one group in order: the largest amount first, each with the earliest candidate that fits.
+
+    Candidates wait by sign, amount, account and counterparty, so an anchor looks at one place in each list that it may take from.
+    """
+    records = list(zip(rows.transaction_id, rows.product_id.fillna(""), rows.day, rows.eur, rows.counterparty_id.fillna("")))
     paired: set[str] = set()
     for rule, confidence, most_days, other_account in PASSES:
         free = [r for r in records if r[0] not in paired]
-        for anchor in sorted(free, key=lambda r: (-abs(r[3]), r[2], r[0])):
-            if anchor[0] in paired:
+        waiting: dict[tuple, dict[tuple, _Free]] = {}
+        for name, account, day, eur, partner in free:
+            lists = waiting.setdefault((eur > 0, account), {})
+            for key in {(abs(eur), partner), (abs(eur), None)}:
+                lists.setdefault(key, _Free()).rows.append((day, name))
+        sizes = sorted({abs(r[3]) for r in free})
+        for name, account, day, eur, partner in sorted(free, key=lambda r: (-abs(r[3]), r[2], r[0])):
+            if name in paired:
                 continue
-            for other in free:
-                if other[0] in paired or anchor[3] * other[3] >= 0 or abs(other[2] - anchor[2]) > most_days or (other_account and other[1] == anchor[1]):
-                    continue
-                if abs(abs(anchor[3]) - abs(other[3])) > TOLERANCE + 1e-9 or (anchor[4] and other[4] and anchor[4] != other[4]):
+            near = sizes[bisect_left(sizes, abs(eur) - TOLERANCE - 1e-9) : bisect_right(sizes, abs(eur) + TOLERANCE + 1e-9)]
+            found = []
+            for (positive, place), lists in waiting.items():
+                if positive == (eur > 0) or (other_account and place == account):
                     continue
-                paired |= {anchor[0], other[0]}
-                yield anchor[0], other[0], rule, confidence
-                yield other[0], anchor[0], rule, confidence
-                break
+                for key in ((size, who) for size in near for who in ((partner, "") if partner else (None,))):
+                    if key in lists and (one := lists[key].first(day - most_days, day + most_days, paired)):
+                        found.append(one)
+            if found:
+                other = min(found)[1]
+                paired |= {name, other}
+                yield name, other, rule, confidence
+                yield other, name, rule, confidence
 
 
 def transfer_pairs(transfers: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def p12_live_invoices(t: Treasury) -> DataFrame:
 @query("""SELECT m.month_end AS cut, side, company_id, n AS n_paid, CASE WHEN n >= 10 THEN own ELSE everyone END AS expected_delay FROM (SELECT month_end, side, company_id, count(*) AS n, median(date_diff('day', due, paid)) AS own FROM payables JOIN months ON paid <= month_end GROUP BY ALL) m
     JOIN (SELECT month_end, side, median(date_diff('day', due, paid)) AS everyone FROM payables JOIN months ON paid <= month_end GROUP BY ALL) s USING (month_end, side)""")
 def p13_expected_delay(t: Treasury) -> DataFrame:
-    return A.delay_profile(_payables(t), FIRST_MONTH, LAST_MONTH)
+    return A.delay_profile(_payables(t), FIRST_MONTH, LAST_MONTH).drop("side_delay")
 
 
 @query("SELECT currency, day, month, round(log_return, 8) AS log_return FROM returns")

@@ -45,8 +45,9 @@ STEPS["survivals"] = """SELECT cut, age, n AS n_at_risk, k AS n_paid, CASE WHEN
     FROM months m CROSS JOIN ages a LEFT JOIN (SELECT due, CASE WHEN date_diff('day', due, paid) <= 365 THEN date_diff('day', due, paid) ELSE 366 END AS d FROM receivables WHERE side = 'ap') r ON r.due + 365 <= m.month_end GROUP BY ALL)"""
 STEPS["delays"] = """SELECT m.month_end AS cut, side, company_id, CASE WHEN n >= 10 THEN own ELSE everyone END AS expected_delay FROM (SELECT month_end, side, company_id, count(*) AS n, median(date_diff('day', due, paid)) AS own FROM payables JOIN months ON paid <= month_end GROUP BY ALL) m
     JOIN (SELECT month_end, side, median(date_diff('day', due, paid)) AS everyone FROM payables JOIN months ON paid <= month_end GROUP BY ALL) s USING (month_end, side)"""
-_EXPECTED = """SELECT r.company_id, m.month_end AS cut, t.age, r.eur, greatest(r.due + CAST(round(coalesce(d.expected_delay, 0)) AS INTEGER), m.month_end + 1) AS day, r.eur * t.rate AS expected_eur FROM (SELECT * FROM receivables WHERE side = '{side}') r JOIN months m ON r.issued <= m.month_end AND (r.paid IS NULL OR r.paid > m.month_end)
-    JOIN {table} t ON t.cut = m.month_end AND t.age = CASE WHEN m.month_end - r.due >= 181 THEN 'over_180' WHEN m.month_end - r.due >= 91 THEN '91_180' WHEN m.month_end - r.due >= 61 THEN '61_90' WHEN m.month_end - r.due >= 31 THEN '31_60' WHEN m.month_end - r.due >= 1 THEN '1_30' ELSE 'not_due' END LEFT JOIN (SELECT * FROM delays WHERE side = '{side}') d ON d.cut = m.month_end AND d.company_id = r.company_id"""
+_EXPECTED = """SELECT r.company_id, m.month_end AS cut, t.age, r.eur, greatest(r.due + CAST(round(coalesce(d.expected_delay, x.everyone, 0)) AS INTEGER), m.month_end + 1) AS day, r.eur * t.rate AS expected_eur FROM (SELECT * FROM receivables WHERE side = '{side}') r JOIN months m ON r.issued <= m.month_end AND (r.paid IS NULL OR r.paid > m.month_end)
+    JOIN {table} t ON t.cut = m.month_end AND t.age = CASE WHEN m.month_end - r.due >= 181 THEN 'over_180' WHEN m.month_end - r.due >= 91 THEN '91_180' WHEN m.month_end - r.due >= 61 THEN '61_90' WHEN m.month_end - r.due >= 31 THEN '31_60' WHEN m.month_end - r.due >= 1 THEN '1_30' ELSE 'not_due' END LEFT JOIN (SELECT * FROM delays WHERE side = '{side}') d ON d.cut = m.month_end AND d.company_id = r.company_id
+    LEFT JOIN (SELECT month_end, median(date_diff('day', due, paid)) AS everyone FROM payables JOIN months ON paid <= month_end WHERE side = '{side}' GROUP BY month_end) x ON x.month_end = m.month_end"""
 STEPS["expected_ar"], STEPS["expected_ap"] = _EXPECTED.format(side="ar", table="cures"), _EXPECTED.format(side="ap", table="survivals")
 STEPS["live_foreign"] = """SELECT i.*, m.month AS cut_month, m.month_end FROM inv i JOIN months m ON i.issuance_date <= m.month_end AND (i.status_norm <> 'paid' OR i.payment_date > m.month_end) WHERE document_type = 'invoice' AND status_norm <> 'cancel' AND amount > 0"""
 STEPS["by_currency"] = """SELECT company_id, cut_month AS month, currency, count(*) AS n, sum(amount) AS original, coalesce(sum(amount_eur) FILTER (v), 0) AS eur, count(*) FILTER (v AND currency <> 'EUR') AS n_reported, count(*) FILTER (NOT v) AS n_unvalued, coalesce(sum(amount) FILTER (NOT v), 0) AS unvalued_original, count(*) FILTER (NOT v AND amb) AS n_ambiguous

@@ -44,6 +44,20 @@ def test_pairs_are_those_of_the_whole_company(spark):
     assert {r.transaction_id for r in R.transfer_pairs(usable).collect()} <= {f"T{k:04}" for k in range(200)}
 
 
+def test_one_amount_repeated_takes_time_in_proportion():
+    import time
+
+    import pandas as pd
+
+    rng = random.Random(8)
+    for days, accounts in ((9000, 2), (1, 1), (1, 3)):
+        rows = [(f"T{k:05}", f"P{k // 2 % accounts}", k * days // 20_000, 50.0 if k % 2 else -50.0, rng.choice(["", "X"])) for k in range(20_000)]
+        frame = pd.DataFrame(rows, columns=["transaction_id", "product_id", "day", "eur", "counterparty_id"])
+        begin = time.perf_counter()
+        assert len(list(R._greedy(frame))) == 20_000
+        assert time.perf_counter() - begin < 10
+
+
 def test_resolution_prefers_pairs_to_words(spark):
     rows = [("a", "C", "P1", DAY, 10.0, "TRANSFERENCIA X", "transfer"), ("b", "C", "P2", DAY, -10.0, "TRASPASO", "transfer"), ("c", "C", "P1", DAY, -3.0, "x", "cash_withdrawal"), ("d", "C", "P1", DAY, -7.0, "transferéncia  y", None), ("e", "C", "P1", DAY, -8.0, "else", None)]
     frame = spark.createDataFrame([(*r, None, False, DAY) for r in rows], "transaction_id string, company_id string, product_id string, date_ok date, amount_eur double, description string, category_norm string, counterparty_id string, fx_ambiguous boolean, month date")
