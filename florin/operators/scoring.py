@@ -21,6 +21,7 @@ class ScoreParams:
     k: float = 4178.45
     alpha: float = 3.0
     beta: float = 0.25
+    beta_fx: float = 0.05
 
 
 def score_inputs(flows: DataFrame, debt: DataFrame, service: DataFrame, multiplier: DataFrame, arrears: DataFrame, balance: DataFrame) -> DataFrame:
@@ -56,13 +57,14 @@ def base_score(params: ScoreParams | dict[str, Column]) -> Column:
 
 
 def health_score(rows: DataFrame, params: ScoreParams = ScoreParams()) -> DataFrame:
-    """``score`` after arrears and debt multiplier; an unknown factor takes nothing off."""
+    """``score`` after arrears, debt multiplier and, if there is a column ``fx_index``, exchange rates; an unknown factor takes nothing off."""
+    by_fx = F.coalesce(1.0 - params.beta_fx * F.col("fx_index"), F.lit(1.0)) if "fx_index" in rows.columns else F.lit(1.0)
     rows = with_sums(rows).withColumn("before", base_score(params))
     by_arrears, by_debt = F.coalesce(1.0 - params.beta * F.col("arrears"), F.lit(1.0)), F.coalesce("multiplier", F.lit(1.0))
     reason = F.when(~F.col("any_activity"), "no_cash_activity").when((F.col("c6") == 0) & (F.col("t6") == 0), "no_flows_in_window").when(F.col("before").isNull(), "no_demonstrated_payments")
     missing = sum((c.cast("int") for c in (F.col("n_window") < WINDOW_MONTHS, F.col("arrears").isNull(), F.col("balance").isNull())), F.lit(0))
     return rows.withColumns({
-        "score": F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("before") * by_arrears * by_debt)), "unscored_reason": reason,
+        "score": F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("before") * by_arrears * by_debt * by_fx)), "unscored_reason": reason,
         "confidence": F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "none"))), F.least(F.lit(4), missing + 1)),
     })
 
