@@ -104,3 +104,41 @@ def nested_profiles(points: DataFrame, key: str, order: str) -> DataFrame:
     rest = [c for c in points.columns if c != key]
     listed = F.sort_array(F.collect_list(F.struct(order, *(c for c in rest if c != order))))
     return points.groupBy(key).agg(F.count("*").alias("n_points"), F.to_json(listed).alias("points"))
+
+
+# Texts that stand for nothing.
+NULL_TEXTS = ("", "null", "none", "na", "n/a")
+CORRUPT = "_corrupt_record"
+
+
+def csv_profile(spark: SparkSession, path: str, columns: Sequence[str], separator: str = ",") -> DataFrame:
+    """Per column of a CSV file without header the type that its values have, with the file's rows and malformed rows; one pass.
+
+    A row with more or fewer fields than columns is malformed; the fields that it has count. Types are null, integer, number, string, or mixed where several occur.
+    """
+    schema = ", ".join(f"`{c}` string" for c in [*columns, CORRUPT])
+    rows = spark.read.csv(path, schema=schema, sep=separator, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, emptyValue="", enforceSchema=True)
+
+    def kind(c: str) -> Column:
+        text = F.trim(F.col(c))
+        nothing = text.isNull() | F.lower(text).isin(*NULL_TEXTS)
+        return F.when(nothing, None).when(text.rlike(r"^[+-]?[0-9]+$"), "integer").when(text.try_cast("double").isNotNull(), "number").otherwise("string")
+
+    seen = rows.agg(F.count("*").alias("n_rows"), F.count(CORRUPT).alias("n_malformed"), *(F.collect_set(kind(c)).alias(c) for c in columns))
+    each = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("kinds")) for c in columns))
+    found = seen.select("n_rows", "n_malformed", F.explode(each).alias("_one")).select("_one.*", "n_rows", "n_malformed")
+    only = F.when(F.size("kinds") == 0, "null").when(F.size("kinds") == 1, F.col("kinds")[0]).otherwise("mixed")
+    return found.select("column", only.alias("inferred_type"), "n_rows", "n_malformed")
+
+
+def monthly_observations(rows: DataFrame, lag_days: int) -> DataFrame:
+    """Rates per currency, month and kind from text observations with periods like ``2026-M08``; what cannot be read falls.
+
+    Observations that repeat one another are one; those that contradict are marked and have no rate. A rate is available some days after its month's end.
+    """
+    parts = F.regexp_extract("period", r"^([0-9]{4})-M(0[1-9]|1[0-2])$", 1), F.regexp_extract("period", r"^([0-9]{4})-M(0[1-9]|1[0-2])$", 2)
+    month = F.when(parts[0] != "", F.make_date(parts[0].try_cast("int"), parts[1].try_cast("int"), F.lit(1)))
+    read = rows.select("currency", month.alias("month"), "kind", F.col("value").try_cast("double").alias("value")).where("month IS NOT NULL AND value > 0")
+    found = read.groupBy("currency", "month", "kind").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    contradicts = F.col("low") != F.col("high")
+    return found.select("currency", "month", "kind", "n", F.when(~contradicts, F.col("low")).alias("rate"), contradicts.alias("is_contradiction"), F.date_add(F.last_day("month"), lag_days).alias("available_on"))

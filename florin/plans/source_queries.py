@@ -134,3 +134,44 @@ def t05_rule_sensitivity(t: Treasury) -> DataFrame:
 
 
 query()(t05_rule_sensitivity)
+
+
+_PROFILED = ["id", "amount", "stamp", "code", "blank"]
+STEPS["csv_lines"] = """SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE CAST(CAST(o_orderkey % 1000 / 4.0 AS DECIMAL(12, 2)) AS VARCHAR) END AS amount, strftime(o_orderdate, '%Y-%m-%d') AS stamp, CASE WHEN o_orderkey % 3 = 0 THEN 'A' || (o_orderkey % 5) ELSE CAST(o_orderkey % 9 AS VARCHAR) END AS code FROM orders"""
+
+
+def _csv_lines(t: Treasury) -> DataFrame:
+    """Orders as lines of text: every 37th lacks its last two fields, and every 41st has one too many."""
+    key = F.col("o_orderkey")
+    amount = F.when(key % 7 == 0, "").otherwise((key % 1000 / 4.0).cast("decimal(12,2)").cast("string"))
+    code = F.when(key % 3 == 0, F.concat(F.lit("A"), (key % 5).cast("string"))).otherwise((key % 9).cast("string"))
+    fields = [key.cast("string"), amount, F.date_format("o_orderdate", "yyyy-MM-dd"), code, F.lit("")]
+    line = F.when(key % 37 == 0, F.concat_ws(",", *fields[:3])).when(key % 41 == 0, F.concat_ws(",", *fields, F.lit("more"))).otherwise(F.concat_ws(",", *fields))
+    return t.raw("orders").select(line.alias("value"))
+
+
+@query("""SELECT "column", inferred_type, (SELECT count(*) FROM csv_lines) AS n_rows, (SELECT count(*) FROM csv_lines WHERE k % 37 = 0 OR k % 41 = 0) AS n_malformed FROM (VALUES ('id', 'integer'), ('amount', 'number'), ('stamp', 'string'), ('code', CASE WHEN (SELECT count(DISTINCT left(code, 1) = 'A') FROM csv_lines WHERE k % 37 <> 0) = 2 THEN 'mixed' ELSE 'integer' END), ('blank', 'null')) x("column", inferred_type)""")
+def s10_csv_profile(t: Treasury) -> DataFrame:
+    path = shared_path(t.spark, "orders-lines")
+    _csv_lines(t).write.text(path)
+    return I.csv_profile(t.spark, path, _PROFILED)
+
+
+STEPS["observed"] = """SELECT currency, month, kind, rate + CASE WHEN copy = 1 AND n % 7 = 3 THEN 0.5 ELSE 0 END AS value FROM (SELECT currency, CAST(date_trunc('month', day) AS DATE) AS month, round(arg_max(rate, day), 6) AS last, round(avg(rate), 6) AS mean, date_diff('month', DATE '1995-01-01', date_trunc('month', min(day))) AS n FROM fx_daily GROUP BY currency, date_trunc('month', day))
+    CROSS JOIN LATERAL (SELECT unnest(['end', 'average']) AS kind, unnest([last, mean]) AS rate) CROSS JOIN (VALUES (0), (1)) c(copy) WHERE copy = 0 OR n % 7 IN (2, 3)"""
+
+
+@query("""SELECT currency, month, kind, count(*) AS n, CASE WHEN min(value) = max(value) THEN round(min(value), 6) END AS rate, min(value) <> max(value) AS is_contradiction, last_day(month) + 45 AS available_on FROM observed GROUP BY currency, month, kind""")
+def s09_monthly_rates(t: Treasury) -> DataFrame:
+    """From a CSV file: some months stand in it twice, some with two values, and some lines name no month."""
+    months = t.fx_daily.groupBy("currency", F.trunc("day", "MM").alias("month")).agg(F.round(F.max_by("rate", "day"), 6).alias("end"), F.round(F.avg("rate"), 6).alias("average"))
+    n = F.months_between("month", F.lit("1995-01-01").cast("date")).cast("int")
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("rate")) for k in ("end", "average"))))
+    copies = F.explode(F.when((n % 7).isin(2, 3), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    rows = months.select("currency", "month", n.alias("n"), kinds.alias("x")).select("currency", "month", "n", "x.*").withColumn("copy", copies)
+    value = F.col("rate") + F.when((F.col("copy") == 1) & (F.col("n") % 7 == 3), 0.5).otherwise(0.0)
+    lines = rows.select("currency", F.date_format("month", "yyyy-'M'MM").alias("period"), "kind", value.cast("string").alias("value"))
+    bad = rows.where("copy = 0").select("currency", F.date_format("month", "yyyy-MM").alias("period"), "kind", F.lit("1.5").alias("value"))
+    path = shared_path(t.spark, "monthly-rates")
+    lines.union(bad).write.csv(path, header=True, quoteAll=True, escape='"')
+    return I.monthly_observations(I.csv_scan(t.spark, path, ["currency", "period", "kind", "value"]), 45).withColumn("rate", F.round("rate", 6))
