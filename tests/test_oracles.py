@@ -5,7 +5,7 @@ import math
 
 import pytest
 
-from florin.plans import arrears_queries, audit_queries, backtest_queries, cash_queries, census_queries, coverage_queries, episode_queries, fx_risk_queries, ledger_queries, score_queries, signal_queries, source_queries  # noqa: F401  they register their queries
+from florin.plans import arrears_queries, audit_queries, backtest_queries, cash_queries, census_queries, coverage_queries, episode_queries, feature_queries, fx_risk_queries, ledger_queries, score_queries, signal_queries, source_queries  # noqa: F401  they register their queries
 from florin.plans import queries as Q
 
 SMALL = "/root/testdata/sf0.001"
