@@ -13,7 +13,8 @@ text, in one pass without a shuffle; the weights are a few thousand numbers.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for all
 texts when there is nothing to learn from; null languages are not learned; repeated rows
-are predicted each; other columns are not read.
+are predicted each; a null doc_id keeps its row and is one id when the sample is drawn; of languages with equal scores the first in alphabetical order counts;
+very long texts are read whole, segment by segment; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
