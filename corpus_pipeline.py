@@ -11,7 +11,7 @@ Every stage takes ``(spark, docs, sf_dir)`` and works on what its predecessor ke
 5. packing: what is left becomes pieces of packed sequences.
 
 All but the last return the columns of their input, whatever their names. Null texts fall at the first stage, which counts them as
-empty; an empty table goes through empty. Some stages have no SQL form, so there is no ORACLE_SQL; the tests hold each stage against a brute-force version.
+empty; very long texts go through whole; an empty table goes through empty. Some stages have no SQL form, so there is no ORACLE_SQL; the tests hold each stage against a brute-force version.
 """
 
 from __future__ import annotations
