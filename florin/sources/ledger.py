@@ -30,7 +30,7 @@ RECORDS = {
     # two versions of some; the balance of a renegotiated one goes on under another identity
     "obligations": """SELECT operation_id AS obligation_id, v AS version, company_id, CASE k % 5 WHEN 0 THEN 'ar' WHEN 1 THEN 'financial_principal' WHEN 2 THEN 'financial_interest' WHEN 3 THEN 'other_payable' ELSE 'operating_ap' END AS kind, currency, face, CASE WHEN k % 71 <> 0 THEN due_date END AS due_on,
         issued + CAST(v * 30 AS INT) AS effective_from, k % 67 <> 0 AS role_verified FROM obligation_keys CROSS JOIN (VALUES (0), (1)) AS n(v) WHERE v = 0 OR k % 9 = 0
-        UNION ALL SELECT concat(operation_id, '_R'), 0, company_id, CASE k % 5 WHEN 0 THEN 'ar' WHEN 1 THEN 'financial_principal' WHEN 2 THEN 'financial_interest' WHEN 3 THEN 'other_payable' ELSE 'operating_ap' END, currency, CAST(face / 2 AS DECIMAL(18, 2)), due_date + 120, issued + 25, k % 67 <> 0 FROM obligation_keys WHERE k % 61 = 0""",
+        UNION ALL SELECT concat(operation_id, '_R'), 0, company_id, CASE k % 5 WHEN 0 THEN 'ar' WHEN 1 THEN 'financial_principal' WHEN 2 THEN 'financial_interest' WHEN 3 THEN 'other_payable' ELSE 'operating_ap' END, currency, CAST(face * 0.5 AS DECIMAL(18, 2)), due_date + 120, issued + 25, k % 67 <> 0 FROM obligation_keys WHERE k % 61 = 0""",
     # up to two payments each; some in excess, some without a stated allocation, some recorded twice, the same or with other amounts
     "settlements": """SELECT concat(operation_id, '_', CAST(p AS STRING)) AS allocation_id, operation_id AS obligation_id, issued + CAST(CASE p WHEN 0 THEN 40 + k % 50 ELSE 95 + k % 90 END AS INT) AS paid_on, CAST(face * CASE WHEN k % 83 = 0 AND p = 1 THEN 0.9 WHEN p = 0 THEN 0.4 ELSE 0.55 + (k % 3) * 0.025 END + CASE WHEN copy = 1 AND k % 31 = 0 THEN 1 ELSE 0 END AS DECIMAL(18, 2)) AS amount,
         CASE WHEN k % 73 = 0 THEN 'oldest_due_assumed' ELSE 'explicit' END AS policy FROM obligation_keys CROSS JOIN (VALUES (0), (1)) AS n(p) CROSS JOIN (VALUES (0), (1)) AS c(copy) WHERE k % 61 <> 0 AND k % 6 > p AND (copy = 0 OR k % 29 = 0 OR k % 31 = 0)""",
