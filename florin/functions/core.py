@@ -75,7 +75,9 @@ def value_positions(rows: DataFrame, keys: Sequence[str], value: str, width: flo
     whole = Window.partitionBy(*keys, F.lit(0)) if keys else Window.partitionBy(F.lit(0))
     bands = bands.withColumns({"_before": F.sum("_n").over(whole.orderBy("_band")) - F.col("_n"), "total": F.sum("_n").over(whole)}).drop("_n")
     inside = Window.partitionBy(*keys, "_band").orderBy(value)
-    return counted.withColumn("_local", F.sum("n").over(inside) - F.col("n")).join(bands, [*keys, "_band"]).select(*keys, value, "n", (F.col("_before") + F.col("_local")).alias("start"), "total")
+    bands = bands.select(*(F.col(k).alias(f"_of_{k}") for k in [*keys, "_band"]), "_before", "total")
+    same = [F.col(k) == F.col(f"_of_{k}") for k in [*keys, "_band"]]
+    return counted.withColumn("_local", F.sum("n").over(inside) - F.col("n")).join(bands, same).select(*keys, value, "n", (F.col("_before") + F.col("_local")).alias("start"), "total")
 
 
 def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float], width: float) -> DataFrame:

@@ -66,8 +66,7 @@ def severity(rows: DataFrame, first: str, last: str) -> DataFrame:
     return out.withColumn("severity", F.when(F.col("exposure") > 0, F.col("weighted") / F.col("exposure")))
 
 
-def arrears_index(severities: DataFrame) -> DataFrame:
-    """Severity drawn to the company's own earlier one, smoothed over observed months, and both sides combined; one side alone stands for both."""
+def _with_robust(severities: DataFrame) -> DataFrame:
     order = Window.partitionBy("company_id", "side").orderBy("month")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     seen = F.col("severity").isNotNull()
@@ -76,10 +75,39 @@ def arrears_index(severities: DataFrame) -> DataFrame:
     rows = severities.withColumn("drawn", known_if(seen, drawn))
     values = F.collect_list("drawn").over(order.rowsBetween(Window.unboundedPreceding, 0))
     smooth = F.aggregate(values, F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x).otherwise(SMOOTHING * x + (1 - SMOOTHING) * acc))
-    rows = rows.withColumn("robust", known_if(F.col("drawn").isNotNull(), smooth))
+    return rows.withColumn("robust", known_if(F.col("drawn").isNotNull(), smooth))
+
+
+def _both_sides() -> Column:
+    return F.coalesce(SIDE_WEIGHTS["ap"] * F.col("ap") + SIDE_WEIGHTS["ar"] * F.col("ar"), F.col("ap"), F.col("ar"))
+
+
+def arrears_index(severities: DataFrame) -> DataFrame:
+    """Severity drawn to the company's own earlier one, smoothed over observed months, and both sides combined; one side alone stands for both."""
     side = lambda s: F.max(F.when(F.col("side") == s, F.col("robust")))
-    both = rows.groupBy("company_id", "month").agg(side("ap").alias("ap"), side("ar").alias("ar"))
-    return both.withColumn("arrears", F.coalesce(SIDE_WEIGHTS["ap"] * F.col("ap") + SIDE_WEIGHTS["ar"] * F.col("ar"), F.col("ap"), F.col("ar")))
+    both = _with_robust(severities).groupBy("company_id", "month").agg(side("ap").alias("ap"), side("ar").alias("ar"))
+    return both.withColumn("arrears", _both_sides())
+
+
+def arrears_panel(rows: DataFrame, first: str, last: str) -> DataFrame:
+    """``(company_id, month, ap, ar, arrears, overdue_ar, n_overdue, overdue_eur, bucket_0 to bucket_4)`` wherever something was due: arrears_index and overdue_obligation in one.
+
+    Invoices are dealt by company once. Each then makes the months from the one in which it falls due, and all that follows groups within a company, so months are never shuffled.
+    """
+    begin, end = _first_month(F.col("due"), first), F.lit(last).cast("date")
+    due = rows.where(F.col("due") <= F.last_day(end)).repartition("company_id").withColumn("month", F.explode(F.sequence(begin, end, F.expr("INTERVAL 1 MONTH"))))
+    due = due.withColumns({"days": F.datediff(F.last_day("month"), "due"), "late": F.col("paid").isNull() | (month_start(F.col("paid")) > F.col("month"))})
+    weight = F.element_at(F.array(*map(F.lit, SEVERITY_WEIGHTS)), _bucket(F.col("days"), 180) + 1)
+    when_late = lambda value, c=F.lit(True): F.sum(F.when(F.col("late") & c, value))
+    zero, eur = F.lit(0.0), F.col("eur")
+    sums = due.groupBy("company_id", "side", "month").agg(
+        F.coalesce(F.sum("eur"), zero).alias("exposure"), F.coalesce(when_late(weight * eur), zero).alias("weighted"), F.count_if("late").alias("n_overdue"), when_late(eur).alias("overdue_eur"),
+        *(F.coalesce(when_late(eur, _bucket(F.col("days"), 179) == k), zero).alias(f"bucket_{k}") for k in range(5)),
+    )
+    robust = _with_robust(sums.withColumn("severity", F.when(F.col("exposure") > 0, F.col("weighted") / F.col("exposure"))))
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))  # noqa: E731  one row a side
+    both = robust.groupBy("company_id", "month").agg(of("ap", "robust").alias("ap"), of("ar", "robust").alias("ar"), of("ar", "overdue_eur").alias("overdue_ar"), of("ap", "n_overdue").alias("n_overdue"), of("ap", "overdue_eur").alias("overdue_eur"), *(of("ap", f"bucket_{k}").alias(f"bucket_{k}") for k in range(5)))
+    return both.withColumn("arrears", _both_sides())
 
 
 def overdue_obligation(rows: DataFrame, first: str, last: str) -> DataFrame:
@@ -89,29 +117,40 @@ def overdue_obligation(rows: DataFrame, first: str, last: str) -> DataFrame:
     return late.groupBy("company_id", "month").agg(F.count("*").alias("n_overdue"), F.count_if(F.col("eur").isNull()).alias("n_unknown"), F.sum("eur").alias("overdue_eur"), *amounts)
 
 
-def expected_service(debt: DataFrame) -> DataFrame:
-    """Debt service to expect: the median of the earlier positive months, if there are three; and what is missing of it."""
+def with_expected_service(rows: DataFrame) -> DataFrame:
+    """``expected`` and ``shortfall`` beside ``service_eur``."""
     before = Window.partitionBy("company_id").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
     positive = F.when(F.col("service_eur") > 0, F.col("service_eur"))
-    rows = debt.select("company_id", "month", "service_eur", F.percentile(positive, F.lit(0.5)).over(before).alias("median"), F.count(positive).over(before).alias("n"))
-    rows = rows.withColumn("expected", known_if(F.col("n") >= LEAST_SERVICE_MONTHS, F.col("median")))
-    return rows.select("company_id", "month", "service_eur", "expected", F.when(F.col("expected").isNotNull() & F.col("service_eur").isNotNull(), F.greatest(F.lit(0.0), F.col("expected") - F.col("service_eur"))).alias("shortfall"))
+    rows = rows.withColumns({"_median": F.percentile(positive, F.lit(0.5)).over(before), "_n": F.count(positive).over(before)})
+    rows = rows.withColumn("expected", known_if(F.col("_n") >= LEAST_SERVICE_MONTHS, F.col("_median"))).drop("_median", "_n")
+    return rows.withColumn("shortfall", F.when(F.col("expected").isNotNull() & F.col("service_eur").isNotNull(), F.greatest(F.lit(0.0), F.col("expected") - F.col("service_eur"))))
 
 
-def obligation_multiplier(obligation: DataFrame, flows: DataFrame, service: DataFrame) -> DataFrame:
-    """max(0.5, 1 - severity / T6) where T6 is what the company paid in six months, known parts only."""
+def expected_service(debt: DataFrame) -> DataFrame:
+    """Debt service to expect: the median of the earlier positive months, if there are three; and what is missing of it."""
+    return with_expected_service(debt.select("company_id", "month", "service_eur"))
+
+
+def with_multiplier(rows: DataFrame) -> DataFrame:
+    """``multiplier`` and T6 of rows that have payments, expected service and overdue payables."""
     window = Window.partitionBy("company_id").orderBy("month").rowsBetween(1 - NORMAL_MONTHS, 0)
-    paid = flows.select("company_id", "month", "payments_eur").join(service, ["company_id", "month"])
     known = F.col("payments_eur").isNotNull() | F.col("service_eur").isNotNull()
-    paid = paid.withColumns({"paid6": F.sum(F.coalesce("payments_eur", F.lit(0.0)) + F.coalesce("service_eur", F.lit(0.0))).over(window), "known6": F.count_if(known).over(window)})
+    rows = rows.withColumns({"paid6": F.sum(F.coalesce("payments_eur", F.lit(0.0)) + F.coalesce("service_eur", F.lit(0.0))).over(window), "known6": F.count_if(known).over(window)})
     t6 = F.when((F.col("known6") > 0) & (F.col("paid6") > 0), F.col("paid6")).when(F.col("expected") > 0, F.col("expected") * NORMAL_MONTHS).when(F.col("known6") > 0, 0.0)
-    rows = paid.join(obligation, ["company_id", "month"], "left").withColumns({"n_overdue": F.coalesce("n_overdue", F.lit(0)), "t6": t6})
+    rows = rows.withColumns({"n_overdue": F.coalesce("n_overdue", F.lit(0)), "t6": t6})
     weighted = sum((w * F.col(f"bucket_{k}") for k, w in enumerate(OBLIGATION_WEIGHTS)), F.lit(0.0))
     multiplier = (
         F.when((F.col("n_overdue") == 0) | (F.col("overdue_eur") == 0), 1.0).when(F.col("overdue_eur").isNull() | F.col("t6").isNull(), F.lit(None)).when(weighted <= 0, 1.0)
         .when(F.col("t6") <= 0, LEAST_MULTIPLIER).otherwise(F.greatest(F.lit(LEAST_MULTIPLIER), 1.0 - weighted / F.nullif("t6", F.lit(0.0))))
     )
-    return rows.select("company_id", "month", "n_overdue", "overdue_eur", "t6", "expected", "shortfall", multiplier.alias("multiplier"))
+    return rows.withColumn("multiplier", multiplier)
+
+
+def obligation_multiplier(obligation: DataFrame, flows: DataFrame, service: DataFrame) -> DataFrame:
+    """max(0.5, 1 - severity / T6) where T6 is what the company paid in six months, known parts only."""
+    paid = flows.select("company_id", "month", "payments_eur").join(service, ["company_id", "month"])
+    rows = with_multiplier(paid.join(obligation, ["company_id", "month"], "left"))
+    return rows.select("company_id", "month", "n_overdue", "overdue_eur", "t6", "expected", "shortfall", "multiplier")
 
 
 def live_invoices(rows: DataFrame, issued: str, first: str, last: str) -> DataFrame:

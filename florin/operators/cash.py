@@ -17,6 +17,12 @@ COVER_MONTHS = 6
 COVER_DAYS = 180
 
 
+def anchored_sums() -> list[Column]:
+    """Known flow, its volume and volume of holes of the anchored accounts, among booked movements of closed months."""
+    eur, inside = F.col("amount_eur"), (F.col("product_source") == "banking") & F.col("product_type").isin(*ANCHORED)
+    return [sum_where(eur, inside).alias("net"), sum_where(F.abs(eur), inside).alias("known_volume"), sum_where(F.abs("amount"), inside & eur.isNull()).alias("hole_volume")]
+
+
 def cash_flows(tx: DataFrame, by: str, products: tuple[str, ...] = CASH) -> DataFrame:
     """Known flow, inflow, outflow, known volume and volume of holes per company and ``by`` ('month' or 'date_ok').
 
@@ -63,14 +69,18 @@ def anchors(balances: DataFrame) -> DataFrame:
     return total.select("company_id", known_if(F.col("unknown") == 0, F.col("known")).alias("anchor"))
 
 
-def _backward(rows: DataFrame, key: str, mean_out: Column) -> DataFrame:
+def with_balance(rows: DataFrame, key: str) -> DataFrame:
     """Balance as the anchor less all later flows; null without an anchor or across a hole."""
-    order = Window.partitionBy("company_id").orderBy(key)
     # from the last day backward, so that the sums run on; a frame from the next row to the end would be summed anew for every row
     later = Window.partitionBy("company_id").orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, -1)
     after = lambda c: F.coalesce(F.sum(c).over(later), F.lit(0.0))
-    rows = rows.withColumns({"later_net": after("net"), "later_holes": after("hole_volume"), "later_known": after("known_volume"), "mean_out": mean_out})
-    rows = rows.withColumn("balance", known_if(F.col("later_holes") == 0, F.col("anchor") - F.col("later_net")))
+    rows = rows.withColumns({"later_net": after("net"), "later_holes": after("hole_volume"), "later_known": after("known_volume")})
+    return rows.withColumn("balance", known_if(F.col("later_holes") == 0, F.col("anchor") - F.col("later_net")))
+
+
+def _backward(rows: DataFrame, key: str, mean_out: Column) -> DataFrame:
+    order = Window.partitionBy("company_id").orderBy(key)
+    rows = with_balance(rows.withColumn("mean_out", mean_out), key)
     rows = rows.withColumn("lowest", F.when(F.col("balance").isNotNull(), F.min("balance").over(order.rowsBetween(Window.unboundedPreceding, 0))))
     cushion = F.col("balance") - F.col("lowest")
     part = F.when(F.col("later_known") + F.col("later_holes") > 0, F.col("later_holes") / (F.col("later_known") + F.col("later_holes"))).otherwise(0.0)

@@ -28,18 +28,14 @@ def cash_perimeter(classified: DataFrame, first: str, last: str) -> DataFrame:
     })
 
 
-def flow_panel(grid: DataFrame, perimeter: DataFrame) -> DataFrame:
-    """Known subtotals per company and month, exact totals where complete, and bounds of the operating flow.
-
-    One grouped pass over the movements; the grid joins its few rows per company.
-    """
+def _flow_sums() -> list[Column]:
     eur, size, kind = F.col("amount_eur"), F.abs("amount_eur"), F.col("flow_class")
     cash, ambiguous, direction = F.col("is_cash"), F.col("is_ambiguous"), F.col("direction")
     operating, plain = kind.isin("operating_in", "operating_out"), ~F.coalesce(F.col("is_outlier"), F.lit(False))
     into, out = ambiguous & (direction == "in"), ambiguous & (direction == "out")
     count = lambda c: F.count_if(cash & F.coalesce(c, F.lit(False)))
     total = lambda v, c=F.lit(True): sum_where(v, cash & c)
-    months = perimeter.groupBy("company_id", "month").agg(
+    return [
         F.count("*").alias("n_tx"), F.count_if(cash).alias("n_cash"), F.count_if(F.col("product_source") == "debt").alias("n_debt_product"), F.count_if(F.col("product_source") == "orphan").alias("n_orphans"),
         F.count_distinct(F.when(cash, F.col("product_id"))).alias("n_accounts"),
         count(eur.isNull()).alias("n_without_eur"), count(ambiguous).alias("n_ambiguous"), count(ambiguous & ((direction == "in") | direction.isNull())).alias("n_ambiguous_in"), count(ambiguous & ((direction == "out") | direction.isNull())).alias("n_ambiguous_out"),
@@ -49,10 +45,18 @@ def flow_panel(grid: DataFrame, perimeter: DataFrame) -> DataFrame:
         total(size, kind == "financing_in").alias("financing_in_known"), total(size, kind == "financing_out").alias("financing_out_known"), total(size, kind == "investment_in").alias("investment_in_known"), total(size, kind == "investment_out").alias("investment_out_known"),
         total(size, into).alias("ambiguous_in_known"), total(size, out).alias("ambiguous_out_known"),
         total(eur, operating & plain).alias("operating_plain"), total(size, into & plain).alias("ambiguous_in_plain"), total(size, out & plain).alias("ambiguous_out_plain"),
-    )
-    amounts = [c for c in months.columns if c not in ("company_id", "month") and not c.startswith("n_")]
-    counts = [c for c in months.columns if c.startswith("n_")]
-    panel = grid.join(months, ["company_id", "month"], "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in counts})
+    ]
+
+
+def _by_month(grid: DataFrame, rows: DataFrame, sums: list[Column]) -> DataFrame:
+    # the size of a generated grid is unknown to the optimizer, which would take it for small enough to broadcast
+    return grid.join(rows.groupBy("company_id", "month").agg(*sums).hint("merge"), ["company_id", "month"], "left")
+
+
+def _with_flows(panel: DataFrame, months: list[str]) -> DataFrame:
+    amounts = [c for c in months if not c.startswith("n_")]
+    counts = [c for c in months if c.startswith("n_")]
+    panel = panel.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in counts})
     panel = panel.withColumn("has_cash_activity", F.col("n_cash") > 0).withColumns({c: known_if(F.col("has_cash_activity"), F.col(c)) for c in amounts})
     by_company = Window.partitionBy("company_id")
     so_far = by_company.orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
@@ -76,24 +80,34 @@ def flow_panel(grid: DataFrame, perimeter: DataFrame) -> DataFrame:
     return panel.withColumns({"months_observed": observed, "is_warm_up": observed < 3, "operating_eur": F.col("receipts_eur") - F.col("payments_eur")})
 
 
-def debt_panel(flows: DataFrame, perimeter: DataFrame) -> DataFrame:
-    """Debt service paid from cash accounts: principal, interest, refunds; the debt accounts' own ledger apart."""
+def flow_panel(grid: DataFrame, perimeter: DataFrame) -> DataFrame:
+    """Known subtotals per company and month, exact totals where complete, and bounds of the operating flow.
+
+    One grouped pass over the movements; the grid joins its few rows per company.
+    """
+    panel = _by_month(grid, perimeter, _flow_sums())
+    return _with_flows(panel, [c for c in panel.columns if c not in grid.columns])
+
+
+def _debt_sums() -> list[Column]:
     eur, size, kind, rule = F.col("amount_eur"), F.abs("amount_eur"), F.col("flow_class"), F.col("rule_id")
     service = rule.isin(*PRINCIPAL_RULES, *INTEREST_RULES)
     paid, back = (kind == "financing_out") & F.col("is_cash"), (kind == "financing_in") & F.col("is_cash")
     own = F.col("product_source") == "debt"
-    months = perimeter.where(F.col("is_cash") | own).groupBy("company_id", "month").agg(
+    return [
         sum_where(size, paid & rule.isin(*PRINCIPAL_RULES)).alias("principal_known"), sum_where(size, paid & rule.isin(*INTEREST_RULES)).alias("interest_known"),
         sum_where(size, paid & ~service).alias("other_financing_known"), sum_where(eur, back & service).alias("refunds_known"),
         F.count_if(paid & service).alias("n_service"), F.count_if(paid & service & eur.isNull()).alias("n_service_without_eur"), F.count_if(paid & ~service).alias("n_other_financing"),
         F.count_if(back & service & eur.isNull()).alias("n_refunds_without_eur"), F.count_if(back & ~service).alias("n_other_inflows"),
         F.count_if(own).alias("n_ledger"), F.when(F.count_if(own) > 0, sum_where(eur, own)).alias("ledger_net_known"), F.count_if(own & eur.isNull()).alias("n_ledger_without_eur"),
-    )
+    ]
+
+
+def _with_debt(panel: DataFrame, months: list[str]) -> DataFrame:
     active = F.col("has_cash_activity")
-    keep = flows.select("company_id", "group_id", "month", "available_at", "has_cash_activity", "n_ambiguous_in", "n_ambiguous_out")
-    panel = keep.join(months, ["company_id", "month"], "left").withColumns({c: known_if(active, F.col(c)) for c in ("principal_known", "interest_known", "other_financing_known", "refunds_known")})
+    panel = panel.withColumns({c: known_if(active, F.col(c)) for c in ("principal_known", "interest_known", "other_financing_known", "refunds_known")})
     known = F.col("principal_known") + F.col("interest_known")
-    panel = panel.withColumns({c: F.coalesce(c, F.lit(0)) for c in months.columns if c.startswith("n_")}).withColumns({
+    panel = panel.withColumns({c: F.coalesce(c, F.lit(0)) for c in months if c.startswith("n_")}).withColumns({
         "service_known": known,
         "service_eur": known_if(active & (F.col("n_service_without_eur") == 0) & (F.col("n_other_financing") == 0) & (F.col("n_ambiguous_out") == 0), known),
         "refunds_eur": known_if(active & (F.col("n_refunds_without_eur") == 0) & (F.col("n_other_inflows") == 0) & (F.col("n_ambiguous_in") == 0), F.col("refunds_known")),
@@ -102,6 +116,21 @@ def debt_panel(flows: DataFrame, perimeter: DataFrame) -> DataFrame:
     return panel.withColumn("net_service_eur", F.col("service_eur") - F.col("refunds_eur"))
 
 
+def debt_panel(flows: DataFrame, perimeter: DataFrame) -> DataFrame:
+    """Debt service paid from cash accounts: principal, interest, refunds; the debt accounts' own ledger apart."""
+    keep = flows.select("company_id", "group_id", "month", "available_at", "has_cash_activity", "n_ambiguous_in", "n_ambiguous_out")
+    panel = _by_month(keep, perimeter.where(F.col("is_cash") | (F.col("product_source") == "debt")), _debt_sums())
+    return _with_debt(panel, [c for c in panel.columns if c not in keep.columns])
+
+
+def flow_and_debt_panel(grid: DataFrame, perimeter: DataFrame, *more: Column) -> DataFrame:
+    """The columns of both panels, and ``more`` sums, from one grouped pass over the movements, so that these need not be kept."""
+    flows, debt = _flow_sums(), _debt_sums()
+    panel = _by_month(grid, perimeter, [*flows, *debt, *more])
+    names = [c for c in panel.columns if c not in grid.columns]
+    return _with_debt(_with_flows(panel, names[: len(flows)]), names[len(flows) : len(flows) + len(debt)])
+
+
 def invoice_universe(invoices: DataFrame) -> DataFrame:
     """Invoices that count: no credit notes, no cancelled ones, issued on a known day; with side and certainty of their state."""
     status, pending = F.col("status_norm"), F.abs("pending_amount")

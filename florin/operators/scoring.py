@@ -8,12 +8,16 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from florin.functions.core import exact_quantiles, value_positions
+from florin.functions.core import exact_quantiles, month_index, value_positions
+from florin.operators.arrears import with_expected_service, with_multiplier
+from florin.operators.cash import with_balance
 
 # Fixed values of the score.
 WINDOW_MONTHS = 6
 #: Width of the bands in which scores and their differences, at most 100, are ranked.
 BAND = 0.01
+#: Baselines and the column that holds their prediction.
+BASELINES = {"persistence": "score", "mean3": "mean3", "median": "median"}
 
 
 @dataclass(frozen=True)
@@ -24,14 +28,18 @@ class ScoreParams:
     beta_fx: float = 0.05
 
 
-def score_inputs(flows: DataFrame, debt: DataFrame, service: DataFrame, multiplier: DataFrame, arrears: DataFrame, balance: DataFrame) -> DataFrame:
-    """One row per company and month of what the score reads; unknown stays null."""
+def score_inputs(panel: DataFrame, due: DataFrame, anchor: DataFrame) -> DataFrame:
+    """One row per company and month of what the score reads; unknown stays null.
+
+    ``panel`` has flows, debt and anchored sums of a month, ``due`` is the arrears panel, ``anchor`` the balance per company. Months meet by key first; then one shuffle by company serves all windows.
+    """
     key = ["company_id", "month"]
-    rows = flows.select(*key, "has_cash_activity", F.col("receipts_known").alias("c"), F.col("payments_known").alias("p"))
-    rows = rows.join(debt.select(*key, F.col("service_known").alias("d")), key).join(service.select(*key, "shortfall"), key)
+    rows = panel.select(*key, "has_cash_activity", "receipts_known", "payments_known", "service_known", "payments_eur", "service_eur", "net", "known_volume", "hole_volume")
+    rows = rows.join(due.drop("ap", "ar", "overdue_ar").hint("merge"), key, "left").join(anchor.hint("merge"), "company_id", "left")
+    rows = with_balance(rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("net", "known_volume", "hole_volume")}), "month")
+    rows = with_multiplier(with_expected_service(rows))
     stock = F.when(F.col("n_overdue") == 0, 0.0).otherwise(F.col("overdue_eur"))
-    rows = rows.join(multiplier.select(*key, stock.alias("stock"), "multiplier"), key)
-    return rows.join(arrears.select(*key, "arrears"), key, "left").join(balance.select(*key, "balance"), key, "left")
+    return rows.select(*key, "has_cash_activity", F.col("receipts_known").alias("c"), F.col("payments_known").alias("p"), F.col("service_known").alias("d"), "shortfall", stock.alias("stock"), "multiplier", "arrears", "balance")
 
 
 def with_sums(rows: DataFrame) -> DataFrame:
@@ -41,6 +49,11 @@ def with_sums(rows: DataFrame) -> DataFrame:
     total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0.0))
     rows = rows.withColumns({f"{c}6": total(c, six) for c in ("c", "p", "d", "shortfall")}).withColumns({f"{c}_ever": total(c, ever) for c in ("c", "p", "d", "shortfall")})
     rows = rows.withColumns({"any_activity": F.max("has_cash_activity").over(ever), "active6": F.sum(F.col("has_cash_activity").cast("int")).over(six), "n_window": F.count("*").over(six)})
+    return with_totals(rows)
+
+
+def with_totals(rows: DataFrame) -> DataFrame:
+    """T6, own history and cushion from the sums and the stock."""
     stock = F.coalesce("stock", F.lit(0.0))
     owed = F.col("p_ever") + F.col("d_ever") + F.col("shortfall_ever") + stock
     return rows.withColumns({"t6": F.col("p6") + F.col("d6") + F.col("shortfall6") + stock, "r_hist": F.when(F.col("c_ever") + owed > 0, F.col("c_ever") / F.nullif(F.col("c_ever") + owed, F.lit(0.0))), "cash": F.greatest(F.lit(0.0), F.coalesce("balance", F.lit(0.0)))})
@@ -74,8 +87,8 @@ def shapley(rows: DataFrame, params: ScoreParams = ScoreParams()) -> DataFrame:
 
     The score is evaluated under all eight combinations; rows without a score under any of them are left out.
     """
-    plain = with_sums(rows.withColumn("stock", F.lit(None).cast("double"))).select("company_id", "month", base_score(params).alias("_plain"))
-    scored = with_sums(rows).withColumn("_owing", base_score(params)).join(plain, ["company_id", "month"])
+    owing = with_sums(rows).withColumn("_owing", base_score(params))
+    scored = with_totals(owing.withColumn("stock", F.lit(None).cast("double"))).withColumn("_plain", base_score(params))
     factors = (F.coalesce(1.0 - params.beta * F.col("arrears"), F.lit(1.0)), F.coalesce("multiplier", F.lit(1.0)))
     names, out = ("obligation", "arrears", "debt"), {}
 
@@ -134,31 +147,40 @@ def cut_summary(scored: DataFrame, excluded: DataFrame) -> DataFrame:
     return rows.groupBy("month", state.alias("state"), "confidence").agg(F.count("*").alias("n"))
 
 
+def _later(h: int) -> Column:
+    """The score of the same company h months later, null if there is none."""
+    return F.max("score").over(Window.partitionBy("company_id").orderBy(month_index(F.col("month"))).rangeBetween(h, h))
+
+
+def _with_baselines(scored: DataFrame, horizons: tuple[int, ...] = ()) -> DataFrame:
+    """Scored months with their predictions and, per horizon, the actual score. Two windows of one company; the medians are a row a month."""
+    order = Window.partitionBy("company_id").orderBy("month")
+    seen = scored.where("score IS NOT NULL").select("company_id", "month", "score", F.avg("score").over(order.rowsBetween(-2, 0)).alias("mean3"), *(_later(h).alias(f"later_{h}") for h in horizons))
+    middle = exact_quantiles(scored.where("score IS NOT NULL"), ["month"], "score", (0.5,), BAND).select(F.col("month").alias("_month"), F.col("q")[0].alias("median"))
+    return seen.join(F.broadcast(middle), F.col("month") == F.col("_month")).drop("_month")
+
+
 def baseline_predictions(scored: DataFrame) -> DataFrame:
     """``(company_id, month, baseline, value)``: persistence, the mean of the last three scores there are, and the median of all companies at the origin."""
-    order = Window.partitionBy("company_id").orderBy("month")
-    seen = scored.where("score IS NOT NULL").select("company_id", "month", "score", F.avg("score").over(order.rowsBetween(-2, 0)).alias("mean3"))
-    middle = exact_quantiles(seen, ["month"], "score", (0.5,), BAND).select("month", F.col("q")[0].alias("median"))
-    named = F.array(*(F.struct(F.lit(n).alias("baseline"), F.col(c).alias("value")) for n, c in (("persistence", "score"), ("mean3", "mean3"), ("median", "median"))))
-    return seen.join(middle, "month").select("company_id", "month", F.explode(named).alias("f")).select("company_id", "month", "f.*")
+    named = F.array(*(F.struct(F.lit(n).alias("baseline"), F.col(c).alias("value")) for n, c in BASELINES.items()))
+    return _with_baselines(scored).select("company_id", "month", F.explode(named).alias("f")).select("company_id", "month", "f.*")
 
 
 def baseline_errors(scored: DataFrame, horizons: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Errors of the baselines per horizon in months: those of pairs with a score at both ends, and how many pairs have none at the target."""
-    origins = baseline_predictions(scored).withColumn("h", F.explode(F.array(*map(F.lit, horizons)))).withColumn("target_month", F.add_months("month", F.col("h")))
-    target = scored.where("score IS NOT NULL").select(F.col("company_id").alias("_c"), F.col("month").alias("_m"), F.col("score").alias("actual"))
-    pairs = origins.join(target, (F.col("company_id") == F.col("_c")) & (F.col("target_month") == F.col("_m")), "left").withColumn("error", F.col("value") - F.col("actual")).withColumn("size", F.abs("error"))
+    each = F.array(*(F.struct(F.lit(n).alias("baseline"), F.lit(h).alias("h"), F.col(c).alias("value"), F.col(f"later_{h}").alias("actual")) for n, c in BASELINES.items() for h in horizons))
+    pairs = _with_baselines(scored, horizons).select(F.explode(each).alias("f")).select("f.*").withColumn("error", F.col("value") - F.col("actual")).withColumn("size", F.abs("error"))
     sums = pairs.groupBy("baseline", "h").agg(F.count("actual").alias("n"), F.count_if(F.col("actual").isNull()).alias("n_without_target"), F.avg("size").alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.avg("error").alias("bias"))
-    rows = sums.join(exact_quantiles(pairs, ["baseline", "h"], "size", (0.5, 0.75, 0.9), BAND), ["baseline", "h"])
+    sizes = exact_quantiles(pairs, ["baseline", "h"], "size", (0.5, 0.75, 0.9), BAND).select(F.col("baseline").alias("_baseline"), F.col("h").alias("_h"), "q")
+    rows = sums.join(sizes, (F.col("baseline") == F.col("_baseline")) & (F.col("h") == F.col("_h")))
     return rows.select(*sums.columns, *(F.col("q")[k].alias(n) for k, n in enumerate(("p50", "p75", "p90"))))
 
 
 def autocorrelation(scored: DataFrame, horizons: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Pearson and Spearman correlation and the regression of the score on itself h months before; ranks average ties."""
-    seen = scored.where("score IS NOT NULL").select("company_id", "month", "score")
-    later = seen.select(F.col("company_id").alias("_c"), F.col("month").alias("_m"), F.col("score").alias("y"))
-    pairs = seen.withColumn("h", F.explode(F.array(*map(F.lit, horizons)))).withColumn("target_month", F.add_months("month", F.col("h"))).join(later, (F.col("company_id") == F.col("_c")) & (F.col("target_month") == F.col("_m")))
-    pairs = pairs.select("h", F.col("score").alias("x"), "y")
+    seen = scored.where("score IS NOT NULL").select("company_id", "month", "score", *(_later(h).alias(f"later_{h}") for h in horizons))
+    each = F.array(*(F.struct(F.lit(h).alias("h"), F.col("score").alias("x"), F.col(f"later_{h}").alias("y")) for h in horizons))
+    pairs = seen.select(F.explode(each).alias("f")).select("f.*").where("y IS NOT NULL")
     rank = (F.col("start") + (F.col("n") + 1) / 2)
     ranks = [value_positions(pairs, ["h"], c, BAND).select("h", c, rank.alias(f"r{c}")) for c in ("x", "y")]
     ranked = pairs.join(ranks[0], ["h", "x"]).join(ranks[1], ["h", "y"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from florin.operators import arrears as A
 from florin.operators import fx as X
 from florin.operators import marts as M
-from florin.plans.queries import STEPS, _inv, _kept_perimeter, money, query
+from florin.plans.queries import STEPS, _inv, _perimeter, money, query
 from florin.sources.treasury import FIRST_MONTH, LAST_MONTH, Treasury
 
 STEPS["payables"] = """SELECT company_id, CASE WHEN amount > 0 THEN 'ar' ELSE 'ap' END AS side, issuance_date AS issued, due_date AS due, CASE WHEN status_norm = 'paid' THEN payment_date END AS paid, CASE WHEN NOT (currency <> accounting_currency AND exchange_rate = 1) THEN abs(amount_eur) END AS eur
@@ -39,9 +39,8 @@ def _payables(t: Treasury) -> DataFrame:
 
 
 def _service(t: Treasury) -> tuple[DataFrame, DataFrame]:
-    perimeter = _kept_perimeter(t)
-    flows = M.flow_panel(M.company_months(t.companies, FIRST_MONTH, LAST_MONTH), perimeter).persist()
-    return flows, A.expected_service(M.debt_panel(flows, perimeter))
+    panel = M.flow_and_debt_panel(M.company_months(t.companies, FIRST_MONTH, LAST_MONTH), _perimeter(t)).select("company_id", "month", "payments_eur", "service_eur").persist()
+    return panel, A.expected_service(panel)
 
 
 @query("SELECT company_id, side, month, n_portfolio, n_holes, round(exposure, 2) AS exposure, round(overdue, 2) AS overdue, round(weighted, 4) AS weighted, round(severity, 6) AS severity FROM severities")

@@ -87,7 +87,7 @@ def b02_pair_census(t: Treasury) -> DataFrame:
 @query("""SELECT company_id, month, round(score, 4) AS score, CASE least(4, 1 + CASE WHEN nw < 6 THEN 1 ELSE 0 END + CASE WHEN arrears IS NULL THEN 1 ELSE 0 END + CASE WHEN balance IS NULL THEN 1 ELSE 0 END) WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'none' END AS confidence,
     CAST(date_diff('month', month, DATE '2001-07-01') AS INTEGER) AS age_months FROM scored WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY month DESC) = 1""")
 def k03_latest_assessment(t: Treasury) -> DataFrame:
-    return N.latest_assessment(score_queries._scored(t), LAST_MONTH).withColumn("score", F.round("score", 4))
+    return N.latest_assessment(H.health_score(score_queries._inputs(t)), LAST_MONTH).withColumn("score", F.round("score", 4))
 
 
 @query(" UNION ALL ".join(f"SELECT {n} AS horizon_days, count(*) AS n, count(*) FILTER (available_at_{n}d > DATE '{CUT}') AS n_too_early FROM cohorts WHERE conversion_{n}d IS NOT NULL AND available_at_{n}d <= DATE '{CUT}'" for n in (30, 60, 90)))

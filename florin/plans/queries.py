@@ -217,9 +217,8 @@ _DEBT = """SELECT f.company_id, f.month, act AS has_cash_activity, CAST(coalesce
 
 @query(_DEBT)
 def m04_debt_panel(t: Treasury) -> DataFrame:
-    perimeter = _kept_perimeter(t)
-    flows = M.flow_panel(M.company_months(t.companies, FIRST_MONTH, LAST_MONTH), perimeter)
-    return M.debt_panel(flows, perimeter).select("company_id", "month", "has_cash_activity", F.col("n_service").cast("long").alias("n_service"), *money("principal_known", "interest_known", "refunds_known", "service_eur", "ledger_net_known"))
+    panel = M.flow_and_debt_panel(M.company_months(t.companies, FIRST_MONTH, LAST_MONTH), _perimeter(t))
+    return panel.select("company_id", "month", "has_cash_activity", F.col("n_service").cast("long").alias("n_service"), *money("principal_known", "interest_known", "refunds_known", "service_eur", "ledger_net_known"))
 
 
 _AGES = ", ".join(f"round(sum(abs(eur)) FILTER (due < month_end AND days_overdue {c}), 2) AS ageing_{n}" for n, c in (("0_30", "<= 30"), ("31_60", "BETWEEN 31 AND 60"), ("61_90", "BETWEEN 61 AND 90"), ("91_180", "BETWEEN 91 AND 180"), ("181_360", "BETWEEN 181 AND 360"), ("over_360", "> 360")))

@@ -10,8 +10,8 @@ from florin.operators import cash as K
 from florin.operators import marts as M
 from florin.operators import scoring as H
 from florin.plans import arrears_queries, cash_queries
-from florin.plans.queries import STEPS, _kept_perimeter, query
-from florin.sources.treasury import ANCHOR_DAY, FIRST_MONTH, LAST_MONTH, Treasury
+from florin.plans.queries import STEPS, _perimeter, query
+from florin.sources.treasury import FIRST_MONTH, LAST_MONTH, Treasury
 
 STEPS["score_in"] = """SELECT f.company_id, f.month, f.act, CASE WHEN act THEN f.rec END AS c, CASE WHEN act THEN f.pay END AS p, CASE WHEN act THEN coalesce(d.service, 0) END AS d, CASE WHEN s.expected IS NOT NULL AND s.service_eur IS NOT NULL THEN greatest(0, s.expected - s.service_eur) END AS short,
     CASE WHEN coalesce(o.n_overdue, 0) = 0 THEN 0.0 ELSE o.overdue_eur END AS stock, CASE WHEN coalesce(o.n_overdue, 0) = 0 OR o.overdue_eur = 0 THEN 1.0 WHEN o.overdue_eur IS NULL OR n.t6 IS NULL THEN NULL WHEN o.weighted <= 0 THEN 1.0 WHEN n.t6 <= 0 THEN 0.5 ELSE greatest(0.5, 1.0 - o.weighted / n.t6) END AS multiplier,
@@ -25,17 +25,13 @@ STEPS["scored"] = f"""SELECT *, least(100, greatest(0, before * coalesce(1 - 0.2
 
 
 def _inputs(t: Treasury) -> DataFrame:
-    perimeter = _kept_perimeter(t)
-    flows = M.flow_panel(M.company_months(t.companies, FIRST_MONTH, LAST_MONTH), perimeter).persist()
-    debt = M.debt_panel(flows, perimeter)
-    service, payables = A.expected_service(debt), arrears_queries._payables(t)
-    multiplier = A.obligation_multiplier(A.overdue_obligation(payables, FIRST_MONTH, LAST_MONTH), flows, service)
-    balance = K.backward_balance(K.cash_flows(cash_queries._tx(t), "month", K.ANCHORED), cash_queries._anchor(t), t.companies, FIRST_MONTH, ANCHOR_DAY)
-    return H.score_inputs(flows, debt, service, multiplier, A.arrears_index(A.severity(payables, FIRST_MONTH, LAST_MONTH)), balance)
+    panel = M.flow_and_debt_panel(M.company_months(t.companies, FIRST_MONTH, LAST_MONTH), _perimeter(t), *K.anchored_sums())
+    return H.score_inputs(panel, A.arrears_panel(arrears_queries._payables(t), FIRST_MONTH, LAST_MONTH), cash_queries._anchor(t))
 
 
 def _scored(t: Treasury) -> DataFrame:
-    return H.health_score(_inputs(t)).persist()
+    """What the queries read of the score, kept for those that read it more than once."""
+    return H.health_score(_inputs(t)).select("company_id", "month", "before", "score", "unscored_reason", "confidence").persist()
 
 
 def rounded(*names: str, digits: int = 4):
@@ -45,7 +41,7 @@ def rounded(*names: str, digits: int = 4):
 @query("""SELECT company_id, month, round(before, 4) AS before, round(score, 4) AS score, CASE WHEN NOT any_act THEN 'no_cash_activity' WHEN c6 = 0 AND t6 = 0 THEN 'no_flows_in_window' WHEN before IS NULL THEN 'no_demonstrated_payments' END AS unscored_reason,
     CASE least(4, 1 + CASE WHEN nw < 6 THEN 1 ELSE 0 END + CASE WHEN arrears IS NULL THEN 1 ELSE 0 END + CASE WHEN balance IS NULL THEN 1 ELSE 0 END) WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'none' END AS confidence FROM scored""")
 def h03_health_score(t: Treasury) -> DataFrame:
-    return _scored(t).select("company_id", "month", *rounded("before", "score"), "unscored_reason", "confidence")
+    return H.health_score(_inputs(t)).select("company_id", "month", *rounded("before", "score"), "unscored_reason", "confidence")
 
 
 STEPS["channels"] = f"""SELECT o.company_id, o.month, o.before AS owing, p.before AS plain, coalesce(1 - 0.25 * o.arrears, 1) AS fa, coalesce(o.multiplier, 1) AS fd FROM scored o JOIN (SELECT company_id, month, {_BEFORE.format(k='4178.45', a='3.0')} AS before FROM (SELECT * EXCLUDE (t6, r_hist, stock), NULL::DOUBLE AS stock, p6 + d6 + s6 AS t6, CASE WHEN ch + ph + dh + sh > 0 THEN ch / (ch + ph + dh + sh) END AS r_hist FROM score_sums)) p USING (company_id, month)
@@ -63,7 +59,7 @@ STEPS["zeros"] = """SELECT *, CASE WHEN a AND b THEN 'A and B' WHEN a THEN 'A' E
 
 @query("SELECT company_id, criterion, n_scored, n_zero, round(reference_score, 4) AS reference_score FROM zeros")
 def h09_persistent_zeros(t: Treasury) -> DataFrame:
-    return H.persistent_zeros(_scored(t), LAST_MONTH).withColumn("reference_score", F.round("reference_score", 4))
+    return H.persistent_zeros(H.health_score(_inputs(t)), LAST_MONTH).withColumn("reference_score", F.round("reference_score", 4))
 
 
 @query("""SELECT month, CASE WHEN z.company_id IS NOT NULL THEN 'excluded' WHEN score IS NOT NULL THEN 'scored' WHEN NOT any_act THEN 'no_cash_activity' WHEN c6 = 0 AND t6 = 0 THEN 'no_flows_in_window' ELSE 'no_demonstrated_payments' END AS state,

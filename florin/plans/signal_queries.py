@@ -9,6 +9,7 @@ from florin.functions.core import joined
 from florin.operators import arrears as A
 from florin.operators import cash as K
 from florin.operators import marts as M
+from florin.operators import scoring as H
 from florin.operators import signals as S
 from florin.plans import cash_queries, score_queries
 from florin.plans.arrears_queries import _payables
@@ -68,5 +69,5 @@ def q02_compare_panels(t: Treasury) -> DataFrame:
 @query("""SELECT company_id, month, round(score, 4) AS score, concat_ws(',', CASE WHEN change <= -5 THEN 'falling_score' END, CASE WHEN score < 40 THEN 'low_score' END, CASE WHEN balance < 0 THEN 'negative_cash' END, CASE WHEN c - p - coalesce(d, 0) < 0 THEN 'net_outflow' END, CASE WHEN stock > 0 THEN 'overdue_payables' END, CASE WHEN overdue > 0 THEN 'overdue_receivables' END, CASE WHEN short > 0 THEN 'service_shortfall' END) AS attention
     FROM (SELECT *, score - lag(score) OVER (PARTITION BY company_id ORDER BY month) AS change FROM scored) LEFT JOIN (SELECT company_id, month, overdue FROM severities WHERE side = 'ar') USING (company_id, month) WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY month DESC) = 1""")
 def k02_attention(t: Treasury) -> DataFrame:
-    late = A.severity(_payables(t), FIRST_MONTH, LAST_MONTH).where("side = 'ar'").select("company_id", "month", F.col("overdue").alias("overdue_ar"))
-    return S.attention(score_queries._scored(t), late).select("company_id", "month", F.round("score", 4).alias("score"), joined(F.col("attention")).alias("attention"))
+    late = A.arrears_panel(_payables(t), FIRST_MONTH, LAST_MONTH).select("company_id", "month", "overdue_ar")
+    return S.attention(H.health_score(score_queries._inputs(t)), late).select("company_id", "month", F.round("score", 4).alias("score"), joined(F.col("attention")).alias("attention"))
