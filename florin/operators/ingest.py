@@ -131,6 +131,11 @@ def csv_profile(spark: SparkSession, path: str, columns: Sequence[str], separato
     return found.select("column", only.alias("inferred_type"), "n_rows", "n_malformed")
 
 
+def exact_mean(rate: Column, digits: int) -> Column:
+    """Mean of quotes, which are decimals of at most ten places, rounded half up. A sum of doubles depends on the order of its rows, which shows where the mean is a half."""
+    return F.round(F.avg(F.round(rate, 10).cast("decimal(20, 10)")), digits).cast("double")
+
+
 def monthly_observations(rows: DataFrame, lag_days: int) -> DataFrame:
     """Rates per currency, month and kind from text observations with periods like ``2026-M08``; what cannot be read falls.
 

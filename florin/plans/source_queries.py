@@ -164,7 +164,7 @@ STEPS["observed"] = """SELECT currency, month, kind, rate + CASE WHEN copy = 1 A
 @query("""SELECT currency, month, kind, count(*) AS n, CASE WHEN min(value) = max(value) THEN round(min(value), 6) END AS rate, min(value) <> max(value) AS is_contradiction, last_day(month) + 45 AS available_on FROM observed GROUP BY currency, month, kind""")
 def s09_monthly_rates(t: Treasury) -> DataFrame:
     """From a CSV file: some months stand in it twice, some with two values, and some lines name no month."""
-    months = t.fx_daily.groupBy("currency", F.trunc("day", "MM").alias("month")).agg(F.round(F.max_by("rate", "day"), 6).alias("end"), F.round(F.avg("rate"), 6).alias("average"))
+    months = t.fx_daily.groupBy("currency", F.trunc("day", "MM").alias("month")).agg(F.round(F.max_by("rate", "day"), 6).alias("end"), I.exact_mean(F.col("rate"), 6).alias("average"))
     n = F.months_between("month", F.lit("1995-01-01").cast("date")).cast("int")
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("rate")) for k in ("end", "average"))))
     copies = F.explode(F.when((n % 7).isin(2, 3), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
