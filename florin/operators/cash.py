@@ -79,9 +79,13 @@ def with_balance(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _backward(rows: DataFrame, key: str, mean_out: Column) -> DataFrame:
+    """``rows`` with the balance, and the lowest one so far, by ``key``; only known balances have a lowest one."""
     order = Window.partitionBy("company_id").orderBy(key)
     rows = with_balance(rows.withColumn("mean_out", mean_out), key)
-    rows = rows.withColumn("lowest", F.when(F.col("balance").isNotNull(), F.min("balance").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    return rows.withColumn("lowest", F.when(F.col("balance").isNotNull(), F.min("balance").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+
+
+def _described(rows: DataFrame, key: str) -> DataFrame:
     cushion = F.col("balance") - F.col("lowest")
     part = F.when(F.col("later_known") + F.col("later_holes") > 0, F.col("later_holes") / (F.col("later_known") + F.col("later_holes"))).otherwise(0.0)
     confidence = F.when(F.col("anchor").isNull(), "none").when(part == 0, "high").when(part <= 0.25, "medium").when(part <= 0.5, "low").otherwise("none")
@@ -94,19 +98,33 @@ def backward_balance(monthly: DataFrame, anchor: DataFrame, companies: DataFrame
     months = F.sequence(F.lit(first).cast("date"), F.lit(anchor_month).cast("date"), F.expr("INTERVAL 1 MONTH"))
     rows = companies.select("company_id", F.explode(months).alias("month")).join(monthly, ["company_id", "month"], "left").join(anchor, "company_id", "left")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("net", "outflow", "known_volume", "hole_volume")})
-    return _backward(rows, "month", F.avg("outflow").over(Window.partitionBy("company_id").orderBy("month").rowsBetween(1 - COVER_MONTHS, 0)))
+    return _described(_backward(rows, "month", F.avg("outflow").over(Window.partitionBy("company_id").orderBy("month").rowsBetween(1 - COVER_MONTHS, 0))), "month")
 
 
 def daily_panel(daily: DataFrame, anchor: DataFrame, anchor_day: str) -> DataFrame:
-    """Dense days from a company's first to its last movement and the anchor day, with the balance backward and cover over 180 days."""
-    daily = daily.withColumnRenamed("date_ok", "day")
-    span = daily.groupBy("company_id").agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    days = F.array_distinct(F.array_append(F.sequence("first", "last"), F.lit(anchor_day).cast("date")))
-    rows = span.select("company_id", "first", F.explode(days).alias("day")).join(daily, ["company_id", "day"], "left").join(anchor, "company_id", "left")
-    rows = rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("net", "outflow", "known_volume", "hole_volume")}).withColumn("n", F.datediff("day", F.lit("1970-01-01").cast("date")))
+    """Dense days from a company's first to its last movement and the anchor day, with the balance backward and cover over 180 days.
+
+    Sums change only on days with movements, and 180 days after one, when it leaves the cover. The windows run over these days and the
+    anchor day; each then makes the days up to the next one, which are neither shuffled nor sorted.
+    """
+    amounts = ("net", "outflow", "known_volume", "hole_volume")
+    moved = daily.where("date_ok IS NOT NULL").groupBy("company_id").agg(F.min("date_ok").alias("first"), F.max("date_ok").alias("last"), F.collect_list(F.struct(F.col("date_ok").alias("day"), *amounts)).alias("moved"))
+    at = F.lit(anchor_day).cast("date")
+    leaving = F.filter(F.transform("moved", lambda d: F.date_add(d["day"], COVER_DAYS)), lambda day: day <= F.col("last"))
+    idle = F.array_except(F.array_append(leaving, at), F.transform("moved", lambda d: d["day"]))
+    zero = [F.lit(0.0).alias(c) for c in amounts]
+    turns = F.concat("moved", F.transform(idle, lambda day: F.struct(day.alias("day"), *zero)))
+    rows = moved.select("company_id", "first", "last", F.explode(turns).alias("turn")).select("company_id", "first", "last", "turn.*").join(anchor.hint("merge"), "company_id", "left")
+    rows = rows.withColumn("n", F.datediff("day", F.lit("1970-01-01").cast("date")))
+    by_day = Window.partitionBy("company_id").orderBy("n")
+    rows = _backward(rows, "n", F.sum("outflow").over(by_day.rangeBetween(1 - COVER_DAYS, 0)))
+    inside = F.col("day").between(F.col("first"), F.col("last"))
+    until = F.when(inside, F.least(F.date_sub(F.lead("day").over(by_day), 1), "last")).otherwise(F.col("day"))
+    rows = rows.withColumn("until", until).withColumnRenamed("day", "turn")
+    kept = ("company_id", "first", "turn", "anchor", "balance", "lowest", "later_known", "later_holes")
+    rows = rows.select(*kept, F.col("net").alias("moved"), F.col("mean_out").alias("out"), F.explode(F.sequence("turn", "until")).alias("day"))
     months = F.greatest(F.lit(1.0), F.least(F.lit(6.0), (F.datediff("day", "first") + 1) / 30.0))
-    trailing = Window.partitionBy("company_id").orderBy("n").rangeBetween(1 - COVER_DAYS, 0)
-    return _backward(rows, "day", F.sum("outflow").over(trailing) / months)
+    return _described(rows.withColumns({"net": F.when(F.col("day") == F.col("turn"), F.col("moved")).otherwise(0.0), "mean_out": F.col("out") / months}), "day")
 
 
 def forward_backward_difference(forward: DataFrame, backward: DataFrame) -> DataFrame:
