@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from florin.functions.core import known_if, month_start
+from florin.functions.core import known_if, month_index, month_start
 
 # Fixed values of the arrears index and of the obligation multiplier.
 SEVERITY_WEIGHTS = (0.10, 0.25, 0.45, 0.70, 1.00)
@@ -73,9 +73,13 @@ def _with_robust(severities: DataFrame) -> DataFrame:
     past = F.sum(F.when(seen, F.col("weighted"))).over(before) / F.sum(F.when(seen, F.col("exposure"))).over(before)
     drawn = F.when(past.isNull(), F.col("severity")).otherwise((F.col("weighted") + KAPPA * past) / (F.col("exposure") + KAPPA))
     rows = severities.withColumn("drawn", known_if(seen, drawn))
-    values = F.collect_list("drawn").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    smooth = F.aggregate(values, F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x).otherwise(SMOOTHING * x + (1 - SMOOTHING) * acc))
-    return rows.withColumn("robust", known_if(F.col("drawn").isNotNull(), smooth))
+    # smoothing over observed months as one running sum: each value counts by the power of its place, so that no month goes over all earlier ones again;
+    # the powers stay finite up to some 1,600 months
+    decay = F.lit(1 - SMOOTHING)
+    rows = rows.withColumn("_place", F.count("drawn").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    part = F.when(F.col("_place") == 0, F.col("drawn")).otherwise(SMOOTHING * F.col("drawn") * F.pow(decay, -F.col("_place")))
+    smooth = F.pow(decay, F.col("_place")) * F.sum(part).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("robust", known_if(F.col("drawn").isNotNull(), smooth)).drop("_place")
 
 
 def _both_sides() -> Column:
@@ -92,18 +96,30 @@ def arrears_index(severities: DataFrame) -> DataFrame:
 def arrears_panel(rows: DataFrame, first: str, last: str) -> DataFrame:
     """``(company_id, month, ap, ar, arrears, overdue_ar, n_overdue, overdue_eur, bucket_0 to bucket_4)`` wherever something was due: arrears_index and overdue_obligation in one.
 
-    Invoices are dealt by company once. Each then makes the months from the one in which it falls due, and all that follows groups within a company, so months are never shuffled.
+    Invoices are dealt by company once. Each then makes the month from which it is due, in which it enters the exposure that a window carries on, and the later ones
+    in which it is late; all that follows groups within a company, so months are never shuffled. Months are counted from ``first`` until they are grouped.
     """
-    begin, end = _first_month(F.col("due"), first), F.lit(last).cast("date")
-    due = rows.where(F.col("due") <= F.last_day(end)).repartition("company_id").withColumn("month", F.explode(F.sequence(begin, end, F.expr("INTERVAL 1 MONTH"))))
-    due = due.withColumns({"days": F.datediff(F.last_day("month"), "due"), "late": F.col("paid").isNull() | (month_start(F.col("paid")) > F.col("month"))})
+    start, end = F.lit(first).cast("date"), F.lit(last).cast("date")
+    starts = F.sequence(start, F.add_months(end, 1), F.expr("INTERVAL 1 MONTH"))
+    count = lambda day: F.greatest(F.lit(0), month_index(day) - month_index(start))
+    last_k = month_index(end) - month_index(start)
+    until = F.when(F.col("paid").isNull(), last_k).otherwise(F.least(last_k, month_index(F.col("paid")) - month_index(start) - 1))
+    due = rows.where(F.col("due") <= F.last_day(end)).repartition("company_id").withColumns({"begin": count(F.col("due")), "until": until})
+    due = due.withColumn("k", F.explode(F.sequence("begin", F.greatest("begin", "until"))))
+    due = due.withColumns({"days": F.datediff(F.date_sub(F.element_at(starts, F.col("k") + 2), 1), "due"), "late": F.col("k") <= F.col("until")})
     weight = F.element_at(F.array(*map(F.lit, SEVERITY_WEIGHTS)), _bucket(F.col("days"), 180) + 1)
     when_late = lambda value, c=F.lit(True): F.sum(F.when(F.col("late") & c, value))
     zero, eur = F.lit(0.0), F.col("eur")
-    sums = due.groupBy("company_id", "side", "month").agg(
-        F.coalesce(F.sum("eur"), zero).alias("exposure"), F.coalesce(when_late(weight * eur), zero).alias("weighted"), F.count_if("late").alias("n_overdue"), when_late(eur).alias("overdue_eur"),
+    sums = due.groupBy("company_id", "side", "k").agg(
+        F.coalesce(F.sum(F.when(F.col("k") == F.col("begin"), eur)), zero).alias("entered"), F.coalesce(when_late(weight * eur), zero).alias("weighted"), F.count_if("late").alias("n_overdue"), when_late(eur).alias("overdue_eur"),
         *(F.coalesce(when_late(eur, _bucket(F.col("days"), 179) == k), zero).alias(f"bucket_{k}") for k in range(5)),
     )
+    order = Window.partitionBy("company_id", "side").orderBy("k")
+    sums = sums.withColumns({"exposure": F.sum("entered").over(order.rowsBetween(Window.unboundedPreceding, 0)), "next": F.coalesce(F.lead("k").over(order), last_k + 1)})
+    # a month in which nothing enters and nothing is late has the exposure of the one before
+    sums = sums.withColumn("at", F.explode(F.sequence("k", F.col("next") - 1)))
+    here = F.col("at") == F.col("k")
+    sums = sums.select("company_id", "side", F.element_at(starts, F.col("at") + 1).alias("month"), "exposure", F.when(here, F.col("overdue_eur")).alias("overdue_eur"), F.when(here, F.col("n_overdue")).otherwise(0).alias("n_overdue"), *(F.when(here, F.col(c)).otherwise(0.0).alias(c) for c in ("weighted", *(f"bucket_{k}" for k in range(5)))))
     robust = _with_robust(sums.withColumn("severity", F.when(F.col("exposure") > 0, F.col("weighted") / F.col("exposure"))))
     of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))  # noqa: E731  one row a side
     both = robust.groupBy("company_id", "month").agg(of("ap", "robust").alias("ap"), of("ar", "robust").alias("ar"), of("ar", "overdue_eur").alias("overdue_ar"), of("ap", "n_overdue").alias("n_overdue"), of("ap", "overdue_eur").alias("overdue_eur"), *(of("ap", f"bucket_{k}").alias(f"bucket_{k}") for k in range(5)))

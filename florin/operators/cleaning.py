@@ -36,28 +36,34 @@ def normal_text(text: Column) -> Column:
     return F.when(missing_text(text), "unknown").otherwise(F.lower(F.trim(text)))
 
 
-def clean_transactions(tx: DataFrame, banking: DataFrame, debt: DataFrame, open_month: str) -> DataFrame:
-    """Transactions with normal forms, product source, EUR amount by source, and ``quality_flags``.
+def normal_movements(tx: DataFrame, open_month: str) -> DataFrame:
+    """Transactions with what needs no product: days in range, month, direction, normal status and category."""
+    category, amount = F.trim("category"), F.col("amount")
+    rows = tx.withColumns({
+        "date_ok": day_ok(F.col("date")), "value_date_ok": day_ok(F.col("value_date")), "status_norm": normal_text(F.col("status")),
+        "category_norm": F.when(category.isNotNull() & (category != "") & (category != "-"), F.lower(category)),
+        "direction": F.when(amount > 0, "in").when(amount < 0, "out").when(amount.isNotNull(), "zero"),
+    })
+    rows = rows.withColumns({"month": month_start(F.col("date_ok"))})
+    return rows.withColumns({"is_open_month": F.col("month") >= F.lit(open_month).cast("date"), "is_booked": F.col("status_norm") == "booked"})
+
 
-    The two product tables have one row per product; whether they are broadcast is left to their measured size.
+def with_products(rows: DataFrame, banking: DataFrame, debt: DataFrame) -> DataFrame:
+    """Normal movements with product source, EUR amount by source, and ``quality_flags``.
+
+    The two product tables have one row per product. They are merged with, never broadcast: where they are generated from a
+    smaller table, the optimizer takes them for as small as that one.
     """
     products = banking.select("product_id", F.lit("banking").alias("product_source"), "type", "currency").unionByName(debt.select("product_id", F.lit("debt").alias("product_source"), "type", "currency"))
     products = products.select(F.col("product_id").alias("_product"), "product_source", F.lower(F.trim("type")).alias("product_type"), F.upper(F.trim("currency")).alias("product_currency"))
-    rows = tx.join(products, F.col("product_id") == F.col("_product"), "left").drop("_product")
+    rows = rows.join(products.hint("merge"), F.col("product_id") == F.col("_product"), "left").drop("_product")
     currency, category, amount = F.col("product_currency"), F.trim("category"), F.col("amount")
     rows = rows.withColumns({
-        "date_ok": day_ok(F.col("date")), "value_date_ok": day_ok(F.col("value_date")), "status_norm": normal_text(F.col("status")),
-        "category_norm": F.when(category.isNotNull() & (category != "") & (category != "-"), F.lower(category)),
-        "direction": F.when(amount > 0, "in").when(amount < 0, "out").when(amount.isNotNull(), "zero"),
         "amount_eur": F.when(currency == "EUR", amount).when(currency.isNotNull() & usable_rate(F.col("exchange_rate")), F.try_divide(amount, F.col("exchange_rate"))),
         "fx_ambiguous": (currency != "EUR") & (F.col("exchange_rate") == 1),
         "product_source": F.coalesce("product_source", F.lit("orphan")),
     })
-    rows = rows.withColumns({"month": month_start(F.col("date_ok"))})
-    rows = rows.withColumns({
-        "is_open_month": F.col("month") >= F.lit(open_month).cast("date"), "is_booked": F.col("status_norm") == "booked",
-        "amount_eur_source": F.when(F.col("amount_eur").isNull(), "unknown").when(currency == "EUR", "identity").otherwise("reported"),
-    })
+    rows = rows.withColumn("amount_eur_source", F.when(F.col("amount_eur").isNull(), "unknown").when(currency == "EUR", "identity").otherwise("reported"))
     return rows.withColumn("quality_flags", flags(
         (day_bad(F.col("date")), "date_out_of_range"), (day_bad(F.col("value_date")), "date_out_of_range"), (F.col("is_open_month"), "open_month"), (missing_text(F.col("status")), "status_missing"),
         (category.isin("", "-"), "category_missing"), (amount.isNull(), "amount_missing"), (F.abs(amount) >= EXTREME, "amount_extreme"), (F.col("exchange_rate") <= 0, "fx_rate_invalid"),
@@ -65,6 +71,11 @@ def clean_transactions(tx: DataFrame, banking: DataFrame, debt: DataFrame, open_
     ))
 
 
+def clean_transactions(tx: DataFrame, banking: DataFrame, debt: DataFrame, open_month: str) -> DataFrame:
+    """Transactions with normal forms, product source, EUR amount by source, and ``quality_flags``."""
+    return with_products(normal_movements(tx, open_month), banking, debt)
+
+
 def clean_invoices(invoices: DataFrame, open_month: str) -> DataFrame:
     """Invoices with effective rate, EUR amount, settlement and maturity dates, flow side, and ``quality_flags``."""
     currency, accounting, rate, amount = F.upper(F.trim("currency")), F.upper(F.trim("accounting_currency")), F.col("exchange_rate"), F.col("amount")
@@ -120,7 +131,7 @@ def clean_balances(balances: DataFrame, banking: DataFrame, debt: DataFrame) ->
     """Sentinel balances become null and are flagged; the product's source is looked up."""
     products = banking.select("product_id", F.lit("banking").alias("source"), F.col("currency").alias("product_currency")).unionByName(debt.select("product_id", F.lit("debt").alias("source"), F.col("currency").alias("product_currency")))
     sentinel = (F.col("balance") <= SENTINEL_LOW) | (F.col("balance") >= SENTINEL_HIGH)
-    return balances.join(products, "product_id", "left").select(
+    return balances.join(products.hint("merge"), "product_id", "left").select(
         "product_id", "company_id", "date", F.when(~sentinel, F.col("balance")).alias("balance_ok"), F.coalesce("source", F.lit("orphan")).alias("product_source"), "product_currency",
         flags((sentinel, "sentinel_hidden_balance"), (F.col("source").isNull(), "fk_orphan")).alias("quality_flags"),
     )

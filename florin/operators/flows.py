@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from florin.functions.core import exact_quantiles
+from florin.functions.core import exact_quantiles, month_index
 
 # Fixed values of the classification.
 INCOME = ("collection", "bulk_collection", "pos_settlement", "cash_settlement", "cash_settlements", "tax_refund")
@@ -65,31 +65,37 @@ def description_rule(description: Column, direction: Column) -> Column:
     return out
 
 
-def learned_categories(tx: DataFrame) -> DataFrame:
-    """``(company_id, direction, pattern, month, learned, evidence_month)`` for movements without a category.
+def with_learned(rows: DataFrame) -> DataFrame:
+    """``rows`` with their ``pattern``, and ``learned`` and ``evidence_month`` where a movement without a category has a pattern whose category is known.
 
     Evidence is the same company's booked, categorised movements of the same direction and
-    pattern in strictly earlier months, and only if they name one category. Both sides are reduced
-    before they meet: evidence to the first month per category, questions to distinct months.
+    pattern in strictly earlier months, and only if they name one category. A running window over
+    the pattern's months sees it, so movements are read and dealt once and meet no second copy of themselves.
     """
-    keyed = tx.withColumn("pattern", pattern(F.col("description")))
-    keys = ["company_id", "direction", "pattern"]
-    evidence = keyed.where(~F.col("is_open_month") & F.col("is_booked") & F.col("category_norm").isNotNull()).groupBy(*keys, "category_norm").agg(F.min("month").alias("first_month"))
-    asked = keyed.where(F.col("category_norm").isNull() & (F.col("pattern") != "")).select(*keys, "month").distinct()
-    found = asked.join(evidence, keys).where(F.col("first_month") < F.col("month"))
-    return found.groupBy(*keys, "month").agg(F.count_distinct("category_norm").alias("n"), F.min("category_norm").alias("learned"), F.max("first_month").alias("evidence_month")).where("n = 1").drop("n")
+    rows = rows.withColumn("pattern", pattern(F.col("description")))
+    keys = ("company_id", "direction", "pattern")
+    earlier = Window.partitionBy(*keys).orderBy(month_index(F.col("month"))).rangeBetween(Window.unboundedPreceding, -1)
+    seen = ~F.col("is_open_month") & F.col("is_booked") & F.col("category_norm").isNotNull()
+    rows = rows.withColumn("_evidence", F.when(seen, F.col("category_norm")))
+    rows = rows.withColumns({"_least": F.min("_evidence").over(earlier), "_most": F.max("_evidence").over(earlier), "_since": F.min(F.when(F.col("_evidence").isNotNull(), F.col("month"))).over(earlier)})
+    asks = F.col("category_norm").isNull() & (F.col("pattern") != "") & F.col("company_id").isNotNull() & F.col("direction").isNotNull() & F.col("month").isNotNull()
+    one = asks & (F.col("_least") == F.col("_most"))
+    return rows.withColumns({"learned": F.when(one, F.col("_least")), "evidence_month": F.when(one, F.col("_since"))}).drop("_evidence", "_least", "_most", "_since")
 
 
 def classify_flows(tx: DataFrame) -> DataFrame:
     """``tx`` with flow_class, flow_source, rule_id, is_outlier, direction_conflict, evidence_month."""
-    rows = tx.withColumn("pattern", pattern(F.col("description")))
-    learned = learned_categories(tx)
-    # only movements without a category ask, so the others keep out of the join's way
-    keys = ("company_id", "direction", "pattern", "month")
-    asked = rows.alias("t").join(learned.alias("l"), [F.col(f"t.{k}") == F.col(f"l.{k}") for k in keys] + [F.col("t.category_norm").isNull()], "left").select("t.*", "l.learned", "l.evidence_month")
+    return classified(with_learned(tx))
+
+
+def classified(asked: DataFrame) -> DataFrame:
+    """classify_flows of movements that have their learned category; what no longer is evidence can be left out before.
+
+    The description rules hold no digits, so they read the pattern, and the description itself is dealt no further.
+    """
     direction, category, learned_one = F.col("direction"), F.col("category_norm"), F.col("learned")
     mapped = category.isin(*INCOME, *EXPENSE, *REFUND, *DEBT_SERVICE, *MOVES, "investment_return", "investment_deployment")
-    asked = asked.withColumn("_rule", F.when(category.isNull() & learned_one.isNull(), description_rule(F.col("description"), direction)))
+    asked = asked.withColumn("_rule", F.when(category.isNull() & learned_one.isNull(), description_rule(F.col("pattern"), direction)))
     asked = asked.withColumns({
         "_class": F.coalesce(category_class(F.coalesce(category, learned_one), direction), F.col("_rule.class"), F.lit("unknown")),
         "rule_id": F.when(mapped, F.concat(F.lit("cat:"), category)).when(category.isNotNull(), "cat:no_mapeada").when(learned_one.isNotNull(), F.concat(F.lit("transf:"), learned_one)).otherwise(F.coalesce(F.col("_rule.rule"), F.lit("unknown"))),

@@ -19,10 +19,14 @@ def company_months(companies: DataFrame, first: str, last: str) -> DataFrame:
     return companies.select("company_id", "group_id", F.explode(months).alias("month")).withColumn("available_at", F.last_day("month"))
 
 
+def closed_movements(rows: DataFrame, first: str, last: str) -> DataFrame:
+    """Booked movements of closed months."""
+    return rows.where(F.col("is_booked") & ~F.col("is_open_month") & F.col("month").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+
+
 def cash_perimeter(classified: DataFrame, first: str, last: str) -> DataFrame:
     """Booked movements of closed months, marked as cash account or not and as ambiguous or not."""
-    inside = F.col("is_booked") & ~F.col("is_open_month") & F.col("month").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
-    return classified.where(inside).withColumns({
+    return closed_movements(classified, first, last).withColumns({
         "is_cash": F.coalesce((F.col("product_source") == "banking") & F.col("product_type").isin(*CASH_PRODUCTS), F.lit(False)),
         "is_ambiguous": F.col("flow_class").isin(*AMBIGUOUS) & ~F.col("direction").eqNullSafe("zero"),
     })

@@ -107,7 +107,9 @@ def _inv(t: Treasury) -> DataFrame:
 
 
 def _perimeter(t: Treasury) -> DataFrame:
-    return M.cash_perimeter(W.classify_flows(_tx(t)), FIRST_MONTH, LAST_MONTH)
+    """Earlier months are evidence of categories only, so they are left out before movements meet their products."""
+    asked = M.closed_movements(W.with_learned(C.normal_movements(t.transactions, OPEN_MONTH)), FIRST_MONTH, LAST_MONTH)
+    return M.cash_perimeter(W.classified(C.with_products(asked, t.banking_products, t.debt_products)), FIRST_MONTH, LAST_MONTH)
 
 
 def _kept_perimeter(t: Treasury) -> DataFrame:
