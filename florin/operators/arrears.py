@@ -176,13 +176,26 @@ def live_invoices(rows: DataFrame, issued: str, first: str, last: str) -> DataFr
     return rows.withColumn("cut", F.explode(F.when(begin <= end, F.sequence(begin, end, F.expr("INTERVAL 1 MONTH"))))).withColumn("cut", F.last_day("cut"))
 
 
+def _cuts_from(day: Column, first: str, last: str) -> Column:
+    return F.sequence(_first_month(day, first), F.lit(last).cast("date"), F.expr("INTERVAL 1 MONTH"))
+
+
 def delay_profile(rows: DataFrame, first: str, last: str, least: int = 10) -> DataFrame:
-    """Expected delay per cut, company and side: the company's median over payments by the cut if it has ten, else its side's, which is given as well."""
-    paid = rows.where("paid IS NOT NULL").withColumn("delay", F.datediff("paid", "due"))
-    months = F.sequence(_first_month(F.col("paid"), first), F.lit(last).cast("date"), F.expr("INTERVAL 1 MONTH"))
-    dealt = paid.where(F.col("paid") <= F.last_day(F.lit(last).cast("date"))).withColumn("cut", F.explode(months)).withColumn("cut", F.last_day("cut"))
-    # exact medians from counts per delay: the rows of a side are pre-aggregated before they meet
-    counted = dealt.groupBy("cut", "side", "company_id", "delay").agg(F.count("*").alias("n"))
-    own = counted.groupBy("cut", "side", "company_id").agg(F.sum("n").alias("n_paid"), F.percentile("delay", F.lit(0.5), F.col("n")).alias("own"))
-    side = counted.groupBy("cut", "side", "delay").agg(F.sum("n").alias("n")).groupBy("cut", "side").agg(F.percentile("delay", F.lit(0.5), F.col("n")).alias("all"))
-    return own.join(side, ["cut", "side"]).select("cut", "side", "company_id", "n_paid", F.when(F.col("n_paid") >= least, F.col("own")).otherwise(F.col("all")).alias("expected_delay"), F.col("all").alias("side_delay"))
+    """Expected delay per cut, company and side: the company's median over payments by the cut if it has ten, else its side's, which is given as well.
+
+    Payments are dealt by company and counted per month and delay before they make their cuts, which are not shuffled; the sides' counts are a row per month and delay.
+    """
+    counted = _paid_delays(rows, first, last).repartition("company_id").groupBy("company_id", "side", "month", "delay").agg(F.count("*").alias("n")).withColumn("cut", F.explode(_cuts_from(F.col("month"), first, last)))
+    # exact medians from counts per delay
+    own = counted.groupBy("company_id", "side", "cut").agg(F.sum("n").alias("n_paid"), F.percentile("delay", F.lit(0.5), F.col("n")).alias("own")).withColumn("cut", F.last_day("cut"))
+    return own.join(F.broadcast(side_delays(rows, first, last)), ["cut", "side"]).select("cut", "side", "company_id", "n_paid", F.when(F.col("n_paid") >= least, F.col("own")).otherwise(F.col("side_delay")).alias("expected_delay"), "side_delay")
+
+
+def _paid_delays(rows: DataFrame, first: str, last: str) -> DataFrame:
+    return rows.where(F.col("paid") <= F.last_day(F.lit(last).cast("date"))).select("company_id", "side", _first_month(F.col("paid"), first).alias("month"), F.datediff("paid", "due").alias("delay"))
+
+
+def side_delays(rows: DataFrame, first: str, last: str) -> DataFrame:
+    """``(cut, side, side_delay)``: the side's median over payments by the cut, a row per cut and side."""
+    counted = _paid_delays(rows, first, last).groupBy("side", "month", "delay").agg(F.count("*").alias("n")).withColumn("cut", F.explode(_cuts_from(F.col("month"), first, last)))
+    return counted.groupBy(F.last_day("cut").alias("cut"), "side").agg(F.percentile("delay", F.lit(0.5), F.col("n")).alias("side_delay"))

@@ -122,16 +122,19 @@ def live_at_cuts(rows: DataFrame, first: str, last: str) -> DataFrame:
     return dealt.withColumn("cut", F.last_day("month")).where((F.col("issued") <= F.col("cut")) & (F.col("paid").isNull() | (F.col("paid") > F.col("cut"))))
 
 
-def expected_rows(live: DataFrame, rates: DataFrame, delays: DataFrame) -> DataFrame:
-    """Live invoices with the day on which they are expected, never before the day after the cut, and the expected amount.
+def expected_rows(rows: DataFrame, rates: DataFrame, delays: DataFrame, sides: DataFrame, first: str, last: str) -> DataFrame:
+    """Invoices live at cuts (live_at_cuts) with the day on which they are expected, never before the day after the cut, and the expected amount.
 
-    ``delays`` is ``(cut, company_id, expected_delay, side_delay)`` of one side, for companies with payments of their own; the others are expected after the side's median delay, and on the due day where nobody has paid yet.
+    ``delays`` is ``(cut, company_id, expected_delay)`` of one side, for companies with payments of their own, ``sides`` the side's ``(cut, side_delay)``; the others are expected after the side's median delay, and on the due day where nobody has paid yet.
+    A company's delays are one array, which meets its invoices before they make their cuts; rates and the sides' medians are a row per cut and age, and broadcast. So live invoices are neither shuffled nor dealt to the few cuts.
     """
-    sides = delays.groupBy("cut").agg(F.max("side_delay").alias("_side"))
-    aged = live.withColumn("age", age_of(F.datediff("cut", "due")))
-    rows = aged.join(rates.select("cut", "age", "rate"), ["cut", "age"]).join(delays.select("cut", "company_id", "expected_delay"), ["cut", "company_id"], "left").join(sides, "cut", "left")
+    sides = sides.select("cut", F.col("side_delay").alias("_side"))
+    own = delays.groupBy("company_id").agg(F.map_from_entries(F.collect_list(F.struct("cut", "expected_delay"))).alias("_own"))
+    live = live_at_cuts(rows.join(own.hint("merge"), "company_id", "left"), first, last)
+    aged = live.withColumns({"age": age_of(F.datediff("cut", "due")), "expected_delay": F.try_element_at("_own", F.col("cut"))}).drop("_own")
+    aged = aged.join(F.broadcast(rates.select("cut", "age", "rate")), ["cut", "age"]).join(F.broadcast(sides), "cut", "left")
     day = F.date_add("due", F.round(F.coalesce("expected_delay", "_side", F.lit(0.0))).cast("int"))
-    return rows.select("company_id", "cut", "age", "eur", "due", "rate", F.greatest(day, F.date_add("cut", 1)).alias("day"), (F.col("eur") * F.col("rate")).alias("expected_eur"))
+    return aged.select("company_id", "cut", "age", "eur", "due", "rate", F.greatest(day, F.date_add("cut", 1)).alias("day"), (F.col("eur") * F.col("rate")).alias("expected_eur"))
 
 
 def dated_calendar(expected: DataFrame, days: int = max(HORIZONS)) -> DataFrame:

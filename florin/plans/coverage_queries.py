@@ -80,8 +80,8 @@ def _rates(t: Treasury, side: str) -> DataFrame:
 
 
 def _expected(t: Treasury, side: str) -> DataFrame:
-    delays = A.delay_profile(_payables(t), FIRST_MONTH, LAST_MONTH).where(F.col("side") == side)
-    return D.expected_rows(D.live_at_cuts(D.receivable_rows(_inv(t), side), FIRST_MONTH, LAST_MONTH), _rates(t, side), delays)
+    delays, sides = (found(_payables(t), FIRST_MONTH, LAST_MONTH).where(F.col("side") == side) for found in (A.delay_profile, A.side_delays))
+    return D.expected_rows(D.receivable_rows(_inv(t), side), _rates(t, side), delays, sides, FIRST_MONTH, LAST_MONTH)
 
 
 def _by_currency(t: Treasury) -> DataFrame:
