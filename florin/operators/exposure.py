@@ -11,13 +11,22 @@ from florin.functions.core import flags, known_if, month_index, month_start
 LEAST_EUR, LEAST_INVOICES = 1000.0, 3
 
 
-def live_receivables(invoices: DataFrame, first: str, last: str) -> DataFrame:
-    """One row per receivable and cut (month end) at which it is issued and not paid; only a paid status makes a payment date real."""
+def receivables(invoices: DataFrame, first: str, last: str) -> DataFrame:
+    """Receivables with ``begin`` and ``end``, the first and last month at whose end each is issued and not paid; only a paid status makes a payment date real."""
     paid = F.when(F.col("status_norm") == "paid", F.col("payment_date_ok"))
     rows = invoices.where((F.col("document_type_norm") == "invoice") & (F.col("status_norm") != "cancel") & (F.col("amount") > 0) & F.col("issuance_date_ok").isNotNull())
     end = F.least(F.when(paid.isNull(), F.lit(last).cast("date")).otherwise(F.add_months(month_start(paid), -1)), F.lit(last).cast("date"))
     begin = F.greatest(month_start(F.col("issuance_date_ok")), F.lit(first).cast("date"))
-    return rows.withColumn("month", F.explode(F.when(begin <= end, F.sequence(begin, end, F.expr("INTERVAL 1 MONTH")))))
+    return rows.withColumns({"begin": begin, "end": end}).where("begin <= end")
+
+
+def at_cuts(rows: DataFrame) -> DataFrame:
+    """One row per receivable and cut (month end) at which it is live. Receivables are dealt by company before they make their months, so what groups these within a company shuffles none of them."""
+    return rows.repartition("company_id").withColumn("month", F.explode(F.sequence("begin", "end", F.expr("INTERVAL 1 MONTH")))).drop("begin", "end")
+
+
+def live_receivables(invoices: DataFrame, first: str, last: str) -> DataFrame:
+    return at_cuts(receivables(invoices, first, last))
 
 
 def currency_exposure(live: DataFrame) -> DataFrame:

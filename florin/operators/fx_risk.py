@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from florin.functions.core import flags
+from florin.operators.exposure import at_cuts
 from florin.operators.fx import SEVERITY, rate_on_or_before
 
 # What a high confidence needs, the weight of the index in the score and the weights tried, and the points that are material.
@@ -23,22 +24,26 @@ def _severity(tier: str) -> Column:
     return F.when(F.col("currency") == "EUR", 0.0).otherwise(out)
 
 
-def valued_receivables(live: DataFrame, quotes: DataFrame) -> DataFrame:
+def valued_receivables(receivables: DataFrame, quotes: DataFrame, first: str, last: str) -> DataFrame:
     """Live receivables with their EUR value at issue (own conversion if reported and not doubtful, else the rate on or before the issue) and at the month's end.
 
-    A currency has one rate per day asked, so the cuts are questions of one row per currency and month.
+    A currency has one rate per day asked, whatever the number of invoices, so rates are broadcast: those of the issue to the receivables, before these are
+    dealt by company, and those of the cuts to the months that they make.
     """
     covered = quotes.select(F.col("currency").alias("_covered")).distinct()
-    rows = live.join(covered, F.col("currency") == F.col("_covered"), "left").withColumn("is_opaque", F.col("_covered").isNull() & (F.col("currency") != "EUR")).drop("_covered")
-    issued = rate_on_or_before(rows.select("operation_id", "currency", "issuance_date_ok").distinct(), quotes, "issuance_date_ok").select(F.col("operation_id").alias("_id"), F.col("rate").alias("issue_rate"))
-    cuts = rate_on_or_before(rows.select("currency", F.last_day("month").alias("cut")).distinct(), quotes, "cut").select(F.col("currency").alias("_c"), F.col("cut").alias("_cut"), F.col("rate").alias("cut_rate"))
-    rows = rows.join(issued, F.col("operation_id") == F.col("_id"), "left").join(cuts, (F.col("currency") == F.col("_c")) & (F.last_day("month") == F.col("_cut")), "left")
+    issued = rate_on_or_before(receivables.select("currency", "issuance_date_ok").distinct(), quotes, "issuance_date_ok").select(F.col("currency").alias("_c"), F.col("issuance_date_ok").alias("_day"), F.col("rate").alias("issue_rate"))
+    months = F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("INTERVAL 1 MONTH"))
+    asked = quotes.select("currency").distinct().select("currency", F.explode(months).alias("month")).withColumn("cut", F.last_day("month"))
+    cuts = rate_on_or_before(asked, quotes, "cut").select(F.col("currency").alias("_c"), F.col("month").alias("_month"), F.col("rate").alias("cut_rate"))
+    rows = receivables.join(F.broadcast(covered), F.col("currency") == F.col("_covered"), "left").join(F.broadcast(issued), (F.col("currency") == F.col("_c")) & (F.col("issuance_date_ok") == F.col("_day")), "left")
     euro = F.col("currency") == "EUR"
     own = F.when(euro, F.col("amount")).when((F.col("amount_eur_source") == "reported") & ~F.coalesce("fx_ambiguous", F.lit(False)), F.col("amount_eur"))
-    return rows.select(
-        *_KEY, "currency", "amount", "is_opaque", F.coalesce(own, F.col("amount") / F.col("issue_rate")).alias("issue_eur"), (own.isNull() & F.col("issue_rate").isNotNull()).alias("is_rescued"),
-        F.when(euro, F.col("amount")).otherwise(F.col("amount") / F.col("cut_rate")).alias("cut_eur"),
+    rows = rows.select(
+        "company_id", "currency", "amount", (F.col("_covered").isNull() & (F.col("currency") != "EUR")).alias("is_opaque"), F.coalesce(own, F.col("amount") / F.col("issue_rate")).alias("issue_eur"),
+        (own.isNull() & F.col("issue_rate").isNotNull()).alias("is_rescued"), "begin", "end",
     )
+    rows = at_cuts(rows).join(F.broadcast(cuts), (F.col("currency") == F.col("_c")) & (F.col("month") == F.col("_month")), "left")
+    return rows.select(*_KEY, "currency", "amount", "is_opaque", "issue_eur", "is_rescued", F.when(euro, F.col("amount")).otherwise(F.col("amount") / F.col("cut_rate")).alias("cut_eur"))
 
 
 def risk_by_currency(valued: DataFrame, index: DataFrame) -> DataFrame:
@@ -49,7 +54,8 @@ def risk_by_currency(valued: DataFrame, index: DataFrame) -> DataFrame:
         F.count("*").alias("n"), total("amount").alias("original"), F.count("issue_eur").alias("n_at_issue"), total("issue_eur").alias("issue_eur"), F.count_if("is_rescued").alias("n_rescued"),
         F.count("cut_eur").alias("n_at_cut"), total("cut_eur").alias("cut_eur"), F.count(loss).alias("n_loss"), total(loss).alias("loss_eur"),
     )
-    rows = sums.join(index.select(F.col("currency").alias("_c"), F.col("month").alias("_m"), "tier", "volatility_tier", "drift_tier"), (F.col("currency") == F.col("_c")) & (F.col("month") == F.col("_m")), "left").drop("_c", "_m")
+    tiers = F.broadcast(index.select(F.col("currency").alias("_c"), F.col("month").alias("_m"), "tier", "volatility_tier", "drift_tier"))  # a row per currency and month
+    rows = sums.join(tiers, (F.col("currency") == F.col("_c")) & (F.col("month") == F.col("_m")), "left").drop("_c", "_m")
     weight = F.when(F.col("is_opaque"), 0.0).when((F.col("n_at_cut") == 0) & (F.col("n_at_issue") > 0), F.col("issue_eur")).otherwise(F.col("cut_eur"))
     return rows.withColumns({"weight": F.greatest(weight, F.lit(0.0)), "severity": _severity("tier"), "by_volatility": _severity("volatility_tier"), "by_drift": _severity("drift_tier")})
 
@@ -78,6 +84,17 @@ def fx_risk(by_currency: DataFrame) -> DataFrame:
     )
 
 
+def with_risk(rows: DataFrame, risk: DataFrame, *columns: str) -> DataFrame:
+    """Rows of company and month with the named columns of their risk and ``has_risk``.
+
+    Both sides are dealt by company, so a company's months of risk meet its rows as one map, and neither is shuffled by month.
+    """
+    months = F.map_from_entries(F.collect_list(F.struct("month", F.struct(*columns))))
+    known = risk.groupBy("company_id").agg(months.alias("_months")).select(F.col("company_id").alias("_company"), "_months").hint("merge")
+    rows = rows.join(known, F.col("company_id") == F.col("_company"), "left").withColumn("_risk", F.try_element_at("_months", F.col("month")))
+    return rows.select(*rows.drop("_company", "_months", "_risk").columns, *(F.col("_risk")[c].alias(c) for c in columns), F.col("_risk").isNotNull().alias("has_risk"))
+
+
 def applied_index(risk: DataFrame) -> DataFrame:
     """The index that takes points off: the lower bound of an interval, which is the least that fits what is known."""
     return risk.select(*_KEY, F.when(F.col("is_interval"), F.col("fx_index_min")).otherwise(F.col("fx_index")).alias("fx_index"))
@@ -88,7 +105,7 @@ def counterfactual(scores: DataFrame, risk: DataFrame, betas: tuple[float, ...]
 
     A company's months are summed before the companies are counted.
     """
-    rows = scores.where("score IS NOT NULL").join(risk, _KEY).withColumn("beta", F.explode(F.array(*map(F.lit, betas))))
+    rows = with_risk(scores.where("score IS NOT NULL"), risk, "fx_index", "fx_index_max", "is_interval").where("has_risk").withColumn("beta", F.explode(F.array(*map(F.lit, betas))))
     exact = F.col("fx_index").isNotNull()
     lose = F.when(exact, F.col("beta") * F.col("score") * F.col("fx_index"))
     most = F.when(exact, lose).when(F.col("is_interval"), F.col("beta") * F.col("score") * F.col("fx_index_max"))

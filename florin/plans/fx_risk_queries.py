@@ -30,8 +30,8 @@ STEPS["fx_risks"] = """SELECT *, CASE WHEN idx IS NOT NULL AND n_opaque = 0 THEN
 
 
 def _risk(t: Treasury) -> DataFrame:
-    live = E.live_receivables(_inv(t), FIRST_MONTH, LAST_MONTH)
-    return R.fx_risk(R.risk_by_currency(R.valued_receivables(live, t.fx_daily), X.fx_index(t.fx_daily)))
+    receivables = E.receivables(_inv(t), FIRST_MONTH, LAST_MONTH)
+    return R.fx_risk(R.risk_by_currency(R.valued_receivables(receivables, t.fx_daily, FIRST_MONTH, LAST_MONTH), X.fx_index(t.fx_daily)))
 
 
 _INDICES = ("by_volatility", "by_drift", "stable_share", "volatile_share", "hyper_share", "fx_index", "fx_index_min", "fx_index_max")
@@ -57,5 +57,5 @@ def r13_fx_counterfactual(t: Treasury) -> DataFrame:
 
 @query("""SELECT company_id, month, round(least(100, greatest(0, before * coalesce(1 - 0.25 * arrears, 1) * coalesce(multiplier, 1) * coalesce(1 - 0.05 * applied, 1))), 4) AS score, round(applied, 6) AS fx_index FROM (SELECT s.*, CASE WHEN is_interval THEN fx_index_min ELSE r.fx_index END AS applied FROM scored s LEFT JOIN fx_risks r USING (company_id, month))""")
 def h03_score_with_fx(t: Treasury) -> DataFrame:
-    rows = _inputs(t).join(R.applied_index(_risk(t)), ["company_id", "month"], "left")
+    rows = R.with_risk(_inputs(t), R.applied_index(_risk(t)), "fx_index").drop("has_risk")
     return H.health_score(rows).select("company_id", "month", *rounded("score"), *rounded("fx_index", digits=6))
