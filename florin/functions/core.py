@@ -82,10 +82,50 @@ def value_positions(rows: DataFrame, keys: Sequence[str], value: str, width: flo
 
 def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float], width: float) -> DataFrame:
     """``(*keys, total, q)``: interpolated quantiles as an array, from value_positions."""
+    return _interpolated(value_positions(rows, keys, value, width), keys, value, quantiles)
+
+
+def _interpolated(positions: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float]) -> DataFrame:
+    """``(*keys, total, q)`` from the positions of all values, or of those at the asked ranks."""
     asked = F.array(*(F.struct(F.lit(k).alias("k"), (F.lit(float(q)) * (F.col("total") - 1)).alias("at")) for k, q in enumerate(quantiles)))
-    dealt = value_positions(rows, keys, value, width).withColumn("a", F.explode(asked))
+    dealt = positions.withColumn("a", F.explode(asked))
     holds = lambda place: (place >= F.col("start")) & (place < F.col("start") + F.col("n"))
     low, high = F.floor("a.at"), F.ceil("a.at")
     ends = dealt.groupBy(*keys, "total", "a").agg(F.max(F.when(holds(low), F.col(value))).alias("x"), F.max(F.when(holds(high), F.col(value))).alias("y"))
     ends = ends.select(*keys, "total", F.col("a.k").alias("k"), (F.col("x") + (F.col("y") - F.col("x")) * (F.col("a.at") - F.floor("a.at"))).alias("v"))
     return ends.groupBy(*keys, "total").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda p: p["v"]).alias("q"))
+
+
+#: Widths that a wide band has, where bands are counted twice.
+WIDE = 128
+
+
+def _ranks_held(bands: DataFrame, keys: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
+    """Those of ``(*keys, band, n, start, total)`` that hold a rank which a quantile asks for."""
+    at = [F.lit(float(q)) * (F.col("total") - 1) for q in quantiles]
+    held = [(rank >= F.col("start")) & (rank < F.col("start") + F.col("n")) for a in at for rank in (F.floor(a), F.ceil(a))]
+    return bands.where(F.array_contains(F.array(*held), True))
+
+
+def kept_quantiles(rows: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float], width: float) -> DataFrame:
+    """exact_quantiles of rows that are kept (persisted), a few groups of very many rows each: they are read three times and hardly dealt.
+
+    Counts of wide bands, and inside those that hold an asked rank of bands of ``width``, tell which few bands hold the ranks; only their values are counted and ranked.
+    """
+    fine = F.floor(F.col(value) / width)
+    seen = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_value"), fine.alias("_fine"), F.floor(fine / WIDE).alias("_wide"))
+    group = lambda *more: Window.partitionBy(*keys, F.lit(0), *more)
+    wide = seen.groupBy(*keys, "_wide").agg(F.count("*").alias("n"))
+    wide = wide.withColumns({"start": F.sum("n").over(group().orderBy("_wide")) - F.col("n"), "total": F.sum("n").over(group())})
+
+    def inside(bands: DataFrame, band: str) -> DataFrame:
+        few = bands.select(*(F.col(k).alias(f"_of_{k}") for k in [*keys, band]), "start", "total")
+        return seen.join(F.broadcast(few), [F.col(k) == F.col(f"_of_{k}") for k in [*keys, band]]).drop(*(f"_of_{k}" for k in [*keys, band]))
+
+    def counted(rows: DataFrame, outer: str, by: str) -> DataFrame:
+        n = rows.groupBy(*keys, outer, "start", "total", by).agg(F.count("*").alias("n"))
+        return n.withColumn("start", F.col("start") + F.sum("n").over(group(outer).orderBy(by)) - F.col("n"))
+
+    bands = _ranks_held(counted(inside(_ranks_held(wide, keys, quantiles), "_wide"), "_wide", "_fine"), keys, quantiles)
+    values = counted(inside(bands, "_fine"), "_fine", "_value")
+    return _interpolated(values, keys, "_value", quantiles)

@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from florin.functions.core import exact_quantiles, month_index, value_positions
+from florin.functions.core import exact_quantiles, kept_quantiles, month_index, value_positions
 from florin.operators.arrears import with_expected_service, with_multiplier
 from florin.operators.cash import with_balance
 
@@ -147,16 +147,17 @@ def cut_summary(scored: DataFrame, excluded: DataFrame) -> DataFrame:
     return rows.groupBy("month", state.alias("state"), "confidence").agg(F.count("*").alias("n"))
 
 
-def _later(h: int) -> Column:
-    """The score of the same company h months later, null if there is none."""
-    return F.max("score").over(Window.partitionBy("company_id").orderBy(month_index(F.col("month"))).rangeBetween(h, h))
+def _later(h: int, column: str = "score") -> Column:
+    """The column of the same company h months later, or before if h is negative, null if there is none."""
+    return F.max(column).over(Window.partitionBy("company_id").orderBy(month_index(F.col("month"))).rangeBetween(h, h))
 
 
 def _with_baselines(scored: DataFrame, horizons: tuple[int, ...] = ()) -> DataFrame:
-    """Scored months with their predictions and, per horizon, the actual score. Two windows of one company; the medians are a row a month."""
+    """Scored months with their predictions and, per horizon, the actual score. Two windows of one company, kept since the medians read them, too; these are a row a month."""
     order = Window.partitionBy("company_id").orderBy("month")
-    seen = scored.where("score IS NOT NULL").select("company_id", "month", "score", F.avg("score").over(order.rowsBetween(-2, 0)).alias("mean3"), *(_later(h).alias(f"later_{h}") for h in horizons))
-    middle = exact_quantiles(scored.where("score IS NOT NULL"), ["month"], "score", (0.5,), BAND).select(F.col("month").alias("_month"), F.col("q")[0].alias("median"))
+    name = [] if horizons else ["company_id"]
+    seen = scored.where("score IS NOT NULL").select(*name, "month", "score", F.avg("score").over(order.rowsBetween(-2, 0)).alias("mean3"), *(_later(h).alias(f"later_{h}") for h in horizons)).persist()
+    middle = kept_quantiles(seen, ["month"], "score", (0.5,), BAND).select(F.col("month").alias("_month"), F.col("q")[0].alias("median"))
     return seen.join(F.broadcast(middle), F.col("month") == F.col("_month")).drop("_month")
 
 
@@ -171,7 +172,7 @@ def baseline_errors(scored: DataFrame, horizons: tuple[int, ...] = (1, 2, 3)) ->
     each = F.array(*(F.struct(F.lit(n).alias("baseline"), F.lit(h).alias("h"), F.col(c).alias("value"), F.col(f"later_{h}").alias("actual")) for n, c in BASELINES.items() for h in horizons))
     pairs = _with_baselines(scored, horizons).select(F.explode(each).alias("f")).select("f.*").withColumn("error", F.col("value") - F.col("actual")).withColumn("size", F.abs("error"))
     sums = pairs.groupBy("baseline", "h").agg(F.count("actual").alias("n"), F.count_if(F.col("actual").isNull()).alias("n_without_target"), F.avg("size").alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.avg("error").alias("bias"))
-    sizes = exact_quantiles(pairs, ["baseline", "h"], "size", (0.5, 0.75, 0.9), BAND).select(F.col("baseline").alias("_baseline"), F.col("h").alias("_h"), "q")
+    sizes = kept_quantiles(pairs, ["baseline", "h"], "size", (0.5, 0.75, 0.9), BAND).select(F.col("baseline").alias("_baseline"), F.col("h").alias("_h"), "q")
     rows = sums.join(sizes, (F.col("baseline") == F.col("_baseline")) & (F.col("h") == F.col("_h")))
     return rows.select(*sums.columns, *(F.col("q")[k].alias(n) for k, n in enumerate(("p50", "p75", "p90"))))
 

@@ -34,6 +34,11 @@ def _scored(t: Treasury) -> DataFrame:
     return H.health_score(_inputs(t)).select("company_id", "month", "before", "score", "unscored_reason", "confidence").persist()
 
 
+def _scored_once(t: Treasury) -> DataFrame:
+    """Companies' scores, for what keeps no more of them than it reads again."""
+    return H.health_score(_inputs(t)).select("company_id", "month", "score")
+
+
 def rounded(*names: str, digits: int = 4):
     return [F.round(n, digits).alias(n) for n in names]
 
@@ -89,13 +94,13 @@ STEPS["forecasts"] = """SELECT company_id, month, unnest(['persistence', 'mean3'
 
 @query("SELECT company_id, month, baseline, round(value, 4) AS value FROM forecasts")
 def b03_baselines(t: Treasury) -> DataFrame:
-    return H.baseline_predictions(_scored(t)).withColumn("value", F.round("value", 4))
+    return H.baseline_predictions(_scored_once(t)).withColumn("value", F.round("value", 4))
 
 
 @query("""SELECT baseline, h, count(y) AS n, count(*) - count(y) AS n_without_target, round(avg(abs(v - y)), 4) AS mae, round(sqrt(avg((v - y) * (v - y))), 4) AS rmse, round(avg(v - y), 4) AS bias, round(quantile_cont(abs(v - y), 0.5), 4) AS p50, round(quantile_cont(abs(v - y), 0.75), 4) AS p75, round(quantile_cont(abs(v - y), 0.9), 4) AS p90
     FROM (SELECT o.baseline, x.h, o.value AS v, s.score AS y FROM forecasts o CROSS JOIN (VALUES (1), (2), (3)) x(h) LEFT JOIN (SELECT company_id, month, score FROM scored WHERE score IS NOT NULL) s ON s.company_id = o.company_id AND s.month = CAST(o.month + to_months(x.h) AS DATE)) GROUP BY baseline, h""")
 def b04_baseline_errors(t: Treasury) -> DataFrame:
-    return H.baseline_errors(_scored(t)).select("baseline", "h", "n", "n_without_target", *rounded("mae", "rmse", "bias", "p50", "p75", "p90"))
+    return H.baseline_errors(_scored_once(t)).select("baseline", "h", "n", "n_without_target", *rounded("mae", "rmse", "bias", "p50", "p75", "p90"))
 
 
 @query("""SELECT h, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 4) AS spearman, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 4) AS intercept FROM (SELECT h, x, y, rank() OVER (PARTITION BY h ORDER BY x) + (count(*) OVER (PARTITION BY h, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY h ORDER BY y) + (count(*) OVER (PARTITION BY h, y) - 1) / 2 AS ry
