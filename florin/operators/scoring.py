@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from florin.functions.core import exact_quantiles, kept_quantiles, month_index, value_positions
+from florin.functions.core import exact_quantiles, kept_quantiles, month_index
 from florin.operators.arrears import with_expected_service, with_multiplier
 from florin.operators.cash import with_balance
 
@@ -178,11 +178,23 @@ def baseline_errors(scored: DataFrame, horizons: tuple[int, ...] = (1, 2, 3)) ->
 
 
 def autocorrelation(scored: DataFrame, horizons: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """Pearson and Spearman correlation and the regression of the score on itself h months before; ranks average ties."""
-    seen = scored.where("score IS NOT NULL").select("company_id", "month", "score", *(_later(h).alias(f"later_{h}") for h in horizons))
-    each = F.array(*(F.struct(F.lit(h).alias("h"), F.col("score").alias("x"), F.col(f"later_{h}").alias("y")) for h in horizons))
-    pairs = seen.select(F.explode(each).alias("f")).select("f.*").where("y IS NOT NULL")
-    rank = (F.col("start") + (F.col("n") + 1) / 2)
-    ranks = [value_positions(pairs, ["h"], c, BAND).select("h", c, rank.alias(f"r{c}")) for c in ("x", "y")]
-    ranked = pairs.join(ranks[0], ["h", "x"]).join(ranks[1], ["h", "y"])
-    return ranked.groupBy("h").agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+    """Pearson and Spearman correlation and the regression of the score on itself h months before; ranks average ties.
+
+    A score is an origin or a target at every horizon, so distinct scores are ranked once for all of them: how many origins and targets have a lower one.
+    Months then meet the ranks of their score, and go back to their company, where pairs are windows.
+    """
+    roles = {f"{side}{h}": F.col(f"_{side}{h}") for h in horizons for side in "xy"}
+    seen = scored.where("score IS NOT NULL").select("company_id", "month", "score", *(F.when(_later(h if side == "x" else -h).isNotNull(), 1).otherwise(0).alias(f"_{side}{h}") for h in horizons for side in "xy"))
+    seen = seen.persist()  # counted and ranked
+    counted = seen.groupBy("score").agg(*(F.sum(c).alias(n) for n, c in roles.items())).withColumn("_band", F.floor(F.col("score") / BAND))
+    bands = counted.groupBy("_band").agg(*(F.sum(n).alias(f"_all_{n}") for n in roles))
+    whole, inside = Window.partitionBy(F.lit(0)).orderBy("_band"), Window.partitionBy("_band").orderBy("score")  # a row a band
+    bands = bands.select(F.col("_band").alias("_of_band"), *((F.sum(f"_all_{n}").over(whole) - F.col(f"_all_{n}")).alias(f"_before_{n}") for n in roles))
+    # twice the mean place of equal scores, a whole number
+    ranks = counted.withColumns({f"_to_{n}": F.sum(n).over(inside) for n in roles}).join(F.broadcast(bands), F.col("_band") == F.col("_of_band"))
+    ranks = ranks.select(F.col("score").alias("_score"), *((2 * (F.col(f"_before_{n}") + F.col(f"_to_{n}")) - F.col(n) + 1).alias(f"r{n}") for n in roles))
+    ranked = seen.select("company_id", "month", "score").join(ranks.hint("merge"), F.col("score") == F.col("_score")).drop("_score")
+    each = F.array(*(F.struct(F.lit(h).alias("h"), F.col("score").alias("x"), F.col(f"later_{h}").alias("y"), (F.col(f"rx{h}") / 2).alias("rx"), (F.col(f"_ry{h}") / 2).alias("ry")) for h in horizons))
+    pairs = ranked.select("score", *(f"rx{h}" for h in horizons), *(_later(h).alias(f"later_{h}") for h in horizons), *(_later(h, f"ry{h}").alias(f"_ry{h}") for h in horizons))
+    pairs = pairs.select(F.explode(each).alias("f")).select("f.*").where("y IS NOT NULL")
+    return pairs.groupBy("h").agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))

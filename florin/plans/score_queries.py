@@ -106,4 +106,4 @@ def b04_baseline_errors(t: Treasury) -> DataFrame:
 @query("""SELECT h, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 4) AS spearman, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 4) AS intercept FROM (SELECT h, x, y, rank() OVER (PARTITION BY h ORDER BY x) + (count(*) OVER (PARTITION BY h, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY h ORDER BY y) + (count(*) OVER (PARTITION BY h, y) - 1) / 2 AS ry
     FROM (SELECT h, a.score AS x, b.score AS y FROM (SELECT * FROM scored WHERE score IS NOT NULL) a CROSS JOIN (VALUES (1), (2), (3)) v(h) JOIN (SELECT * FROM scored WHERE score IS NOT NULL) b ON b.company_id = a.company_id AND b.month = CAST(a.month + to_months(h) AS DATE))) GROUP BY h""")
 def b05_autocorrelation(t: Treasury) -> DataFrame:
-    return H.autocorrelation(_scored(t)).select("h", "n", *rounded("pearson", "slope", digits=6), *rounded("spearman"), *rounded("intercept"))
+    return H.autocorrelation(_scored_once(t)).select("h", "n", *rounded("pearson", "slope", digits=6), *rounded("spearman"), *rounded("intercept"))
